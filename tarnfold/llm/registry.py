@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import bpe, licenses, mixing, sharding, urls, wavelet
+from tarnfold.llm import bpe, jaccard, licenses, mixing, sharding, urls, wavelet
 
-OPERATORS = (licenses.op1_license_scan, mixing.op4_temperature, bpe.op5_word_bpe, wavelet.op6_wavelet_shards, urls.op7_url_rules, sharding.op10_virtual_slots)
+OPERATORS = (licenses.op1_license_scan, mixing.op4_temperature, bpe.op5_word_bpe, wavelet.op6_wavelet_shards, urls.op7_url_rules, jaccard.op9_jaccard_components, sharding.op10_virtual_slots)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
