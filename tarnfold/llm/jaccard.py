@@ -346,7 +346,9 @@ def link_documents(docs: DataFrame, size: int = 4, threshold: float = 0.85, key:
 
 def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, one document of each group of linked ones: that of the smallest id."""
-    found = link_documents(docs, size, threshold, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = cut(link_documents(docs, size, threshold, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    # broadcast only where the list is known to be small; else Spark joins by shuffle
+    found = F.broadcast(found) if found.count() <= 500_000 else found
     return docs.join(found, F.col(key) == F.col("_gone"), "left_anti")
 
 

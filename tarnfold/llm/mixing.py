@@ -131,3 +131,10 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
 def op4_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source to 95 % of the largest entropy, at most 4 passes of a source."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def realise(docs: DataFrame, seed: int = 17, **target) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix asks (see ``mix``); columns and their values as they were."""
+    packed = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct("*").alias("_row"))
+    mixed = mix(packed, seed=seed, keep=("_row",), **target).where("copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

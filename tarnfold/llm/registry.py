@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import bpe, cover_tree, hilbert, jaccard, licenses, mixing, sharding, urls, wavelet
+from tarnfold.llm import bpe, cover_tree, hilbert, jaccard, licenses, mixing, sharding, toxicity, urls, wavelet
 
-OPERATORS = (licenses.op1_license_scan, cover_tree.op3_cover_tree_top_k, mixing.op4_temperature, bpe.op5_word_bpe, wavelet.op6_wavelet_shards, urls.op7_url_rules, hilbert.op8_hilbert_neighbours, jaccard.op9_jaccard_components, sharding.op10_virtual_slots)
+OPERATORS = (licenses.op1_license_scan, toxicity.op2_classifier_chain, cover_tree.op3_cover_tree_top_k, mixing.op4_temperature, bpe.op5_word_bpe, wavelet.op6_wavelet_shards, urls.op7_url_rules, hilbert.op8_hilbert_neighbours, jaccard.op9_jaccard_components, sharding.op10_virtual_slots)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
