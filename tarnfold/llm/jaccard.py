@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfold.llm.components import connected_components
+from tarnfold.operators.components import connected_components
 from tarnfold.llm.text import shingles
 from tarnfold.session import cut
 

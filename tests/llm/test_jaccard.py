@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 
 from tarnfold.llm import jaccard
-from tarnfold.llm.components import connected_components
+from tarnfold.operators.components import connected_components
 
 
 def sets_of(rows, size):
