@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.plans import analysis, graphs, search, time, versions  # noqa: F401
+from tarnfold.plans import analysis, graphs, search, texts, time, versions  # noqa: F401
 from tarnfold.plans.registry import QUERIES, SQL
 
 

@@ -68,10 +68,10 @@ for _m, _e in _RET.items():
     _retention(_m, _e)
 
 
-@query(f"SELECT event_id, round(value * (1 + 0.5 / (1 + days / 30)), 6) AS boosted, round((1 - 0.3711) * value + 0.3711 * pow(0.5, {_AGE} / 3600 / 24), 6) AS blended, days FROM (SELECT *, floor({_AGE} / 86400)::BIGINT AS days FROM events)")
+@query(f"SELECT event_id, round((value + 0.1234567) * (1 + 0.5 / (1 + days / 30)), 6) AS boosted, round((1 - 0.3711) * value + 0.3711 * pow(0.5, {_AGE} / 3600 / 24), 6) AS blended, days FROM (SELECT *, floor({_AGE} / 86400)::BIGINT AS days FROM events)")
 def recency_boosts(spark, d):
     days = tm.age_days(F.col("ts"), AS_OF)
-    return _events(spark, d).select("event_id", F.round(tm.hyperbolic_boost(F.col("value"), days), 6).alias("boosted"), F.round(tm.blended(F.col("value"), tm.recency(F.col("ts"), AS_OF, "exponential"), 0.3711), 6).alias("blended"), days.alias("days"))
+    return _events(spark, d).select("event_id", F.round(tm.hyperbolic_boost(F.col("value") + 0.1234567, days), 6).alias("boosted"), F.round(tm.blended(F.col("value"), tm.recency(F.col("ts"), AS_OF, "exponential"), 0.3711), 6).alias("blended"), days.alias("days"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600 * 1000000::BIGINT THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
