@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 #: White space as Unicode has it; str.split() also splits at 0x1C-0x1F.
 _CHUNK = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
-CACHE = 300_000
+CACHE = 600_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -37,26 +37,41 @@ def newer(text: str) -> bool:
     return any(unicodedata.category(c) == "Cn" for c in text)
 
 
-def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The symbols after all merges: lowest rank first, leftmost among equals."""
-    n = len(symbols)
-    ids, after, before = list(symbols), list(range(1, n)) + [-1], list(range(-1, n - 1))
-    alive = [True] * n
-    queue = [(*ranks[pair], i) for i in range(n - 1) if (pair := (ids[i], ids[i + 1])) in ranks]
-    queue = [(rank, i, new) for rank, new, i in queue]
+def merge(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:
+    """The symbols after all merges: lowest rank first, leftmost among equals. ``ranks`` has the rank of a pair a, b as
+    ``a << 32 | b``, ``made`` the symbol of a rank. A queue entry is one number: rank, then place."""
+    n = len(ids)
+    queue = []
+    for i in range(n - 1):
+        rank = ranks.get(ids[i] << 32 | ids[i + 1])
+        if rank is not None:
+            queue.append(rank << 32 | i)
+    if not queue:
+        return ids
+    ids, after, before = ids[:], [*range(1, n), -1], [*range(-1, n - 1)]
     heapq.heapify(queue)
+    pop, push, get = heapq.heappop, heapq.heappush, ranks.get
     while queue:
-        rank, i, new = heapq.heappop(queue)
+        entry = pop(queue)
+        rank, i = entry >> 32, entry & 0xFFFFFFFF
+        left = ids[i]
         j = after[i]
-        if not alive[i] or j < 0 or ranks.get((ids[i], ids[j])) != (rank, new):
-            continue  # stale: a merge has changed one of the two
-        ids[i], alive[j], after[i] = new, False, after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        for k in (before[i], i):
-            if k >= 0 and after[k] >= 0 and (found := ranks.get((ids[k], ids[after[k]]))):
-                heapq.heappush(queue, (found[0], k, found[1]))
-    return [x for x, here in zip(ids, alive) if here]
+        if left < 0 or j < 0 or get(left << 32 | ids[j]) != rank:
+            continue  # stale: a merge has taken or changed one of the two
+        ids[i] = new = made[rank]
+        ids[j] = -1
+        after[i] = j = after[j]
+        if j >= 0:
+            before[j] = i
+            rank = get(new << 32 | ids[j])
+            if rank is not None:
+                push(queue, rank << 32 | i)
+        j = before[i]
+        if j >= 0:
+            rank = get(ids[j] << 32 | new)
+            if rank is not None:
+                push(queue, rank << 32 | j)
+    return [x for x in ids if x >= 0]
 
 
 class WordBPE:
@@ -68,7 +83,8 @@ class WordBPE:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {(self.vocab[a], self.vocab[b]): (i, self.vocab[a + b]) for i, (a, b) in enumerate(pairs)}
+        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: i for i, (a, b) in enumerate(pairs)}
+        self.made = [self.vocab[a + b] for a, b in pairs]
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.strings = {i: s for s, i in {**self.vocab, **self.added}.items()}
         steps = spec.get("normalizer") or {}
@@ -76,70 +92,76 @@ class WordBPE:
         split = next(s for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"])
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.bytes = byte_alphabet()
-        self.cache: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        letters = byte_alphabet()
+        self.inner = [self.vocab[letters[b]] for b in range(256)]
+        self.last = [self.vocab[letters[b] + self.suffix] for b in range(256)]
+        self.cache: dict[str, tuple[int, str, str]] = {}
         self.source = source
 
-    def word(self, piece: str) -> list[int]:
-        return self._merged("".join([self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]))
+    def word(self, piece: bytes) -> list[int]:
+        """One pre-token: its bytes, the last with the word's suffix, merged."""
+        inner = self.inner
+        ids = [inner[b] for b in piece]
+        ids[-1] = self.last[piece[-1]]
+        return merge(ids, self.ranks, self.made)
 
-    def _merged(self, letters: str) -> list[int]:
-        chars = list(letters)
-        chars[-1] += self.suffix
-        return merge([self.vocab[c] for c in chars], self.ranks)
-
-    def _library_pieces(self, part: str) -> list[str]:
+    def _library_pieces(self, part: str) -> list[bytes]:
         """Normalised and split by the library, for characters that only its Unicode tables may know."""
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_str(self.source)
-        return [p for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))]
+        back = {c: b for b, c in byte_alphabet().items()}
+        return [bytes(back[c] for c in p) for p, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(part))]
 
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
-        """A run without white space: tokens never span white space, so runs encode alone."""
+    def _ids(self, chunk: str) -> list[int]:
+        """Of a run without white space: tokens never span white space, so runs encode alone."""
+        if chunk.isascii() and chunk.isalpha():  # one pre-token, whose normal form is its lower case
+            return self.word((chunk.lower() if "Lowercase" in self.steps else chunk).encode())
         ids: list[int] = []
         for part in self.special.split(chunk) if self.special and "<" in chunk else [chunk]:
             if part in self.added:
                 ids.append(self.added[part])
             elif part:
-                if not part.isascii() and newer(part):
-                    for piece in self._library_pieces(part):
-                        ids += self._merged(piece)
-                    continue
-                if "NFC" in self.steps:
-                    part = unicodedata.normalize("NFC", part)
+                if not part.isascii():
+                    if newer(part):
+                        for piece in self._library_pieces(part):
+                            ids += self.word(piece)
+                        continue
+                    if "NFC" in self.steps:
+                        part = unicodedata.normalize("NFC", part)
                 if "Lowercase" in self.steps:
                     part = part.lower() if part.isascii() else "".join(map(str.lower, part))  # by character: no final sigma
-                for piece in self.pieces.findall(part):
-                    ids += self.word(piece)
-        return tuple(ids), " ".join(map(str, ids)), self.decode(ids)
+                for piece in [part] if part.isalpha() else self.pieces.findall(part):
+                    ids += self.word(piece.encode("utf-8", "surrogatepass"))
+        return ids
 
-    def runs(self, text: str | None) -> list[tuple[tuple[int, ...], str, str]]:
-        """(ids, ids as text, decoded) of each run of the text; null has none."""
+    def runs(self, text: str | None) -> list[str]:
         if not text:
             return []
-        cache, out = self.cache, []
-        for chunk in _CHUNK.findall(text) if _ODD.search(text) else text.split():
-            got = cache.get(chunk)
-            if got is None:
-                got = self._chunk(chunk)
-                if len(cache) < CACHE:
-                    cache[chunk] = got
-            out.append(got)
-        return out
+        return _CHUNK.findall(text) if _ODD.search(text) else text.split()
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.runs(text) for i in ids]
+        return [i for run in self.runs(text) for i in self._ids(run)]
 
     def decode(self, ids) -> str:
         return " ".join([self.strings[i] for i in ids])
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(number of ids, sha256 of the ids as text, sha256 of the decoded text)."""
-        got = [r for r in self.runs(text) if r[0]]
-        ids = " ".join([r[1] for r in got])
-        decoded = " ".join([r[2] for r in got])
-        return sum([len(r[0]) for r in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        cache, n, ids, decoded = self.cache, 0, [], []
+        get, strings = cache.get, self.strings
+        for run in self.runs(text):
+            found = get(run)
+            if found is None:
+                own = self._ids(run)
+                found = (len(own), " ".join(map(str, own)), " ".join([strings[i] for i in own]))
+                if len(cache) < CACHE:
+                    cache[run] = found
+            if found[0]:
+                n += found[0]
+                ids.append(found[1])
+                decoded.append(found[2])
+        return n, hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(decoded).encode()).hexdigest()
 
 
 _loaded: dict[str, WordBPE] = {}
