@@ -106,3 +106,29 @@ FEATURES = (
     ("has_decisions", r"(?i)\b(?:decided|decision|conclude|concluded|therefore|thus)\b|(?i)\b(?:will|should|must|need to)\b|(?i)\b(?:answer is|solution is|result is)\b|(?i)\b(?:in summary|to summarize|in conclusion)\b"),
     ("has_questions", r"\?"),
 )
+
+_TITLE = r"(?:Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Prof\.?|Sir|Dame|Lord|Lady|President|CEO|CTO|CFO|Director|Manager|Senator|Governor|Mayor|Captain|General|Admiral)"
+_MONTH = r"(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+# Fixed values: (pattern, type) of entities; case-sensitive, group 1 is the name.
+ENTITIES = (
+    (r"(" + _TITLE + r"\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", "person"),
+    (r"\b([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b", "person"),
+    (r"\b([A-Z][A-Za-z]*(?:\s+[A-Z][A-Za-z]*)*\s+(?:Inc\.?|Corp\.?|LLC|Ltd\.?|Company|Co\.?|Corporation|Group|Foundation|Institute|University|College|Association|Organization|Agency|Department|Ministry|Commission))\b", "organization"),
+    (r"\b([A-Z]{3,})\b", "organization"),
+    (r"\b(The\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Company|Corporation|Foundation|Institute|Organization|Agency|Commission))\b", "organization"),
+    (r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:City|State|Country|County|Province|District|Region|Island|Mountain|River|Lake|Ocean|Sea|Valley|Desert|Forest|Park))\b", "location"),
+    (r"\b((?:North|South|East|West|Northern|Southern|Eastern|Western)\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", "location"),
+    (r"(?:in|at|from|to|near)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", "location"),
+    (r"\b(" + _MONTH + r"\s+\d{1,2},?\s+\d{4})\b", "date"),
+    (r"\b(\d{1,2}\s+" + _MONTH + r"\s+\d{4})\b", "date"),
+    (r"\b(\d{4}[-/]\d{2}[-/]\d{2})\b", "date"),
+    (r"\b(" + _MONTH + r"\s+\d{4})\b", "date"),
+    (r"\b(The\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s+(?:Conference|Summit|Meeting|Convention|Festival|Games|Olympics|Championship|Tournament|War|Battle|Revolution|Crisis))\b", "event"),
+    (r"\b(World\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", "event"),
+    (r"\b([A-Z][a-z]+[A-Z][A-Za-z]*(?:\s+\d+)?)\b", "product"),
+    (r"\b([A-Z][a-z]+\s+[A-Z][a-z]+(?:\s+\d+)?(?:\s+(?:Pro|Plus|Max|Mini|Ultra|Lite))?)\b", "product"),
+)
+# Words that look like entities and are none.
+NO_ENTITIES = """the a an and or but in on at to for of with by from as is was are were been be have has had do does did will would could should may might must shall can need dare ought used it its
+this that these those i you he she we they them their his her my your our said says told asked replied answered stated monday tuesday wednesday thursday friday saturday sunday today tomorrow
+yesterday now then here there what when where why how which who however therefore meanwhile furthermore moreover nevertheless although because since while during before after until unless""".split()

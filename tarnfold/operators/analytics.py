@@ -81,3 +81,18 @@ def search_trends(log: DataFrame, query: str, ts: str, as_of, days: int, n: int
     """The most frequent queries, lower-cased and stripped, of the last days."""
     recent = log.where(F.col(ts) >= F.lit(as_of) - F.expr(f"INTERVAL {days} DAY"))
     return recent.groupBy(F.trim(F.lower(F.col(query))).alias("query")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(n)
+
+
+def prometheus_text(metrics: DataFrame, name: str, labels: list[str], value: str) -> DataFrame:
+    """Exposition lines ``name{label="..."} value`` of (labels..., value) rows, in a column ``line``."""
+    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.col(c).cast("string"), F.lit('"')) for c in labels])
+    return metrics.select(F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def audit_summary(events: DataFrame, kind: str, severity: Column) -> DataFrame:
+    """Counts by kind and severity."""
+    return events.groupBy(F.col(kind).alias("kind"), severity.alias("severity")).agg(F.count("*").alias("n"))
+
+
+def hit_ratio(rows: DataFrame, by: str, hit: Column) -> DataFrame:
+    return rows.groupBy(by).agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), (F.count_if(hit) / F.count("*")).alias("ratio"))

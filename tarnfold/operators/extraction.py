@@ -75,3 +75,20 @@ def resolve_facts(facts: DataFrame, strategy: str, order: str) -> DataFrame:
         return facts.withColumn("fact", F.concat("fact", F.lit("_v"), F.row_number().over(w).cast("string")))
     by = F.struct(F.col("confidence"), -F.col(order)) if strategy == "confidence" else F.struct(F.col(order), F.col("confidence"))
     return facts.groupBy("domain", F.lower("fact").alias("_f")).agg(F.max_by(F.struct(*facts.columns), by).alias("b")).select("b.*")
+
+
+def extract_entities(rows: DataFrame, key: str, text: str, rules=rl.ENTITIES, excluded=tuple(rl.NO_ENTITIES)) -> DataFrame:
+    """Distinct (key, name, type) by lower-cased name, the first spelling in order; excluded words go."""
+    parts = [F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)), _entity(kind)) for p, kind in rules]
+    got = rows.select(key, F.explode(F.flatten(F.array(*parts))).alias("e")).select(key, "e.*")
+    got = got.where(~F.lower("name").isin([w.lower() for w in excluded])) if excluded else got
+    return got.groupBy(key, F.lower("name").alias("_n"), "type").agg(F.min("name").alias("name")).select(key, "name", "type")
+
+
+def _entity(kind: str):
+    return lambda v: F.struct(v.alias("name"), F.lit(kind).alias("type"))
+
+
+def entity_links(entities: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Dimension (name, type, mentions) and bridge (key, name, type) of extracted entities."""
+    return entities.groupBy(F.lower("name").alias("name"), "type").agg(F.count("*").alias("mentions")), entities.select(key, F.lower("name").alias("name"), "type").distinct()

@@ -175,3 +175,19 @@ def content_heuristics(spark, d):
 @query(r"""SELECT doc_id, substr(sha256('doc:' || doc_id || ':' || source), 1, 16) AS id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS content_hash, (('0x' || right(md5(source), 12))::BIGINT % 16)::INT AS shard FROM documents""")
 def deterministic_ids(spark, d):
     return _docs(spark, d).select("doc_id", tx.short_id(F.lit("doc"), F.col("doc_id").cast("string"), F.col("source")).alias("id"), tx.content_hash(F.col("text")).alias("content_hash"), tx.shard(F.col("source"), 16).alias("shard"))
+
+
+@query("SELECT 'events_total{event_type=\"' || event_type || '\",shard=\"' || (user_id % 3) || '\"} ' || count(*) AS line FROM events GROUP BY event_type, user_id % 3")
+def prometheus_export(spark, d):
+    got = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 3).alias("shard")).agg(F.count("*").alias("n"))
+    return an.prometheus_text(got, "events_total", ["event_type", "shard"], "n")
+
+
+@query("SELECT event_type AS kind, CASE WHEN value > 80 THEN 'critical' WHEN value > 40 THEN 'warning' ELSE 'info' END AS severity, count(*) AS n FROM events GROUP BY ALL")
+def audit_summary(spark, d):
+    return an.audit_summary(table(spark, d, "events"), "event_type", F.when(F.col("value") > 80, "critical").when(F.col("value") > 40, "warning").otherwise("info"))
+
+
+@query("SELECT event_type, count(*) FILTER (value > 30) AS hits, count(*) FILTER (value <= 30) AS misses, round(count(*) FILTER (value > 30) / count(*), 6) AS ratio FROM events GROUP BY event_type")
+def cache_hit_ratio(spark, d):
+    return an.hit_ratio(table(spark, d, "events"), "event_type", F.col("value") > 30).withColumn("ratio", F.round("ratio", 6))

@@ -154,3 +154,16 @@ def summarize_chunks(spark, d):
     rows = _convs(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
     part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("s")))), lambda x: x["s"]), " | ")
     return rows.groupBy("conv_id", F.floor((F.col("rn") - 1) / 3).alias("chunk")).agg(part.alias("summary"))
+
+
+_ENT = " UNION ALL ".join(f"SELECT id, unnest(regexp_extract_all(text, {_q(p)}, 1)) AS name, '{k}' AS type FROM t" for p, k in rl.ENTITIES)
+
+
+@query(f"WITH {_T} SELECT id, min(name) AS name, type FROM ({_ENT}) WHERE lower(name) NOT IN ({', '.join(_q(w) for w in rl.NO_ENTITIES)}) GROUP BY id, lower(name), type")
+def extract_entities(spark, d):
+    return ex.extract_entities(said(spark, d), "id", "text")
+
+
+@query(f"WITH {_T} SELECT lower(name) AS name, type, count(*) AS mentions FROM (SELECT id, min(name) AS name, type FROM ({_ENT}) GROUP BY id, lower(name), type) GROUP BY ALL")
+def entity_dimension(spark, d):
+    return ex.entity_links(ex.extract_entities(said(spark, d), "id", "text", excluded=()), "id")[0]
