@@ -132,3 +132,21 @@ ENTITIES = (
 NO_ENTITIES = """the a an and or but in on at to for of with by from as is was are were been be have has had do does did will would could should may might must shall can need dare ought used it its
 this that these those i you he she we they them their his her my your our said says told asked replied answered stated monday tuesday wednesday thursday friday saturday sunday today tomorrow
 yesterday now then here there what when where why how which who however therefore meanwhile furthermore moreover nevertheless although because since while during before after until unless""".split()
+
+# Fixed values: (pattern, kind) of key facts in messages; case-insensitive, group 1 is the fact.
+KEY_FACTS = (
+    (r"\b(?:is|are|was|were)\s+(\d+)", "number"),
+    (r"\b(?:named?|called)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", "name"),
+    (r"\b(?:on|at|by)\s+(\d{4}[-/]\d{2}[-/]\d{2})", "date"),
+    (r"\b(?:decided|concluded|determined)\s+(?:that\s+)?(.+?)[.!?]", "decision"),
+    (r"\[(?:CRITICAL|IMPORTANT|KEY)\](.+?)(?:\[|$|\n)", "critical"),
+    (r"(?:result|answer|output)(?:\s+is)?:\s*(.+?)(?:[.!?\n]|$)", "result"),
+    (r"```[\w]*\n?([\s\S]*?)```", "code"),
+)
+# First words of query kinds, in the order of the tests, and the semantic weight of each kind.
+QUERY_STARTS = (
+    ("navigational", ("find", "locate", "show me", "get", "open", "go to")),
+    ("conceptual", ("how", "why", "explain", "describe", "what is the reason")),
+    ("factual", ("who", "what", "when", "where", "which", "how many", "how much")),
+)
+QUERY_WEIGHTS = {"factual": 0.5, "conceptual": 0.9, "navigational": 0.3, "exploratory": 0.7, "similarity": 1.0}

@@ -67,3 +67,46 @@ def extractive_summary(rows: DataFrame, key: str, text: str, n: int = 2) -> Data
     count = F.count("*").over(Window.partitionBy(key))
     s = s.withColumn("score", (1 - 0.5 * F.col("pos") / count) * F.when(words > 50, 0.8).when(words < 4, 0.5).otherwise(1.0))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos"))).where(F.col("rank") <= n).select(key, "rank", "sentence")
+
+
+def key_facts(messages: DataFrame, most: int = 3, conv: str = "conv_id", turn: str = "turn", text: str = "text", rules=rl.KEY_FACTS) -> DataFrame:
+    """(conv, turn, kind, fact): at most ``most`` a message, in rule order, of more than 5 characters, cut at 100."""
+    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all(F.col(text), F.lit("(?i)" + p), F.lit(1)), _tagged(kind)) for p, kind in rules]))
+    long = F.slice(F.filter(found, lambda f: F.length(f["fact"]) > 5), 1, most)
+    return messages.select(conv, turn, F.explode(long).alias("f")).select(conv, turn, "f.kind", F.substring("f.fact", 1, 100).alias("fact"))
+
+
+def _tagged(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(v).alias("fact"))
+
+
+def tiers(messages: DataFrame, recent: int = 4, medium: int = 8, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
+    """Messages with ``tier``: system, recent (the last ones), medium (before them) or old."""
+    back = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc(turn)))
+    return messages.withColumn("_b", back).withColumn("tier", F.when(F.col(role) == "system", "system").when(F.col("_b") <= recent, "recent").when(F.col("_b") <= recent + medium, "medium").otherwise("old")).drop("_b")
+
+
+def first_sentence(text: Column, least: int = 20, most: int = 100) -> Column:
+    """The first sentence of more than ``least`` characters, cut at ``most``; null without one."""
+    return F.substring(F.get(F.filter(tx.sentences(text), lambda s: F.length(s) > least), F.lit(0)), 1, most)
+
+
+def tiered(messages: DataFrame, recent: int = 4, medium: int = 8, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, turn, tier, content): system and recent messages whole, medium ones by their first sentence, old ones by
+    their key facts; messages that leave nothing go."""
+    t = tiers(messages, recent, medium, conv, turn, role)
+    whole = t.where(F.col("tier").isin("system", "recent")).select(conv, turn, "tier", F.col(text).alias("content"))
+    short = t.where("tier = 'medium'").select(conv, turn, "tier", first_sentence(F.col(text)).alias("content")).where("content is not null")
+    facts = key_facts(t.where("tier = 'old'"), conv=conv, turn=turn, text=text).groupBy(conv, turn).agg(F.array_join(F.array_sort(F.collect_list("fact")), "; ").alias("content"))
+    return whole.unionByName(short).unionByName(facts.select(conv, turn, F.lit("old").alias("tier"), "content"))
+
+
+def hierarchy(rows: DataFrame, group: str, order: str, text: str, size: int = 5) -> DataFrame:
+    """(group, chunk, level, summary): first sentences of chunks of ``size`` rows (level 1), and of the chunks (level 0,
+    chunk -1)."""
+    chunked = rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1) / size))
+    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(first_sentence(F.col(text)), F.substring(text, 1, 100)).alias("s")))), lambda x: x["s"]), " ")
+    leaf = chunked.groupBy(group, "chunk").agg(part.alias("summary"))
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", F.substring("summary", 1, 100).alias("s")))), lambda x: x["s"]), " ")
+    root = leaf.groupBy(group).agg(top.alias("summary")).select(group, F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("level"), "summary")
+    return leaf.select(group, "chunk", F.lit(1).alias("level"), "summary").unionByName(root)

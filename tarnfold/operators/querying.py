@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnfold.functions import rules as rl
+
 # Words that are no keywords.
 STOPWORDS = """a an the is are was were be been being have has had do does did will would could should may might must shall can to of in for on with at by from as into through
 during before after above below between under again further then once here there when where why how all each few more most other some such no nor not only own same so than too very
@@ -144,3 +146,39 @@ def consolidation_groups(rows: DataFrame, group: str, score: str, key: str, most
     """The best ``most`` rows of each group."""
     order = Window.partitionBy(group).orderBy(F.desc(score), key)
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def query_kind(text: Column) -> Column:
+    """navigational, conceptual or factual by how it starts; more than 20 words: similarity; else exploratory."""
+    q = F.trim(F.lower(text))
+    out = None
+    for kind, starts in rl.QUERY_STARTS:
+        test = F.lit(False)
+        for s in starts:
+            test = test | q.startswith(s)
+        out = F.when(test, kind) if out is None else out.when(test, kind)
+    return out.when(F.regexp_count(q, F.lit(r"\S+")) > 20, "similarity").otherwise("exploratory")
+
+
+def semantic_weight(text: Column) -> Column:
+    """The kind's weight, 0.2 less (0.3 at least) where keywords have more than 8 letters on average."""
+    kind, words = query_kind(text), keywords(text)
+    base = F.lit(0.7)
+    for k, w in rl.QUERY_WEIGHTS.items():
+        base = F.when(kind == k, w).otherwise(base)
+    mean = F.aggregate(words, F.lit(0), lambda s, w: s + F.length(w)) / F.greatest(F.size(words), F.lit(1))
+    return F.when(mean > 8, F.greatest(F.lit(0.3), base - 0.2)).otherwise(base)
+
+
+def events_since(log: DataFrame, clock: Column, seen: dict[str, int], limit: int = 100, order: str = "event_id") -> DataFrame:
+    """Events whose map clock is not at or before ``seen``: later or concurrent ones, the oldest first."""
+    known = F.create_map(*[F.lit(x) for kv in seen.items() for x in kv]) if seen else F.create_map().cast("map<string,bigint>")
+    new = F.exists(F.map_entries(clock), lambda e: e["value"] > F.coalesce(F.try_element_at(known, e["key"]), F.lit(0)))
+    return log.where(new).orderBy(order).limit(limit)
+
+
+def estimated_duplicates(docs: DataFrame, group: Column, share: float = 0.1, seed: int = 7, key: str = "doc_id") -> DataFrame:
+    """(rows, sampled, repeated): exact repeats, counted in groups that a hash sample of group keys chose."""
+    rows = docs.select(group.alias("g"))
+    chosen = rows.where(F.pmod(F.xxhash64("g", F.lit(seed)), F.lit(1000)) < int(1000 * share)).groupBy("g").agg(F.count("*").alias("c"))
+    return chosen.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("sampled"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("repeated"))

@@ -93,3 +93,18 @@ def embed_all(spark, d):
     got = pv.embed_all(_docs(spark, d).select("doc_id", "text"))
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     return got.select("doc_id", ((F.abs(norm - 1) < 1e-9) | (norm == 0)).alias("unit"))
+
+
+_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"starts_with(q, '{s}')" for s in starts) + f" THEN '{kind}'" for kind, starts in qr.rl.QUERY_STARTS) + " ELSE 'exploratory' END"
+
+
+@query(f"SELECT id, {_KIND} AS kind FROM (SELECT c_custkey AS id, lower(CASE c_custkey % 5 WHEN 0 THEN 'How many in ' WHEN 1 THEN 'Show me ' WHEN 2 THEN 'who is ' WHEN 3 THEN 'explain ' ELSE 'about ' END || c_name) AS q FROM customer)")
+def query_kinds(spark, d):
+    q = F.expr("concat(CASE c_custkey % 5 WHEN 0 THEN 'How many in ' WHEN 1 THEN 'Show me ' WHEN 2 THEN 'who is ' WHEN 3 THEN 'explain ' ELSE 'about ' END, c_name)")
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), qr.query_kind(q).alias("kind"))
+
+
+@query("SELECT event_id FROM events WHERE (event_type = 'click' AND user_id > 50) OR (event_type = 'view' AND user_id > 20) OR (event_type NOT IN ('click', 'view') AND user_id > 0) ORDER BY event_id LIMIT 100")
+def events_since_clock(spark, d):
+    e = table(spark, d, "events").select("event_id", F.create_map("event_type", "user_id").alias("clock"))
+    return qr.events_since(e, F.col("clock"), {"click": 50, "view": 20}).select("event_id")

@@ -167,3 +167,30 @@ def extract_entities(spark, d):
 @query(f"WITH {_T} SELECT lower(name) AS name, type, count(*) AS mentions FROM (SELECT id, min(name) AS name, type FROM ({_ENT}) GROUP BY id, lower(name), type) GROUP BY ALL")
 def entity_dimension(spark, d):
     return ex.entity_links(ex.extract_entities(said(spark, d), "id", "text", excluded=()), "id")[0]
+
+
+_KF = " UNION ALL ".join(f"SELECT id, {i} AS r, unnest(regexp_extract_all(text, {_q('(?i)' + p)}, 1)) AS fact, generate_subscripts(regexp_extract_all(text, {_q('(?i)' + p)}, 1), 1) AS j, '{k}' AS kind FROM m" for i, (p, k) in enumerate(rl.KEY_FACTS))
+_MSG = "m AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'The total was 123456 on 2024-01-0' || c_custkey % 9 || '.' WHEN 1 THEN 'We decided that ' || c_mktsegment || ' wins. The answer is: ' || c_name || '.' WHEN 2 THEN '[KEY] keep ' || c_name || chr(10) || 'more' ELSE c_name END AS text FROM customer)"
+
+
+@query(f"WITH {_MSG}, k AS (SELECT id, r, j, kind, trim(fact) AS fact FROM ({_KF})) SELECT id, kind, substr(fact, 1, 100) AS fact FROM k WHERE length(fact) > 5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY r, j) <= 3")
+def key_facts(spark, d):
+    text = F.expr("CASE c_custkey % 5 WHEN 0 THEN concat('The total was 123456 on 2024-01-0', c_custkey % 9, '.') WHEN 1 THEN concat('We decided that ', c_mktsegment, ' wins. The answer is: ', c_name, '.') WHEN 2 THEN concat('[KEY] keep ', c_name, char(10), 'more') ELSE c_name END")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(0).alias("turn"), text.alias("text"))
+    return cv.key_facts(rows, conv="id").drop("turn")
+
+
+@query("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations)
+SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'system' WHEN b <= 2 THEN 'recent' WHEN b <= 5 THEN 'medium' ELSE 'old' END AS tier FROM b""")
+def conversation_tiers(spark, d):
+    return cv.tiers(_convs(spark, d), 2, 3).select("conv_id", "turn", "tier")
+
+
+@query()
+def tiered_compression(spark, d):
+    return cv.tiered(_convs(spark, d), 2, 3)
+
+
+@query()
+def hierarchical_summary(spark, d):
+    return cv.hierarchy(table(spark, d, "documents"), "source", "doc_id", "text")
