@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,15 @@ def get_session(app: str = "tarnfold", cpus: int | str = 8, shuffle: int | None
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return with_package(spark)
+
+
+def with_package(spark: SparkSession) -> SparkSession:
+    """Lets Python workers of a local session import this package from where the driver has it, whatever their working
+    folder. On a cluster the package is installed or shipped with --py-files; a path that is absent there does no harm."""
+    root, known = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
     return spark
 
 
