@@ -31,8 +31,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
-    return bpe.digests(docs, bpe.word_vocabulary())
+    """Token counts and digests of ids and decoded text. The workers keep what they remember while later stages run, so
+    it is less here than where BPE runs alone."""
+    return bpe.digests(docs, bpe.word_vocabulary(), cache=100_000)
 
 
 STAGES = [("toxicity", reject_toxic), ("jaccard_join", drop_near_duplicates), ("mixing", mix_sources), ("bpe", encode)]

@@ -96,6 +96,7 @@ class WordBPE:
         self.inner = [self.vocab[letters[b]] for b in range(256)]
         self.last = [self.vocab[letters[b] + self.suffix] for b in range(256)]
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.limit = CACHE
         self.source = source
 
     def word(self, piece: bytes) -> list[int]:
@@ -155,7 +156,7 @@ class WordBPE:
             if found is None:
                 own = self._ids(run)
                 found = (len(own), " ".join(map(str, own)), " ".join([strings[i] for i in own]))
-                if len(cache) < CACHE:
+                if len(cache) < self.limit:
                     cache[run] = found
             if found[0]:
                 n += found[0]
@@ -176,7 +177,7 @@ def load(source: str) -> WordBPE:
     return _loaded[key]
 
 
-def _mapped(df: DataFrame, path: str, keep: tuple[str, ...], column: str, made: list[T.StructField], run) -> DataFrame:
+def _mapped(df: DataFrame, path: str, keep: tuple[str, ...], column: str, made: list[T.StructField], run, cache: int = CACHE) -> DataFrame:
     """``run(tokenizer, value)`` -> a tuple for ``made``, row by row in Arrow batches. The file (a few MB, whatever the
     corpus) is read by the driver and broadcast, so executors need no folder of the driver's."""
     with open(path, encoding="utf-8") as f:
@@ -187,6 +188,7 @@ def _mapped(df: DataFrame, path: str, keep: tuple[str, ...], column: str, made:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(shared.value)
+        tokenizer.limit = cache
         for batch in batches:
             got = [run(tokenizer, v) for v in batch.column("__value").to_pylist()]
             new = [pa.array([g[i] for g in got], types[f.dataType]) for i, f in enumerate(made)]
@@ -205,14 +207,14 @@ def decode(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: s
     return _mapped(df, path, keep, ids, [T.StructField("decoded", T.StringType())], lambda t, v: (t.decode(v or ()),))
 
 
-def digests(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def digests(df: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", cache: int = CACHE) -> DataFrame:
     """(*keep, n_tokens, ids_sha256, decoded_sha256) of encoding and decoding each text in one pass.
 
-    Null is read as the empty text; both have 0 tokens and the digests of nothing. Repeated rows come back each, an
+    ``cache``: runs that a Python worker remembers. Null is read as the empty text; both have 0 tokens and the digests of nothing. Repeated rows come back each, an
     empty table gives no rows, columns not in ``keep`` are dropped.
     """
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _mapped(df, path, keep, text, made, lambda t, v: t.digest(v))
+    return _mapped(df, path, keep, text, made, lambda t, v: t.digest(v), cache)
 
 
 def word_vocabulary() -> str:

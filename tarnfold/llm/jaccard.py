@@ -37,7 +37,7 @@ from tarnfold.llm.text import shingles
 from tarnfold.session import cut
 
 BUCKET_TOKENS = 500_000
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_000_000
 BLOCK_DOCS = 128
 BLOCK_TOKENS = 2_000_000
 
