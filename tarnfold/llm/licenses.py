@@ -1,9 +1,10 @@
 """Licence scans by a positional rare-token index, in DataFrame functions alone.
 
-A file's licence words are looked up; its highest-IDF ones are its anchors. Each anchor's postings name the templates
-and positions where it stands; postings that agree in relative position (file position minus template position) support
-one placement of the template. A template with enough agreeing anchors is accepted once its mandatory key phrases are
-verified in the file. Exact phrases are templates whose every word is mandatory, found from their rarest word.
+A file's licence words are looked up. Each template's highest-IDF words are its anchors: so many that a placement without
+any of them has too few of the template's words to be accepted. An anchor in a file nominates placements of its
+templates (file position minus template position), and a nominated placement is held against all licence words of its
+template. A template with enough words in place is accepted once its mandatory key phrases are verified in the file.
+Exact phrases are templates whose every word is mandatory, found from their rarest word.
 """
 
 from __future__ import annotations
@@ -95,12 +96,12 @@ def _places(w: Column, at: Column, phrase: list[str], rare: int) -> Column:
     return F.transform(F.filter(at, lambda i: (F.get(w, i) == phrase[rare]) & _phrase_at(w, i - rare, phrase)), lambda i: i - rare)
 
 
-def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), phrases: dict[str, str] | None = None, templates: tuple[Template, ...] = TEMPLATES, n_anchors: int = 16, least: float = 0.75) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), phrases: dict[str, str] | None = None, templates: tuple[Template, ...] = TEMPLATES, least: float = 0.75) -> DataFrame:
     """Each row with n_words, n_base, first_word, last_word, base_labels, labels, score and templates (label, placed,
-    of: anchors that agree, out of those that the template has).
+    of: the template's licence words in place, out of those that the row has anywhere).
 
     No shuffle: the corpus pass for IDF is an aggregate to the size of the vocabulary, and the scan is a projection. Null
-    and empty texts have no words and no labels; repeated rows come back each; ties between anchors of equal IDF go to
+    and empty texts have no words and no labels; repeated rows come back each; ties between words of equal IDF go to
     the word first in order; an empty table gives no rows; other columns are dropped unless named in ``keep``.
     """
     phrases = PHRASES if phrases is None else phrases
@@ -125,45 +126,38 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         starts.append(_places(w, at, p, min((k for k, x in enumerate(p) if x in rank), key=lambda k: rank[p[k]])))
     rows = rows.withColumn("_base", F.array(*starts))
 
-    # templates: the file's highest-IDF licence words, their postings, placements that agree
+    # templates: of n words with `need` in place, one is among any n - need + 1, so the rarest of these nominate all
+    own = [[(k, x) for k, x in enumerate(template.text.split()) if x in rank] for template in templates]
     postings: dict[str, list[tuple[int, int]]] = {}
-    for t, template in enumerate(templates):
-        for k, x in enumerate(template.text.split()):
-            if x in rank:
-                postings.setdefault(x, []).append((t, k))
+    for t, ws in enumerate(own):
+        need = next((g for g in range(1, len(ws) + 1) if g >= least * len(ws)), None)
+        for k, x in sorted(ws, key=lambda kx: (rank[kx[1]], kx[0]))[: 0 if need is None else len(ws) - need + 1]:
+            postings.setdefault(x, []).append((t, k))
     index = F.create_map(*[c for x, ps in sorted(postings.items()) for c in (F.lit(x), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for t, k in ps]))])
-    ranks = F.create_map(*[c for x, r in rank.items() for c in (F.lit(x), F.lit(r))])
-    anchors = F.slice(F.array_sort(F.array_distinct(F.transform(at, lambda i: ranks[F.get(w, i)]))), 1, n_anchors)
     # an anchor at i and its posting at k of t: t may stand from i - k
-    rows = rows.withColumn("_anchors", F.transform(anchors, lambda r: F.get(_strings(by_idf), r)))
-    points = F.flatten(
-        F.transform(
-            F.filter(at, lambda i: F.array_contains(F.col("_anchors"), F.get(w, i)) & F.map_contains_key(index, F.get(w, i))),
-            lambda i: F.transform(index[F.get(w, i)], lambda p: F.struct(p["t"].alias("t"), (i - p["k"]).alias("d"))),
+    points = F.array_distinct(
+        F.flatten(
+            F.transform(
+                F.filter(at, lambda i: F.get(w, i).isin(sorted(postings))),
+                lambda i: F.transform(index[F.get(w, i)], lambda p: F.struct(p["t"].alias("t"), (i - p["k"]).alias("d"))),
+            )
         )
     )
-    state = lambda t, d, run, best, done: F.struct(t.alias("t"), d.alias("d"), run.alias("run"), best.alias("best"), done.alias("done"))
-    one, zero = F.lit(1), F.lit(0)
-    ended = lambda s: F.concat(s["done"], F.array(F.struct(s["t"].alias("t"), s["best"].alias("best"))))
-
-    def step(s: Column, p: Column) -> Column:
-        same = state(s["t"], s["d"], s["run"] + 1, F.greatest(s["best"], s["run"] + 1), s["done"])
-        moved = state(s["t"], p["d"], one, s["best"], s["done"])
-        return F.when((p["t"] == s["t"]) & (p["d"] == s["d"]), same).when(p["t"] == s["t"], moved).otherwise(state(p["t"], p["d"], one, one, ended(s)))
-
-    # in order, equal (template, placement) stand together: the longest run of each template is its best placement
-    start = state(F.lit(-1), zero, zero, zero, F.array().cast("array<struct<t:int,best:int>>"))
-    best = F.when(F.size(at) > 0, F.aggregate(F.sort_array(points), start, step, ended)).otherwise(F.array().cast("array<struct<t:int,best:int>>"))
-    rows = rows.withColumn("_best", best)
+    every = F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x")) for k, x in ws]) for ws in own])
+    zero = F.lit(0)
+    # a place before the text's first word has none
+    stands = lambda p, o: F.when(p["d"] + o["k"] >= 0, F.get(w, p["d"] + o["k"]) == o["x"])
+    placed = F.transform(points, lambda p: F.struct(p["t"].alias("t"), F.size(F.filter(F.get(every, p["t"]), lambda o: F.coalesce(stands(p, o), F.lit(False)))).alias("best")))
+    rows = rows.withColumn("_best", F.when(F.size(at) > 0, placed).otherwise(F.array().cast("array<struct<t:int,best:int>>")))
+    rows = rows.withColumn("_held", F.when(F.size("_best") > 0, F.array_intersect(w, _strings(vocabulary))))
 
     spaced = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     accepted = []
     for t, template in enumerate(templates):
-        own = [x for x in template.text.split() if x in rank]
-        of = sum((F.array_contains(F.col("_anchors"), x).cast("int") for x in own), zero)
-        got = F.coalesce(F.get(F.filter("_best", _is(t)), zero)["best"], zero)
+        of = sum((F.array_contains(F.col("_held"), x).cast("int") for _, x in own[t]), zero)
+        got = F.coalesce(F.array_max(F.transform(F.filter("_best", _is(t)), lambda b: b["best"])), zero)
         keys = [F.contains(spaced, F.lit(f" {k} ")) for k in template.key_phrases]
-        ok = (got >= 1) & (got >= least * len(own))
+        ok = (got >= 1) & (got >= least * len(own[t]))
         for k in keys:
             ok = ok & k
         accepted.append(F.when(ok, F.struct(F.lit(template.label).alias("label"), got.alias("placed"), of.alias("of"))))
@@ -173,7 +167,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     places = F.flatten("_base")
     labels = F.array_compact(F.array(*[F.when(F.size(F.get("_base", F.lit(k))) > 0, F.lit(label)) for k, label in enumerate(phrases.values())]))
     more = F.concat(labels, F.transform("templates", lambda x: x["label"]))
-    sure = F.array_max(F.transform("templates", lambda x: F.least(F.lit(1.0), x["placed"] / F.greatest(x["of"], one))))
+    sure = F.array_max(F.transform("templates", lambda x: F.least(F.lit(1.0), x["placed"] / F.greatest(x["of"], F.lit(1)))))
     return rows.select(
         *keep,
         F.size(w).cast("long").alias("n_words"),

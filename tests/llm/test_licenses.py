@@ -52,6 +52,18 @@ def test_templates(spark):
     assert got[17]["labels"] == "" and got[17]["score"] == 0
 
 
+def test_many_notices_in_one_file(spark):
+    """More distinct licence words than any fixed count of anchors: every notice that stands verbatim keeps its label."""
+    notices = [t for t in licenses.TEMPLATES if t.label in ("gpl-3.0", "apache-2.0", "mit", "bsd")]
+    every = ". ".join(t.text for t in licenses.TEMPLATES)
+    got = rows_of(spark, [". ".join(t.text for t in notices), every, "filler " * 300 + every, " ".join(reversed(every.split()))])
+    assert {"apache-2.0", "bsd", "gpl", "gpl-3.0", "mit"} <= set(got[0]["labels"].split(","))
+    for i in (1, 2):
+        assert {t.label for t in licenses.TEMPLATES} <= set(got[i]["labels"].split(",")) and got[i]["score"] == 1
+        assert len(got[i]["templates"]) == len(licenses.TEMPLATES)
+    assert not got[3]["templates"]
+
+
 def test_empty_table(spark):
     assert not rows_of(spark, [])
 
