@@ -1,17 +1,17 @@
-"""URL filters: host and path rules, then association rules mined by FP-growth from labelled URLs."""
+"""URL filters: host and path rules, then association rules mined by pattern growth from labelled URLs."""
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = "label=block"
 # The given rules.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -61,35 +61,81 @@ class MinedRules:
         return found
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, n_items: int = 256, per_url: int = 12, max_labelled: int = 1_000_000, max_rules: int = 10_000) -> MinedRules:
-    """From (tokens, blocked) rows by Spark's FP-growth.
+def _grown(item: int, base: list[tuple[tuple[int, ...], int, int]], least: int, min_confidence: float) -> Iterator[tuple[list[int], int, int]]:
+    """(items, n, bad) of the sets with ``item`` that may be chosen, from its conditional base of (smaller items, n, bad).
 
-    Bounds of the model, all parameters: at most about ``max_labelled`` labelled rows (a hash sample beyond that), the
-    ``n_items`` tokens most associated with the label among those of enough support, ``per_url`` of them in one
-    transaction (so at most 2^per_url item sets from one), and the ``max_rules`` rules of highest confidence.
+    A set whose rows are those of a subset has the subset's confidence, and so have all that contain it; after
+    confidence 1 there is no higher one. Such sets are neither given nor grown. Subsets come before what contains them.
+    """
+    seen: dict[frozenset[int], tuple[int, float]] = {}
+
+    def visit(items: tuple[int, ...], rows: list[tuple[tuple[int, ...], int, int]]) -> Iterator[tuple[list[int], int, int]]:
+        n, bad, top, key = sum(r[1] for r in rows), sum(r[2] for r in rows), 0.0, frozenset(items)
+        for x in items[1:]:
+            part = seen.get(key - {x})
+            if part is None or part[0] == n:
+                return
+            top = max(top, part[1])
+        share = bad / n
+        if share >= min_confidence and share > top:
+            yield sorted(items), n, bad
+        if bad == n:
+            return
+        seen[key] = n, max(top, share)
+        blocked: dict[int, int] = defaultdict(int)
+        for prefix, _, y in rows:
+            if y:
+                for x in prefix:
+                    blocked[x] += y
+        for x in sorted(x for x, y in blocked.items() if y >= least):
+            yield from visit((*items, x), [(p[: p.index(x)], k, y) for p, k, y in rows if x in p])
+
+    if sum(r[2] for r in base) >= least:
+        yield from visit((item,), base)
+
+
+def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6) -> MinedRules:
+    """From all (tokens, blocked) rows, by pattern growth in a conditional base a token. Null tokens make no rules.
+
+    Support (share of all rows that have the antecedent and are blocked) and confidence alone bound tokens and rules:
+    at most (tokens a row) / min_support tokens are frequent, whatever the number of rows. A token's base holds its
+    rows' more frequent tokens, equal ones summed before the shuffle.
     """
     n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("int")), F.lit(0))).first()
     if not n or not bad:
         return MinedRules(())
-    if n > max_labelled:
-        labelled = labelled.where(F.pmod(F.xxhash64("tokens"), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
-    counts = labelled.select(F.explode("tokens").alias("x"), F.col("blocked").cast("int").alias("y")).groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
-    lift = F.abs(F.col("bad") - F.col("n") * (bad / n)) / F.sqrt(F.col("n").cast("double"))
-    top = [r["x"] for r in counts.where(F.col("n") >= min_support * n).orderBy(lift.desc(), "x").limit(n_items).collect()]
-    if not top:
+    least = max(1, math.ceil(min_support * n))
+    counts = labelled.select(F.explode(F.array_distinct("tokens")).alias("x"), F.col("blocked").cast("int").alias("y")).groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
+    names = [r["x"] for r in counts.where(F.col("bad") >= least).orderBy(F.desc("n"), "x").collect()]
+    if not names:
         return MinedRules(())
-    order = F.create_map(*[c for i, x in enumerate(top) for c in (F.lit(x), F.lit(i))])
-    kept = F.slice(F.array_sort(F.transform(F.array_intersect("tokens", F.array(*[F.lit(x) for x in top])), lambda x: order[x])), 1, per_url)
-    names = F.array(*[F.lit(x) for x in top])
-    items = F.transform(kept, lambda i: F.get(names, i))
-    baskets = labelled.select(F.concat(items, F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rows = model.associationRules.where((F.size("consequent") == 1) & (F.get("consequent", F.lit(0)) == BLOCK))
-    rows = rows.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_sort("antecedent")).limit(max_rules).collect()
+    order = {x: i for i, x in enumerate(names)}
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = [sorted({order[x] for x in found if x in order}) if found is not None else [] for found in pdf["tokens"]]
+            yield pd.DataFrame({"ids": ids, "y": pdf["y"]})
+
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        base = [(tuple(p), int(k), int(y)) for p, k, y in zip(pdf["prefix"], pdf["n"], pdf["bad"])]
+        return pd.DataFrame(list(_grown(int(key[0]), base, least, min_confidence)), columns=["items", "n", "bad"])
+
+    rows = labelled.select("tokens", F.col("blocked").cast("int").alias("y")).mapInPandas(numbered, "ids array<int>, y int")
+    sets = rows.groupBy("ids").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).where(F.size("ids") > 0)
+    each = sets.select(F.posexplode("ids").alias("at", "item"), "ids", "n", "bad").select("item", F.slice("ids", F.lit(1), F.col("at")).alias("prefix"), "n", "bad")
+    bases = each.groupBy("item", "prefix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    found = bases.groupBy("item").applyInPandas(grow, "items array<int>, n long, bad long").collect()
     chosen: list[tuple[tuple[str, ...], float, float]] = []
-    for r in sorted(rows, key=lambda r: (len(r["antecedent"]), -r["confidence"], sorted(r["antecedent"]))):
-        if not any(set(a) <= set(r["antecedent"]) and c >= r["confidence"] for a, c, _ in chosen):
-            chosen.append((tuple(sorted(r["antecedent"])), float(r["confidence"]), float(r["support"])))
+    at: dict[str, list[int]] = defaultdict(list)
+    for items, share, support in sorted(((tuple(sorted(names[i] for i in r["items"])), r["bad"] / r["n"], r["bad"] / n) for r in found), key=lambda r: (len(r[0]), -r[1], r[0])):
+        hits: dict[int, int] = defaultdict(int)
+        for x in items:
+            for i in at[x]:
+                hits[i] += 1
+        if not any(k == len(chosen[i][0]) and chosen[i][1] >= share for i, k in hits.items()):
+            for x in items:
+                at[x].append(len(chosen))
+            chosen.append((items, float(share), float(support)))
     return MinedRules(tuple(chosen))
 
 

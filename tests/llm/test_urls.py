@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from tarnfold.llm import urls
@@ -44,3 +45,42 @@ def test_mined_rules(spark):
     got = {r["page_id"]: r for r in urls.judge(pages, labelled, min_support=0.01).collect()}
     assert got[1]["verdict"] == "block" and got[1]["mined"] and got[1]["rule"] is None
     assert got[2]["verdict"] == got[4]["verdict"] == "allow" and got[3]["rule"] == "org/" and got[3]["verdict"] == "allow"
+
+
+def brute_rules(rows, min_support, min_confidence):
+    found = {}
+    for items in {c for t, _ in rows for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(set(t)), k)}:
+        hit = [bad for t, bad in rows if set(items) <= set(t)]
+        if sum(hit) >= min_support * len(rows) and sum(hit) >= min_confidence * len(hit):
+            found[items] = sum(hit) / len(hit)
+    return {a: c for a, c in found.items() if not any(set(b) < set(a) and found[b] >= c for b in found)}
+
+
+def test_mined_rules_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        t = [x for x in "abcdefg" if rng.random() < 0.5] + (["h", "i"] if rng.random() < 0.3 else [])
+        rows.append((t, rng.random() < (0.8 if {"a", "c"} <= set(t) and "g" not in t else 0.45)))
+    for support in (0.02, 0.1):
+        got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), support, 0.6)
+        assert {r[0]: r[1] for r in got.rules} == brute_rules(rows, support, 0.6)
+
+
+def test_tokens_and_rows_have_no_cap(spark):
+    """300 tokens that mean block, 2.5 M rows, a set of 40 tokens that a third of the rows share."""
+    rows = spark.range(2_500_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN transform(sequence(1, 40), i -> concat('p:x', i)) ELSE array(concat('h:', id % 400), 's:http') END AS tokens",
+        "id % 3 > 0 AND id % 400 < 300 AS blocked",
+    )
+    got = {r[0]: r[1] for r in urls.mine(rows).rules}
+    assert {k for k, c in got.items() if c == 1.0} == {(f"h:{i}",) for i in range(300)}
+    assert set(got) - {(f"h:{i}",) for i in range(300)} == {("s:http",)}
+
+
+def test_long_urls_keep_all_tokens(spark):
+    """The token that decides is the 30th of its URL."""
+    rows = [([f"p:{i}" for i in range(30)] + (["p:bad"] if k % 2 else ["p:good"]), k % 2 == 1) for k in range(40)] + [(["p:bad"], False)] * 10
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.01, 0.6)
+    assert {len(r[0]) for r in got.rules} == {1, 2} and (("p:bad",), 20 / 30, 0.4) in got.rules
+    assert (("p:0", "p:bad"), 1.0, 0.4) in got.rules and len(got.rules) == 31
