@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import difflib
+import math
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tarnfold.functions import text as tx
 from tarnfold.operators.components import connected_components
+from tarnfold.session import cut
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,6 +130,117 @@ def leader_groups(docs: DataFrame, block: list[str], threshold: float = 0.85, le
     return docs.select(key, text, *block).groupBy(*block).applyInPandas(group, f"{key} {kind}, leader {kind}")
 
 
+def normalised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, t): texts as difflib compares them, lower-cased and stripped by Python's rules; null is empty."""
+    kind = dict(docs.dtypes)[key]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({key: pdf[key], "t": [t.lower().strip() for t in pdf[text].fillna("")]})
+
+    return docs.select(key, text).mapInPandas(work, f"`{key}` {kind}, t string")
+
+
+# Lengths of q-grams and the counters that they are hashed to: shared counters only raise an overlap.
+_GRAMS = ((1, 64), (2, 512), (3, 1024))
+
+
+def _bags(texts: list[str]) -> list[np.ndarray]:
+    out = [np.zeros((len(texts), m), np.int32) for _, m in _GRAMS]
+    for i, t in enumerate(texts):
+        for (q, m), bag in zip(_GRAMS, out):
+            for g in range(len(t) - q + 1):
+                bag[i, zlib.crc32(t[g : g + q].encode("utf-8", "surrogatepass")) % m] += 1
+    return out
+
+
+def _masks(t: str) -> dict[str, int]:
+    """Of each character, its places as bits."""
+    at: dict[str, bytearray] = {}
+    for i, c in enumerate(t):
+        at.setdefault(c, bytearray(len(t) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    return {c: int.from_bytes(x, "little") for c, x in at.items()}
+
+
+def _lcs(masks: dict[str, int], size: int, t: str) -> int:
+    """Length of the longest common subsequence, bit-parallel (Hyyrö); no matching of difflib is longer."""
+    every = (1 << size) - 1
+    v = every
+    for c in t:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & every
+    return size - v.bit_count()
+
+
+def ratio_pairs(rows: DataFrame, threshold: float = 0.85, block: int = 200) -> DataFrame:
+    """(a, b, ratio), a < b: rows of (id, t) whose difflib ratio, a's text first, is at least the threshold.
+
+    Filters that lose no pair: of two lengths the larger is at most (2 - threshold) / threshold times the smaller, so
+    pairs stand in one length band or in neighbours; M matched characters leave la - q + 1 - q (la - M) - (q - 1) (lb - M)
+    q-grams in common and no more than the longest common subsequence. Bands are dealt in blocks of about ``block`` texts, and a task compares two blocks. Empty texts
+    have no pairs.
+    """
+    kind = dict(rows.dtypes)["id"]
+    step = math.log((2 - threshold) / threshold) * (1 + 1e-9)
+    banded = rows.where("t <> ''").withColumn("band", F.floor(F.log(F.length("t").cast("double")) / step))
+    parts = banded.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = banded.join(F.broadcast(parts), "band").select("id", "t", "band", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    blocks = parts.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"))
+    left, right = blocks.select(F.col("band").alias("b1"), F.col("part").alias("p1")), blocks.select(F.col("band").alias("b2"), F.col("part").alias("p2"))
+    near = left.withColumn("b2", F.explode(F.array(F.col("b1"), F.col("b1") + 1))).join(right, "b2").where("b2 > b1 or p2 >= p1")
+    sides = near.select("b1", "p1", "b2", "p2", F.explode(F.when((F.col("b1") == F.col("b2")) & (F.col("p1") == F.col("p2")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    sides = sides.withColumns({"band": F.when(F.col("side") == 0, F.col("b1")).otherwise(F.col("b2")), "part": F.when(F.col("side") == 0, F.col("p1")).otherwise(F.col("p2"))})
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        # one block with itself, or the first with the second
+        ids, texts, side = pdf["id"].tolist(), pdf["t"].tolist(), pdf["side"].to_numpy()
+        size, bags, out = np.array([len(t) for t in texts], np.int64), _bags(texts), []
+        first, other = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if side.any() else 0))
+        for i in first:
+            them = other if side.any() else other[other > i]
+            least = np.ceil(threshold * (size[i] + size[them]) / 2 - 1e-6)
+            ok = np.minimum(size[i], size[them]) >= least
+            for (q, _), bag in zip(_GRAMS, bags):
+                them, least = them[ok], least[ok]
+                x, y = size[i] - least, size[them] - least
+                shared = np.minimum(bag[them], bag[i]).sum(1)
+                ok = shared >= np.maximum(size[i] - q + 1 - q * x - (q - 1) * y, size[them] - q + 1 - q * y - (q - 1) * x)
+            them, least = them[ok], least[ok]
+            masks = _masks(texts[i]) if len(them) else {}
+            for j, m in zip(them, least):
+                if _lcs(masks, len(texts[i]), texts[j]) < m:
+                    continue
+                a, b = (i, j) if ids[i] < ids[j] else (j, i)
+                ratio = difflib.SequenceMatcher(None, texts[a], texts[b]).ratio()
+                if ratio >= threshold:
+                    out.append((ids[a], ids[b], ratio))
+        return pd.DataFrame(out, columns=["a", "b", "ratio"])
+
+    dealt = placed.join(sides, ["band", "part"]).select("b1", "p1", "b2", "p2", "side", "id", "t")
+    return dealt.groupBy("b1", "p1", "b2", "p2").applyInPandas(compare, f"a {kind}, b {kind}, ratio double")
+
+
+def greedy_leaders(docs: DataFrame, threshold: float = 0.85, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, leader) of leader_groups with the whole table as one block, for unique keys, without one task for all.
+
+    Equal texts have one leader, so one row stands for them. Of the pairs of enough ratio, a text that has no earlier
+    undecided one leads, and those that it pairs with later follow; rounds go on until no undecided pair is left.
+    """
+    texts = cut(normalised(docs, key, text))
+    long = texts.where(F.length("t") >= least)
+    rows = long.groupBy("t").agg(F.min(key).alias("id"))
+    pairs = cut(ratio_pairs(rows, threshold).select("a", "b"))
+    left, follows = pairs, pairs.select(F.col("b").alias("f")).limit(0)
+    while not left.isEmpty():
+        leads = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        new = left.join(leads, "a").select(F.col("b").alias("f")).distinct()
+        follows = cut(follows.unionByName(new))
+        left = cut(left.join(leads, "a", "left_anti").join(follows.select(F.col("f").alias("a")), "a", "left_anti").join(follows.select(F.col("f").alias("b")), "b", "left_anti").select("a", "b"))
+    led = pairs.join(follows.select(F.col("f").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("l"))
+    by_text = rows.join(led, rows["id"] == led["b"], "left").select("t", F.coalesce("l", "id").alias("leader"))
+    return long.join(by_text, "t").select(key, "leader").unionByName(texts.where(F.length("t") < least).select(key, F.col(key).alias("leader")))
+
+
 def merged(rows: DataFrame, group: str, strategy: str, key: str = "doc_id", content: str = "content", confidence: str = "confidence") -> DataFrame:
     """(group, content, confidence, members): keep_best (longest, then surest) or concat of distinct contents in key order."""
     if strategy == "keep_best":

@@ -86,8 +86,7 @@ def fuzzy_ratio_pairs(spark, d):
 
 @query()
 def greedy_groups(spark, d):
-    docs = _docs(spark, d).select("doc_id", "text", "source", F.floor(F.log2(F.col("n_chars") + 1.0) * 8).alias("size"))
-    return co.leader_groups(docs, ["source", "size"])
+    return co.greedy_leaders(_docs(spark, d))
 
 
 def _merge(strategy: str, text: str):

@@ -1,6 +1,8 @@
 """Order-dependent and edge-case behaviour, by hand-computed values."""
 
 import datetime
+import difflib
+import random
 
 import numpy as np
 import pytest
@@ -115,3 +117,31 @@ def test_import_error_policy(spark):
 def test_text(spark):
     row = spark.createDataFrame([(" Été  1 b_c! ", "One. Two?  Three")], "a string, b string").select(tx.tokens(F.col("a")).alias("t"), tx.sentences(F.col("b")).alias("s"), tx.normalized(F.col("a")).alias("n")).first()
     assert row["t"] == ["été", "1", "b_c"] and row["s"] == ["One", "Two", "Three"] and row["n"] == "été 1 b_c!"
+
+
+def _texts(n):
+    rng, words = random.Random(7), "alpha beta gamma delta kappa lambda sigma omega river stone cloud tree".split()
+    rows = []
+    for i in range(n):
+        t = rows[rng.randrange(i)][1] if i and rng.random() < 0.7 else " ".join(rng.choice(words) for _ in range(rng.choice((2, 5, 8, 45))))
+        for _ in range(rng.choice((0, 1, 1, 3))):
+            at = rng.randrange(len(t))
+            t = t[:at] + rng.choice(("", "x", " Q", "é")) + t[at + rng.choice((0, 1, 2)) :]
+        rows.append((i, rng.choice((t, t.upper(), f" {t} ")), i % 3))
+    return rows
+
+
+def test_greedy_leaders_over_the_whole_table(spark):
+    """As leader clustering with one block, also across sources and sizes."""
+    df = spark.createDataFrame([*_texts(120), (500, None, 0), (501, "short", 0), (502, "short", 1)], "doc_id long, text string, source int")
+    want = {r["doc_id"]: r["leader"] for r in co.leader_groups(df.selectExpr("*", "1 AS one"), ["one"]).collect()}
+    got = co.greedy_leaders(df).collect()
+    assert len(got) == len(want) and {r["doc_id"]: r["leader"] for r in got} == want and len(set(want.values())) < 90
+
+
+def test_ratio_pairs_against_all_pairs(spark):
+    rows = [(i, t) for i, t, _ in _texts(90)]
+    got = {(r["a"], r["b"]): r["ratio"] for r in co.ratio_pairs(co.normalised(spark.createDataFrame(rows, "id long, text string"), "id"), 0.8, block=20).collect()}
+    low = {i: t.lower().strip() for i, t in rows}
+    every = {(a, b): difflib.SequenceMatcher(None, low[a], low[b]).ratio() for a in low for b in low if a < b and low[a] and low[b]}
+    assert got == {k: r for k, r in every.items() if r >= 0.8} and len(got) > 50
