@@ -220,6 +220,17 @@ def ratio_pairs(rows: DataFrame, threshold: float = 0.85, block: int = 200) -> D
     return dealt.groupBy("b1", "p1", "b2", "p2").applyInPandas(compare, f"a {kind}, b {kind}, ratio double")
 
 
+def fuzzy_pairs(docs: DataFrame, threshold: float = 0.85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, ratio), a < b: distinct texts of at least the threshold by difflib's ratio, and near_pairs whatever theirs.
+    Texts that are equal lower-cased and stripped are one row here."""
+    texts = docs.select(key, text)
+    sides = lambda k, t: texts.select(F.col(key).alias(k), F.col(text).alias(t))
+    near = near_pairs(texts, key=key, text=text).join(sides("a", "ta"), "a").join(sides("b", "tb"), "b")
+    near = sequence_ratio(near.select("a", "b", "ta", "tb"), "ta", "tb").select("a", "b", "ratio")
+    rows = normalised(texts, key, text).groupBy("t").agg(F.min(key).alias("id"))
+    return near.unionByName(ratio_pairs(rows, threshold)).dropDuplicates(["a", "b"])
+
+
 def greedy_leaders(docs: DataFrame, threshold: float = 0.85, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, leader) of leader_groups with the whole table as one block, for unique keys, without one task for all.
 

@@ -78,10 +78,7 @@ def cluster_centroids(spark, d):
 
 @query()
 def fuzzy_ratio_pairs(spark, d):
-    docs = _docs(spark, d).select("doc_id", "text")
-    pairs = co.near_pairs(docs).where("similarity < 1")
-    texts = pairs.join(docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return co.sequence_ratio(texts, "ta", "tb").select("a", "b", F.round("ratio", 6).alias("ratio"))
+    return co.fuzzy_pairs(_docs(spark, d)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query()

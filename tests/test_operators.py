@@ -145,3 +145,10 @@ def test_ratio_pairs_against_all_pairs(spark):
     low = {i: t.lower().strip() for i, t in rows}
     every = {(a, b): difflib.SequenceMatcher(None, low[a], low[b]).ratio() for a in low for b in low if a < b and low[a] and low[b]}
     assert got == {k: r for k, r in every.items() if r >= 0.8} and len(got) > 50
+
+
+def test_fuzzy_pairs_of_equal_and_of_unlike_word_sets(spark):
+    """Equal word sets (a word twice; a line repeated) and one changed word of three are compared."""
+    rows = [(1, "one two three four five six"), (2, "one two three four five six six"), (3, "configuration parameter alpha"), (4, "configuration parameter alphas"), (5, "nothing like it")]
+    got = {(r["a"], r["b"]): r["ratio"] for r in co.fuzzy_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {(1, 2), (3, 4)} and got[1, 2] == difflib.SequenceMatcher(None, rows[0][1], rows[1][1]).ratio()
