@@ -96,6 +96,19 @@ def _merge(strategy: str, text: str):
 _merge("keep_best", "arg_max(c, (length(c), confidence, -doc_id))")
 _merge("concat", "array_to_string(list_distinct_ordered, '; ')".replace("list_distinct_ordered", "list_reduce(list_prepend([]::VARCHAR[], list_transform(list(c ORDER BY doc_id), lambda x: [x])), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x) END)"))
 
+
+def _merge_whole(strategy: str, text: str):
+    """Whole contents, compared by md5; merge_* above are on the first 12 characters, as their SQL has it."""
+
+    @query(f"WITH {MEMORIES}, g AS (SELECT *, doc_id % 100 AS grp, content AS c FROM m) SELECT grp, md5({text}) AS content_md5, round(least(1, avg(confidence) + 0.1 * count(*)), 6) AS confidence, count(*) AS members FROM g GROUP BY grp", name=f"merge_{strategy}_whole")
+    def run(spark, d):
+        rows = memories(spark, d).select("doc_id", (F.col("doc_id") % 100).alias("grp"), "content", "confidence")
+        return co.merged(rows, "grp", strategy).select("grp", F.md5("content").alias("content_md5"), F.round("confidence", 6).alias("confidence"), "members")
+
+
+_merge_whole("keep_best", "arg_max(c, (length(c), confidence, -doc_id))")
+_merge_whole("concat", "array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(list(c ORDER BY doc_id), lambda x: [x])), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x) END), '; ')")
+
 _NEG = " OR ".join(f"(contains(lower(a), '{n.replace(chr(39), chr(39) * 2)}') AND contains(lower(b), '{p}') AND NOT contains(lower(b), '{n.replace(chr(39), chr(39) * 2)}')) OR (contains(lower(b), '{n.replace(chr(39), chr(39) * 2)}') AND contains(lower(a), '{p}') AND NOT contains(lower(a), '{n.replace(chr(39), chr(39) * 2)}'))" for n, p in co.NEGATIONS)
 _AB = "ab AS (SELECT c_custkey AS id, 'the plan of ' || c_mktsegment || CASE c_custkey % 3 WHEN 0 THEN ' is not ready' WHEN 1 THEN ' is ready' ELSE ' was fine' END AS a, 'the plan of ' || c_mktsegment || CASE c_custkey % 5 WHEN 0 THEN ' isn''t late' WHEN 1 THEN ' is late' ELSE ' is ready' END AS b, (c_custkey % 10) / 10 AS s FROM customer)"
 

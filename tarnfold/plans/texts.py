@@ -156,6 +156,20 @@ def summarize_chunks(spark, d):
     return rows.groupBy("conv_id", F.floor((F.col("rn") - 1) / 3).alias("chunk")).agg(part.alias("summary"))
 
 
+@query()
+def summarize_sentences(spark, d):
+    """X26: the first three first sentences of over 20 characters, cut at 100, of chunks of 5 messages. summarize_chunks
+    is on the first 20 characters of 3, as its SQL has it."""
+    from pyspark.sql.window import Window
+
+    rows = _convs(spark, d).withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1) / 5))
+    first = F.regexp_replace(F.get(F.split(F.coalesce("text", F.lit("")), r"(?U)[.!?]\s+"), F.lit(0)), r"(?U)^\s+|\s+$", "")
+    per = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("user")).alias("role"), first.alias("s")))).alias("m"))
+    said = F.transform(F.slice(F.filter("m", lambda x: F.length(x["s"]) > 20), 1, 3), lambda x: F.concat(x["role"], F.lit(": "), F.substring(x["s"], 1, 100), F.lit("...")))
+    none = F.concat(F.lit("["), F.col("n").cast("string"), F.lit(" messages exchanged]"))
+    return per.select("conv_id", "chunk", F.when(F.size(said) > 0, F.array_join(said, "\n")).otherwise(none).alias("summary"))
+
+
 _ENT = " UNION ALL ".join(f"SELECT id, unnest(regexp_extract_all(text, {_q(p)}, 1)) AS name, '{k}' AS type FROM t" for p, k in rl.ENTITIES)
 
 
