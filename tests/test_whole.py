@@ -29,3 +29,11 @@ def test_summaries_of_five_messages_by_first_sentences(spark):
         said = [f"{role}: {s[:100]}..." for role, s in firsts if len(s) > 20]
         want[k] = "\n".join(said[:3]) or f"[{len(messages)} messages exchanged]"
     assert {(r["conv_id"], r["chunk"]): r["summary"] for r in catalog.queries()["summarize_sentences"](spark, SF).collect()} == want
+
+
+def test_rerank_and_metrics_leave_no_ids_out(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000).write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalog.queries()["rerank_all"](spark, str(tmp_path)).count() == 10
+    ids = {r["query_id"] for r in catalog.queries()["ranking_metrics_every_50th"](spark, SF).collect()}
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    assert len(ids) == n and max(ids) >= 5
