@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfold.session import cut
+
 WORD = re.compile(r"\w+")
 PREFIX = 5
 MAX_ROWS = 12_000
@@ -80,32 +82,36 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, n: int, m: int, dense: np.n
     return np.concatenate([w, out])
 
 
-def fit_chain(found: pa.ListArray, labels: dict[str, np.ndarray], chain: tuple[str, ...] = CHAIN, n_features: int = FEATURES, folds: int = 3, least: int = 3) -> list[Link]:
-    """Models in chain order from each row's features and 0/1 labels. A category's own features are those most associated
-    with it; later ones train on the earlier ones' out-of-fold probabilities, so they see them as they will be in use."""
-    n = len(found)
-    coded = found.flatten().dictionary_encode() if n else pa.array([], pa.string()).dictionary_encode()
-    names, cols = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(n), pc.list_value_length(found).to_numpy(zero_copy_only=False)) if n else np.empty(0, int)
+@dataclass(frozen=True)
+class Examples:
+    """Labelled rows as coordinates: row numbers and feature numbers, the features' names, 0/1 labels by category, and by
+    category the features that its model may use."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    names: list[str]
+    labels: dict[str, np.ndarray]
+    own: dict[str, np.ndarray]
+
+
+def fit_chain(given: Examples, chain: tuple[str, ...] = CHAIN, folds: int = 3) -> list[Link]:
+    """Models in chain order. Later ones train on the earlier ones' out-of-fold probabilities, so they see them as they
+    will be in use. A category of one class, or without rows, has a constant."""
+    n = len(given.labels[chain[0]])
     fold = np.arange(n) % folds
     earlier, links = np.empty((n, 0)), []
     for name in chain:
-        y = labels[name].astype(float)
+        y = given.labels[name].astype(float)
         rate = y.mean() if n else 0.0
         if rate in (0.0, 1.0):
             links.append(Link(name, 40.0 if rate else -40.0, {}, (0.0,) * len(links)))
             earlier = np.hstack([earlier, np.full((n, 1), rate)])
             continue
-        df = np.bincount(cols, minlength=len(names))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            z = np.abs(np.bincount(cols, y[rows], len(names)) - df * rate) / np.sqrt(df * rate * (1 - rate))
-        z[df < least] = 0
-        chosen = np.sort(np.argsort(-z, kind="stable")[:n_features])
-        chosen = chosen[z[chosen] > 3]
-        to = np.full(len(names), -1)
+        chosen = given.own[name]
+        to = np.full(len(given.names), -1)
         to[chosen] = np.arange(len(chosen))
-        keep = to[cols] >= 0
-        r, c, m = rows[keep], to[cols[keep]], len(chosen)
+        keep = to[given.cols] >= 0
+        r, c, m = given.rows[keep], to[given.cols[keep]], len(chosen)
 
         def model(on: np.ndarray) -> np.ndarray:
             at = np.cumsum(on) - 1
@@ -120,15 +126,53 @@ def fit_chain(found: pa.ListArray, labels: dict[str, np.ndarray], chain: tuple[s
             if (fold != f).any() and (fold == f).any():
                 out[fold == f] = sigmoid(odds(model(fold != f)))[fold == f]
         w = model(np.ones(n, bool))
-        links.append(Link(name, float(w[-1]), {names[j]: float(x) for j, x in zip(chosen, w[:m]) if abs(x) > 1e-9}, tuple(float(x) for x in w[m:-1]), best_threshold(out, y)))
+        links.append(Link(name, float(w[-1]), {given.names[j]: float(x) for j, x in zip(chosen, w[:m]) if abs(x) > 1e-9}, tuple(float(x) for x in w[m:-1]), best_threshold(out, y)))
         earlier = np.hstack([earlier, out[:, None]])
     return links
 
 
-def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, **how) -> list[Link]:
-    """From at most about ``max_rows`` labelled documents, those of the least hash: only their features reach the driver.
-    Labels have the key and one 0/1 column a category; rows with a null are no examples."""
-    whole = labels.select(F.col(key).alias("_k"), *chain).dropna()
+def examples(found: DataFrame, chain: tuple[str, ...], n_features: int = FEATURES, least: int = 3) -> Examples:
+    """From (_k, found array<string>, a 0/1 column a category). Features are chosen by aggregates: by category the
+    ``n_features`` of the highest |z| over 3 among those of at least ``least`` rows, ties to the name first in order. The
+    driver sees these names, and of each row the numbers of the chosen features that it has."""
+    total = found.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in chain]).first()
+    n = total["n"]
+    df = F.col("df")
+    counts = found.select(F.explode("found").alias("name"), *chain).groupBy("name").agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in chain]).where(df >= least)
+    rates = {c: total[c] / n if n else 0.0 for c in chain}
+    live = [c for c in chain if 0 < rates[c] < 1]
+    own_names: dict[str, list[str]] = {c: [] for c in chain}
+    if live:
+        z = {c: F.abs(F.col(c) - df * rates[c]) / F.sqrt(df * rates[c] * (1 - rates[c])) for c in live}
+        counts = cut(counts.select("name", *[z[c].alias(c) for c in live]))
+        for c in live:
+            own_names[c] = [r["name"] for r in counts.where(F.col(c) > 3).orderBy(F.desc(c), "name").limit(n_features).select("name").collect()]
+    names = sorted({x for own in own_names.values() for x in own})
+    number = {x: i for i, x in enumerate(names)}
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [[number[x] for x in row if x in number] for row in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(ids, pa.list_(pa.int32())), *[batch.column(c) for c in chain]], names=["_k", "ids", *chain])
+
+    kind = dict(found.dtypes)["_k"]
+    table = found.mapInArrow(coded, f"_k {kind}, ids array<int>, " + ", ".join(f"{c} int" for c in chain)).toArrow().combine_chunks()
+    # one order of rows whatever the partitions: by key, then by what the row has
+    table = table.append_column("_m", pc.list_value_length(table["ids"])).sort_by([("_k", "ascending"), ("_m", "ascending"), *[(c, "ascending") for c in chain]])
+    ids = table["ids"].combine_chunks() if len(table) else pa.array([], pa.list_(pa.int32()))
+    rows = np.repeat(np.arange(len(table)), pc.list_value_length(ids).to_numpy(zero_copy_only=False)) if len(table) else np.empty(0, int)
+    cols = ids.flatten().to_numpy(zero_copy_only=False).astype(int)
+    return Examples(rows, cols, names, {c: table[c].to_numpy() for c in chain}, {c: np.array(sorted(number[x] for x in own), int) for c, own in own_names.items()})
+
+
+def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, n_features: int = FEATURES, least: int = 3, folds: int = 3) -> list[Link]:
+    """From at most about ``max_rows`` labelled documents, those of the least hash.
+
+    Labels have the key and one 0/1 column a category; rows with a null are no examples, nor are labels without a
+    document. Null and empty texts are examples without features; very long ones are read whole; repeated rows count
+    each; without any example every category has probability 0. Other columns, whatever their names, are ignored.
+    """
+    whole = labels.select(F.col(key).alias("_k"), *[F.col(c).cast("int").alias(c) for c in chain]).dropna()
     n = whole.count()
     if n > max_rows:
         whole = whole.where(F.pmod(F.xxhash64("_k"), F.lit(1_000_000)) < int(1e6 * max_rows / n))
@@ -137,12 +181,11 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, key:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = pa.array([sorted(features(t)) for t in batch.column("_t").to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), got, *[batch.column(c).cast(pa.int32()) for c in chain]], names=["_k", "found", *chain])
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), got, *[batch.column(c) for c in chain]], names=["_k", "found", *chain])
 
     kind = dict(chosen.dtypes)["_k"]
-    table = chosen.mapInArrow(work, f"_k {kind}, found array<string>, " + ", ".join(f"{c} int" for c in chain)).toArrow().sort_by("_k").combine_chunks()
-    found = table["found"].combine_chunks() if len(table) else pa.array([], pa.list_(pa.string()))
-    return fit_chain(found, {c: table[c].to_numpy() for c in chain}, chain, **how)
+    found = cut(chosen.mapInArrow(work, f"_k {kind}, found array<string>, " + ", ".join(f"{c} int" for c in chain)))
+    return fit_chain(examples(found, chain, n_features, least), chain, folds)
 
 
 def probabilities(links: list[Link], texts: list[str | None]) -> np.ndarray:
@@ -160,27 +203,30 @@ def probabilities(links: list[Link], texts: list[str | None]) -> np.ndarray:
 def score(docs: DataFrame, links: list[Link], keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """(*keep, p_<category>...): whole texts, where they lie. Null and empty texts have the models' base probabilities;
     repeated rows come back each; an empty table gives no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(links)  # at most n_features weights a category
     rows = docs.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([rows.schema[k] for k in keep] + [T.StructField(f"p_{x.name}", T.DoubleType()) for x in links])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = probabilities(shared.value, batch.column("__text").to_pylist())
+            p = probabilities(links, batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(p[:, k]) for k in range(p.shape[1])], names=schema.names)
 
     return rows.mapInArrow(work, schema)
 
 
 def keep_clean(docs: DataFrame, links: list[Link], category: str = "toxic", threshold: float | None = None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose probability of the category is under the threshold, by default the model's own."""
-    shared = docs.sparkSession.sparkContext.broadcast(links)
+    """The rows of ``docs`` whose probability of the category is under the threshold, by default the model's own.
+
+    All columns come back as they were. Null and empty texts are judged by the models' base probabilities; very long
+    ones are read whole; repeated rows stay or go together; a probability equal to the threshold is rejected; an empty
+    table gives no rows. The models (at most n_features weights a category) travel with the tasks.
+    """
     which = [x.name for x in links].index(category)
     threshold = links[which].threshold if threshold is None else threshold
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(probabilities(shared.value, batch.column(text).to_pylist())[:, which] < threshold))
+            yield batch.filter(pa.array(probabilities(links, batch.column(text).to_pylist())[:, which] < threshold))
 
     return docs.mapInArrow(work, docs.schema)
 
