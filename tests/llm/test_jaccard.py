@@ -2,6 +2,9 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from tarnfold.llm import jaccard
@@ -57,10 +60,11 @@ def made(seed, n=240, family=60):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed,block", [(1, 128), (2, 7), (3, 16)])
-def test_against_brute_force(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,hood,rounds", [(1, 128, 4096, 2), (2, 7, 4096, 0), (3, 16, 10, 1)])
+def test_against_brute_force(spark, monkeypatch, seed, block, hood, rounds):
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", block)
-    monkeypatch.setattr(jaccard, "CHUNK_TOKENS", 5000)
+    monkeypatch.setattr(jaccard, "HOOD_DOCS", hood)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     rows = made(seed)
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component string").repartition(5)
     got = sorted(tuple(r) for r in jaccard.link_documents(df).collect())
@@ -76,9 +80,44 @@ def test_edges(spark):
     assert jaccard.link_documents(df.limit(0)).count() == 0
 
 
+def test_several_texts_of_one_id(spark):
+    a, b, c = "a b c d e f g h", "p q r s t u v w", "k l m n o p q r"
+    df = spark.createDataFrame([(5, a), (5, b), (2, b), (9, a), (None, c), (None, c), (7, c), (7, a), (8, "none of these at all")], "doc_id long, text string")
+    got = sorted((r[0] or 0, r[1], r[2] or 0) for r in jaccard.link_documents(df).collect())
+    assert got == [(0, 5, 0), (0, 5, 0), (2, 5, 2), (5, 5, 2), (5, 5, 2), (7, 5, 2), (7, 5, 2), (8, 2, 8), (9, 5, 2)]
+
+
+def test_a_null_id_links_nothing(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(words))
+    # 1 and 2 are near the text without an id, not near each other
+    df = spark.createDataFrame([(1, near(0, 1)), (None, near()), (2, near(58, 59))], "doc_id long, text string")
+    assert sorted((r[0] or 0, r[2] or 0) for r in jaccard.link_documents(df, threshold=0.92).collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_shingles_of_equal_low_bits_stay_apart(monkeypatch):
+    """32 low bits in common, and the bucket too: still other shingles."""
+    sets = {"a": np.array([(k << 40) + 7 for k in range(1, 11)], np.uint64), "b": np.array([(k << 40) + 7 for k in range(6, 16)], np.uint64)}
+    monkeypatch.setattr(jaccard, "shingles", lambda text, size: sets[text])
+    batch = pa.record_batch({"uid": pa.array([1, 2], pa.int64()), "text": ["a", "b"]})
+    blobs = pa.Table.from_batches(list(jaccard._blobs(4, 2)([batch])))
+    parts = [jaccard._shared(1)(blobs.filter(pa.compute.equal(blobs["bucket"], b))) for b in set(blobs["bucket"].to_pylist())]
+    out = jaccard._assembled(3, 10)(pa.concat_tables(parts))
+    assert out["n"].to_pylist() == [10, 10]
+    assert [jaccard.sums(jaccard.unpack(x)[0]).tolist() for x in out["codes"].to_pylist()] == [[(k << 40) + 7 for k in range(6, 11)]] * 2
+
+
+def test_pack():
+    rng = np.random.default_rng(1)
+    ids = np.sort(rng.integers(-(2**63), 2**63 - 1, 100))
+    n = rng.integers(0, 2**32, 7).astype(np.uint32)
+    a, b, c = jaccard.unpack(jaccard.pack(jaccard.gaps(ids), n, np.empty(0, np.uint64)))
+    assert (jaccard.sums(a, np.int64) == ids).all() and (b == n).all() and len(c) == 0
+
+
 def test_keep_one(spark):
     rows = [(5, "a b c d e f g h"), (3, "a b c d e f g h"), (9, "other words are here now"), (2, None), (1, "")]
-    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    df = spark.createDataFrame([(i, t, "s", "g", 1, "h") for i, t in rows], "doc_id long, text string, source string, _gone string, uid int, h string")
     got = jaccard.keep_one(df)
     assert got.columns == df.columns and sorted(r[0] for r in got.collect()) == [1, 2, 3, 9]
 
