@@ -15,24 +15,41 @@ from tarnfold.session import checkpoint_dir
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Classifier chain fitted on the labels; documents over the toxic threshold go."""
+    """Classifier chain fitted on the labels; documents at or over the toxic threshold go.
+
+    Null and empty texts are judged by the models' base probability and stay; very long texts are read whole; repeated rows
+    stay or go together; an empty table, or one without labels, loses nothing; all columns come back as they were.
+    """
     return toxicity.keep_clean(docs, toxicity.fit(docs, toxicity.label_table(spark, sf_dir)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, Jaccard similarity of 0.8 or more: of each group the document of the smallest id stays."""
+    """Five-word shingles, Jaccard similarity of 0.8 or more: of each group the document of the smallest id stays.
+
+    Null, empty and blank texts and rows without an id are linked with nothing and stay; rows of one id stay or go together;
+    very long texts are compared whole; an empty table stays empty; all columns come back as they were.
+    """
     return jaccard.keep_one(docs, size=5, threshold=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Temperature mixing of sources to 95 % of the largest entropy, at most 4 passes of a source: documents repeat, or
-    stay away, as their source's weight asks."""
+    stay away, as their source's weight asks.
+
+    A null source counts as the source ''; null or blank texts weigh nothing and pass as their place in the order says; a
+    repeated row takes its place twice; ties of place go by the text's hash; an empty table stays empty; all columns come
+    back as they were.
+    """
     return mixing.realise(docs, target_entropy=0.95, max_repeats=4.0)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text. The workers keep what they remember while later stages run, so
-    it is less here than where BPE runs alone."""
+    it is less here than where BPE runs alone.
+
+    A null text counts as empty: no ids; repeated rows come back each; whole texts, however long; an empty table gives no
+    rows; other columns are left out.
+    """
     return bpe.digests(docs, bpe.word_vocabulary(), cache=100_000)
 
 
