@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnfold.llm.vectors import best, matrix, one_each, usable
+from tarnfold.llm.vectors import best, matrix, usable
 from tarnfold.session import cut
 
 CURVES, DIMS, BITS = 4, 6, 9
@@ -72,30 +72,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine_best(q: np.ndarray, q_id: int, x: np.ndarray, ids: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by exact cosine: products first sift, with room for their rounding, then each pair is summed alone, so
-    that equal vectors have equal scores wherever they stand."""
+    """Scores and places of the k best by exact cosine: products first sift, with room for their rounding, then each pair is
+    summed alone, so that equal vectors have equal scores wherever they stand."""
     able = np.flatnonzero(ids != q_id)
     if len(able) > k:
         able = able[rough[able] >= np.partition(rough[able], len(able) - k)[len(able) - k] - 1e-9]
     y = x[able]
     score = (y * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((y * y).sum(1)))
     first = best(score, ids[able], k)
-    return score[first], ids[able][first]
+    return score[first], able[first]
 
 
-def _search(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> pa.Table:
-    qn, sn, di = [], [], []
+FOUND = "q_row long, c_row long, query_id long, vec_id long, score double"
+
+
+def _search(q: np.ndarray, q_rows: np.ndarray, q_ids: np.ndarray, x: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> pa.Table:
+    qn, sn, at = [], [], []
     qu, xu = _unit(q), _unit(x)
     for a in range(0, len(q), 256):
         rough = qu[a : a + 256] @ xu.T
         for r, i in zip(rough, range(a, a + 256)):
-            s, d = cosine_best(q[i], q_ids[i], x, ids, r, k)
-            qn.append(np.full(len(s), q_ids[i])), sn.append(s), di.append(d)
-    join = lambda parts, kind: pa.array(np.concatenate([*parts, np.empty(0)]).astype(kind))
-    return pa.table([join(qn, np.int64), join(di, np.int64), join(sn, np.float64)], names=["query_id", "vec_id", "score"])
-
-
-FOUND = "query_id long, vec_id long, score double"
+            s, c = cosine_best(q[i], q_ids[i], x, ids, r, k)
+            qn.append(np.full(len(s), i)), sn.append(s), at.append(c)
+    join = lambda parts, kind: np.concatenate([*parts, np.empty(0)]).astype(kind)
+    i, c = join(qn, np.int64), join(at, np.int64)
+    return pa.table([pa.array(v) for v in (q_rows[i], rows[c], q_ids[i], ids[c], join(sn, np.float64))], names=["q_row", "c_row", "query_id", "vec_id", "score"])
 
 
 def exact(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
@@ -107,9 +108,9 @@ def exact(rows: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> Da
         for batch in batches:
             if len(batch):
                 x = matrix(batch.column("v"), len(batch)).astype(np.float64)
-                yield from _search(q, q_ids, x, batch.column("vec_id").to_numpy(), k).to_batches()
+                yield from _search(q, np.arange(len(q)), q_ids, x, batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), k).to_batches()
 
-    parts = rows.select("vec_id", "v").mapInArrow(work, FOUND)
+    parts = rows.select("row", "vec_id", "v").mapInArrow(work, FOUND)
     return _ranked(parts, k)
 
 
@@ -119,7 +120,7 @@ def _ranked(parts: DataFrame, k: int) -> DataFrame:
 
 
 def ordered(rows: DataFrame, curves: int = CURVES) -> DataFrame:
-    """(curve, pos, vec_id, v): every row's rank on each curve, ties of key by id.
+    """(curve, pos, row, vec_id, v): every row's rank on each curve, ties of key by id.
 
     The range partitioning is written to the shared folder, then counted by partition; no task holds a curve."""
 
@@ -128,10 +129,10 @@ def ordered(rows: DataFrame, curves: int = CURVES) -> DataFrame:
             if len(batch):
                 keys = curve_keys(_unit(matrix(batch.column("v"), len(batch))), curves)
                 for c in range(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), c, np.int32)), pa.array(keys[c]), batch.column("vec_id"), batch.column("v")], names=["curve", "key", "vec_id", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), c, np.int32)), pa.array(keys[c]), batch.column("row"), batch.column("vec_id"), batch.column("v")], names=["curve", "key", "row", "vec_id", "v"])
 
-    long = rows.select("vec_id", "v").mapInArrow(work, f"curve int, key long, vec_id long, v {rows.schema['v'].dataType.simpleString()}")
-    spread = cut(long.repartitionByRange("curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id"))
+    long = rows.select("row", "vec_id", "v").mapInArrow(work, f"curve int, key long, row long, vec_id long, v {rows.schema['v'].dataType.simpleString()}")
+    spread = cut(long.repartitionByRange("curve", "key", "vec_id", "row").sortWithinPartitions("curve", "key", "vec_id", "row"))
     placed = spread.withColumns({"part": F.spark_partition_id(), "nth": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     counts = sorted(tuple(r) for r in placed.groupBy("part").count().collect())  # a row a partition
     first, table = 0, []
@@ -139,7 +140,7 @@ def ordered(rows: DataFrame, curves: int = CURVES) -> DataFrame:
         table.append((part, first))
         first += n
     offsets = rows.sparkSession.createDataFrame(table or [(0, 0)], "part int, first long")
-    return placed.join(F.broadcast(offsets), "part").select("curve", (F.col("first") + F.col("nth")).alias("pos"), "vec_id", "v")
+    return placed.join(F.broadcast(offsets), "part").select("curve", (F.col("first") + F.col("nth")).alias("pos"), "row", "vec_id", "v")
 
 
 def fit_window(places: DataFrame, rows: DataFrame, queries: DataFrame, k: int, sample: int = SAMPLE, target: float = TARGET) -> int:
@@ -161,13 +162,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, key: str = "vec_id"
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``.
 
     Nearness is the cosine in double precision of the original vectors, ties to the smaller id, the query's own id
-    aside; all candidates where there are fewer than k. Null, zero and non-finite vectors and null ids take no part; of
-    repeated ids the least vector stays; vectors of different lengths do not meet; other columns are ignored. Each
+    aside; all candidates where there are fewer than k. Null, zero and non-finite vectors and null ids take no part; every
+    row of a repeated id is a candidate, and a query under its id; vectors of different lengths do not meet; an empty table
+    gives no rows; other columns are ignored. Each
     window is whole blocks of one curve; a task has one block and a bounded group of its queries and returns k rows a
     query, so no list grows with a hot vector's copies.
     """
     rows = vectors.where(usable(F.col(vector), nonzero=True)).select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v"))
-    rows = cut(one_each(rows))
+    rows = cut(cut(rows.where("vec_id is not null")).withColumn("row", F.monotonically_increasing_id()))
     lengths = [r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect()]
     parts = [_nearest(rows.where(F.size("v") == d) if len(lengths) > 1 else rows, every, k, curves, block, target) for d in lengths]
     if not parts:
@@ -189,16 +191,16 @@ def _nearest(rows: DataFrame, every: int, k: int, curves: int, block: int, targe
     per_block = m * min(1.0, (2 * half + 2 * block) / max(n, 1))
     groups = max(1, -(-int(per_block) // QUERY_GROUP))
     group = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
-    data = places.select("curve", F.floor(rank / block).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(0).alias("side"), "vec_id", "v")
-    query = places.where(asked).select("curve", F.explode(touched).alias("b"), group.alias("g"), F.lit(1).alias("side"), "vec_id", "v")
+    data = places.select("curve", F.floor(rank / block).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(0).alias("side"), "row", "vec_id", "v")
+    query = places.where(asked).select("curve", F.explode(touched).alias("b"), group.alias("g"), F.lit(1).alias("side"), "row", "vec_id", "v")
 
     def work(table: pa.Table) -> pa.Table:
-        side, ids = table["side"].to_numpy(), table["vec_id"].to_numpy()
+        side, own, ids = table["side"].to_numpy(), table["row"].to_numpy(), table["vec_id"].to_numpy()
         x = matrix(table["v"], len(side)).astype(np.float64)
         mine, data = side == 1, side == 0
         if not mine.any() or not data.any():
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return _search(x[mine], ids[mine], x[data], ids[data], k)
+            return pa.table({**{c: pa.array([], pa.int64()) for c in ("q_row", "c_row", "query_id", "vec_id")}, "score": pa.array([], pa.float64())})
+        return _search(x[mine], own[mine], ids[mine], x[data], own[data], ids[data], k)
 
     found = data.unionByName(query).groupBy("curve", "b", "g").applyInArrow(work, FOUND)
     return _ranked(found.distinct(), k)

@@ -22,25 +22,46 @@ def made(seed, n=600, d=8):
 
 
 def clean(rows, zero=True):
-    out = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(y is not None and math.isfinite(y) for y in v) and (zero or any(v)):
-            out[i] = min(out.get(i, v), v)
-    return out
+    return [(i, v) for i, v in rows if i is not None and v is not None and all(y is not None and math.isfinite(y) for y in v) and (zero or any(v))]
+
+
+def plain_top(ints, every, k):
+    """Every row of an id is a candidate, and a query under its id."""
+    want = []
+    for q in sorted({i for i, _ in ints if i % every == 0}):
+        scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for j, own in ints if j == q for i, v in ints if i != q and len(v) == len(own))[:k]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    return want
 
 
 @pytest.mark.parametrize("seed,block", [(1, 64), (2, 2048)])
 def test_cover_tree_against_brute_force(spark, seed, block):
-    rows = made(seed)
+    rows = made(seed) + [(20, [1.0] * 8), (20, [2.0] * 8), (9, [2.0] * 8), (9, [2.0] * 8), (40, [1.0] * 3), (41, [2.0] * 3)]
     table = cover_tree.integers(frame(spark, rows))
-    got = {tuple(r) for r in cover_tree.top_k(table, table.where("vec_id % 20 = 0"), 10, data_block=block, query_block=16).collect()}
-    ints = {i: [math.floor(1024 * float(np.float32(x))) for x in v] for i, v in clean(rows).items()}
-    want = set()
-    for q in ints:
-        if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:10]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)}
-    assert got == want
+    got = sorted(tuple(r) for r in cover_tree.top_k(table, table.where("vec_id % 20 = 0"), 10, data_block=block, query_block=16).collect())
+    assert got == plain_top([(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in clean(rows)], 20, 10)
+
+
+def test_nodes_are_pruned_by_first_scores(spark, monkeypatch):
+    """Far clusters: the second round leaves most blocks out, and the result is whole."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c * 50 + rng.standard_normal((200, 6)) for c in rng.standard_normal((6, 6))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = cover_tree.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    met = []
+    real = cover_tree.cut
+    monkeypatch.setattr(cover_tree, "cut", lambda df: met.append(real(df)) or met[-1])
+    out = cover_tree.top_k(table, table.where("vec_id % 100 = 0"), 5, data_block=100, query_block=2)
+    assert sorted(tuple(r) for r in out.collect()) == plain_top([(i, [math.floor(1024 * y) for y in v]) for i, v in rows], 100, 5)
+    tasks = [df for df in met if df.columns == ["dim", "q_node", "q_sub", "d_node", "d_sub"]]
+    blocks = table.count() // 100
+    assert len(tasks) == 2 and tasks[1].count() < 0.5 * blocks * tasks[0].select("q_node", "q_sub").distinct().count()
+
+
+def test_products_beyond_64_bits(spark):
+    table = cover_tree.integers(spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 2.0]), (2, [-1e15, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    got = sorted(tuple(r) for r in cover_tree.top_k(table, table.where("vec_id = 0")).collect())
+    assert got == [(0, 1, 1, 2**63 - 1), (0, 2, 3, 2**63 - 1), (0, 3, 2, -(2**63))]
 
 
 def test_cover_tree_prunes_and_covers():
@@ -87,7 +108,7 @@ def test_hilbert_curve_is_continuous(bits, dims):
 def test_neighbours_recall_and_scores(spark, block):
     rows = made(5, n=1500, d=16)
     got = hilbert.nearest(frame(spark, rows), every=10, block=block).collect()
-    vs = {i: np.array(np.float32(v), float) for i, v in clean(rows, zero=False).items()}
+    vs = {i: np.array(np.float32(v), float) for i, v in clean(rows, zero=False)}
     ids = np.array(sorted(vs))
     x = np.array([vs[i] for i in ids])
     norm = np.sqrt((x * x).sum(1))
@@ -109,12 +130,17 @@ def test_neighbours_recall_and_scores(spark, block):
     assert hit / want >= 0.9
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Every row of an id is a candidate, and a query under its id."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [1.0, 0.1]), (3, [0.1, 1.0]), (3, [0.1, 1.0]), (4, [1.0, 1.0])]
+    got = sorted((r["rank"], r["vec_id"], round(r["score"], 6)) for r in hilbert.nearest(frame(spark, rows)).collect())
+    high = round(1 / math.sqrt(1.01), 6)
+    assert got == [(1, 3, high), (2, 3, high), (3, 3, high), (4, 4, round(math.sqrt(0.5), 6)), (5, 4, round(math.sqrt(0.5), 6))]
+
+
 def test_random_small(spark):
     rng = random.Random(2)
     rows = [(i, [rng.choice([-1.0, 0.0, 0.5]) for _ in range(3)]) for i in range(120)]
     table = cover_tree.integers(frame(spark, rows))
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in cover_tree.top_k(table, table.where("vec_id % 30 = 0"), 4, data_block=32).collect()}
-    ints = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
-    for q in (0, 30, 60, 90):
-        scored = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:4]
-        assert [got[(q, k + 1)] for k in range(4)] == [(i, -s) for s, i in scored]
+    got = sorted(tuple(r) for r in cover_tree.top_k(table, table.where("vec_id % 30 = 0"), 4, data_block=32).collect())
+    assert got == plain_top([(i, [math.floor(1024 * x) for x in v]) for i, v in rows], 30, 4)
