@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tarnfold.session import cut
+
 SLOTS = 8192
 
 
@@ -100,31 +102,53 @@ def _size(text: str) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size")
 
 
+CELLS = 16
+COPIES = 10_000
+
+
 def assign(docs: DataFrame, slot_map: SlotMap, grown: SlotMap | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every row with its shard: (key, size, text_crc32, vslot, shard, slot, grown_shard).
+    """Every row with its shard: (key, size, text_crc32, vslot, shard, slot, grown_shard, slot_bytes).
 
-    ``slot`` numbers a shard's rows from 0 without gaps, in the order (vslot, key, crc, size). It is a sum over slots
-    plus a row number inside one slot, so that no task holds more than one slot of the n_slots. A null text has 1 byte
-    and the crc32 of nothing, 0; equal keys share their slot; an empty table gives no rows; other columns are ignored.
+    ``slot`` numbers a shard's rows from 0 without gaps, by (vslot, cell, key, crc, size); a cell is one of CELLS parts of a
+    slot by hash of these. Rows that agree in key, crc and size are counted before any shuffle and numbered as one, so a
+    key or text with many copies is one row in the window over its cell; copies come back COPIES at a time. Bytes and rows
+    are summed by slot and cell; ``slot_bytes`` are those of the row's slot. A null text has 1 byte and the crc32 of
+    nothing, 0; equal keys share their slot; an empty table gives no rows; other columns are ignored.
     """
     spark, n = docs.sparkSession, len(slot_map.owner)
-    rows = docs.select(F.col(key), _size(text), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(key, n).alias("vslot"))
+    rows = docs.select(F.col(key).alias("_key"), _size(text), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(key, n).alias("vslot"))
+    alike = ["vslot", "_key", "text_crc32", "size"]
+    counted = cut(rows.groupBy(alike).agg(F.count("*").alias("copies")).withColumn("cell", F.pmod(F.xxhash64("_key", "text_crc32", "size", F.lit(1)), F.lit(CELLS)).cast("int")))
     both = [(i, s, None if grown is None else grown.owner[i]) for i, s in enumerate(slot_map.owner)]
     schema = T.StructType([T.StructField("vslot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType())])
     owner = spark.createDataFrame(both, schema)  # n_slots rows, whatever the data
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("vslot").agg(F.count("*").alias("n_rows"))
-    starts = owner.join(F.broadcast(counts), "vslot", "left").withColumn("first", F.coalesce(F.sum("n_rows").over(before), F.lit(0))).drop("n_rows")
-    inside = Window.partitionBy("vslot").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
-    return (
-        rows.withColumn("nth", F.row_number().over(inside))
-        .join(F.broadcast(starts), "vslot")
-        .select(key, "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), "grown_shard")
-    )
+    cells = counted.groupBy("vslot", "cell").agg(F.sum("copies").alias("rows"), F.sum(F.col("copies") * F.col("size")).alias("bytes"))
+    before = Window.partitionBy("shard").orderBy("vslot", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    slots = cells.groupBy("vslot").agg(F.sum("bytes").alias("slot_bytes"))
+    # n_slots * CELLS rows at most
+    starts = cells.join(F.broadcast(owner), "vslot").withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0))).join(F.broadcast(slots), "vslot")
+    inside = Window.partitionBy("vslot", "cell").orderBy(F.col("_key").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counted.withColumn("nth", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(F.broadcast(starts.select("vslot", "cell", "shard", "grown_shard", "first", "slot_bytes")), ["vslot", "cell"])
+    numbered = numbered.withColumn("at", F.col("first") + F.col("nth"))
+    some = numbered.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    each = some.withColumn("copy", F.explode(F.sequence(F.col("from"), F.least(F.col("copies"), F.col("from") + COPIES) - 1)))
+    return each.select(F.col("_key").alias(key), "size", "text_crc32", "vslot", "shard", (F.col("at") + F.col("copy")).alias("slot"), "grown_shard", "slot_bytes")
+
+
+def stored(spark: SparkSession, *versions: SlotMap) -> DataFrame:
+    """The map's versions as a table in the shared folder."""
+    frame = versions[0].frame(spark)
+    for v in versions[1:]:
+        frame = frame.unionByName(v.frame(spark))
+    return cut(frame.coalesce(1))
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 15 by the law ``key``; with a 17th shard only rows of its own move."""
-    base = SlotMap.first(16)
-    out = assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), base, base.grown())
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot", F.lit(base.version).alias("map_version"))
+    """All documents in shards 0 to 15 by the law ``key``; with a 17th shard only rows of its own move. Both versions of the
+    map are stored and read back. Under this law the map's edit looks at the count of shards alone; ``slot_bytes``, as
+    summed over the documents, is what ``SlotMap.rebalanced`` would work on under the law ``bytes``."""
+    first = SlotMap.first(16)
+    table = stored(spark, first, first.grown())
+    base, grown = SlotMap.read(table, first.version), SlotMap.read(table)
+    out = assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), base, grown)
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "vslot", F.lit(base.version).alias("map_version"), "slot_bytes")

@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+from tarnfold.llm import sharding
 from tarnfold.llm.sharding import SlotMap, assign, slot_bytes, virtual_slot
 
 
@@ -25,6 +26,29 @@ def test_assign_against_brute_force(spark):
         assert r["shard"] == base.owner[r["vslot"]] and r["grown_shard"] in (r["shard"], 16)
         per[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in per.values())
+    loads = defaultdict(int)
+    for r in got:
+        loads[r["vslot"]] += r["size"]
+    assert all(r["slot_bytes"] == loads[r["vslot"]] for r in got)
+
+
+def test_a_hot_key(spark, monkeypatch):
+    """A third of all rows are one row, another third one id with many texts."""
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(1, "same")] * 400 + [(2, f"text {k}") for k in range(400)] + [(k, "x") for k in range(10, 410)]
+    got = assign(table(spark, rows), SlotMap.first(4, 64)).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r["shard"]].append(r["slot"])
+    assert len(got) == 1200 and all(sorted(v) == list(range(len(v))) for v in per.values())
+    assert len({r["shard"] for r in got if r["doc_id"] == 2}) == 1
+
+
+def test_query_stores_its_map(spark, tmp_path):
+    table(spark, ROWS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op10_virtual_slots(spark, str(tmp_path)).collect()
+    base = SlotMap.first(16)
+    assert all((r["shard"], r["grown_shard"]) == (base.owner[r["vslot"]], base.grown().owner[r["vslot"]]) for r in got) and len(got) == len(ROWS)
 
 
 def test_key_decides_alone(spark):
