@@ -94,17 +94,23 @@ def _grown(item: int, base: list[tuple[tuple[int, ...], int, int]], least: int,
         yield from visit((item,), base)
 
 
-def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6) -> MinedRules:
+def significance(n: int, bad: int, base: float) -> float:
+    """How many standard deviations ``bad`` of ``n`` blocked rows are over what the base rate gives."""
+    return (bad - n * base) / math.sqrt(n * base * (1 - base)) if 0 < base < 1 else 0.0
+
+
+def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 20, min_z: float = 4.0) -> MinedRules:
     """From all (tokens, blocked) rows, by pattern growth in a conditional base a token. Null tokens make no rules.
 
-    Support (share of all rows that have the antecedent and are blocked) and confidence alone bound tokens and rules:
-    at most (tokens a row) / min_support tokens are frequent, whatever the number of rows. A token's base holds its
-    rows' more frequent tokens, equal ones summed before the shuffle.
+    Support (share of all rows that have the antecedent and are blocked, and ``min_rows`` such rows at least) and confidence
+    bound tokens and rules: at most (tokens a row) / min_support tokens are frequent, whatever the number of rows. A rule
+    also has to be ``min_z`` standard deviations over the base rate of blocked rows, so that on a table of any size chance
+    makes none. A token's base holds its rows' more frequent tokens, equal ones summed before the shuffle.
     """
     n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("int")), F.lit(0))).first()
     if not n or not bad:
         return MinedRules(())
-    least = max(1, math.ceil(min_support * n))
+    least, base_rate = max(1, min_rows, math.ceil(min_support * n)), bad / n
     counts = labelled.select(F.explode(F.array_distinct("tokens")).alias("x"), F.col("blocked").cast("int").alias("y")).groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
     names = [r["x"] for r in counts.where(F.col("bad") >= least).orderBy(F.desc("n"), "x").collect()]
     if not names:
@@ -125,6 +131,7 @@ def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float
     each = sets.select(F.posexplode("ids").alias("at", "item"), "ids", "n", "bad").select("item", F.slice("ids", F.lit(1), F.col("at")).alias("prefix"), "n", "bad")
     bases = each.groupBy("item", "prefix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     found = bases.groupBy("item").applyInPandas(grow, "items array<int>, n long, bad long").collect()
+    found = [r for r in found if significance(r["n"], r["bad"], base_rate) >= min_z]
     chosen: list[tuple[tuple[str, ...], float, float]] = []
     at: dict[str, list[int]] = defaultdict(list)
     for items, share, support in sorted(((tuple(sorted(names[i] for i in r["items"])), r["bad"] / r["n"], r["bad"] / n) for r in found), key=lambda r: (len(r[0]), -r[1], r[0])):

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from tarnfold.llm import urls
 
 
@@ -47,13 +49,14 @@ def test_mined_rules(spark):
     assert got[2]["verdict"] == got[4]["verdict"] == "allow" and got[3]["rule"] == "org/" and got[3]["verdict"] == "allow"
 
 
-def brute_rules(rows, min_support, min_confidence):
-    found = {}
+def brute_rules(rows, min_support, min_confidence, min_z):
+    found, base = {}, sum(bad for _, bad in rows) / len(rows)
     for items in {c for t, _ in rows for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(set(t)), k)}:
         hit = [bad for t, bad in rows if set(items) <= set(t)]
         if sum(hit) >= min_support * len(rows) and sum(hit) >= min_confidence * len(hit):
-            found[items] = sum(hit) / len(hit)
-    return {a: c for a, c in found.items() if not any(set(b) < set(a) and found[b] >= c for b in found)}
+            found[items] = sum(hit) / len(hit), (sum(hit) - len(hit) * base) / (len(hit) * base * (1 - base)) ** 0.5
+    best = {a: c for a, c in found.items() if not any(set(b) < set(a) and found[b][0] >= c[0] for b in found)}
+    return {a: c for a, (c, z) in best.items() if z >= min_z}
 
 
 def test_mined_rules_against_brute_force(spark):
@@ -62,9 +65,34 @@ def test_mined_rules_against_brute_force(spark):
     for _ in range(300):
         t = [x for x in "abcdefg" if rng.random() < 0.5] + (["h", "i"] if rng.random() < 0.3 else [])
         rows.append((t, rng.random() < (0.8 if {"a", "c"} <= set(t) and "g" not in t else 0.45)))
-    for support in (0.02, 0.1):
-        got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), support, 0.6)
-        assert {r[0]: r[1] for r in got.rules} == brute_rules(rows, support, 0.6)
+    for support, z in ((0.02, 0.0), (0.1, 0.0), (0.02, 2.0), (0.02, 4.0)):
+        got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), support, 0.6, 1, z)
+        assert {r[0]: r[1] for r in got.rules} == brute_rules(rows, support, 0.6, z)
+
+
+@pytest.mark.parametrize("n", [400, 40_000])
+def test_chance_makes_no_rule_and_a_planted_one_is_found(spark, n):
+    """Labels are chance but for one pair of tokens; as many rules on a small table as on a large one."""
+    rng = random.Random(n)
+    rows = [([f"p:{i}", f"h:{rng.randrange(10)}", f"q:{rng.randrange(4)}"], rng.random() < 0.3) for i in range(n)]
+    rows = [(t, rng.random() < 0.95 if {"h:3", "q:2"} <= set(t) and i % 2 else y) for i, (t, y) in enumerate(rows)]
+    rows += [(["h:3", "q:2"], True)] * (n // 10)
+    df = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    mined = urls.mine(df)
+    # the pair lifts the share of its tokens too
+    assert {("h:3", "q:2")} <= {r[0] for r in mined.rules} <= {("h:3",), ("q:2",), ("h:3", "q:2")}
+    hits = urls.match(df.where("array_contains(tokens, 'h:3') and array_contains(tokens, 'q:2')").select("tokens"), mined)
+    assert hits.where("mined is null").count() == 0
+    none = urls.mine(spark.createDataFrame([(t, rng.random() < 0.3) for t, _ in rows if "h:3" not in t], "tokens array<string>, blocked boolean"))
+    assert none.rules == ()
+
+
+def test_long_urls_repeats_and_null_labels(spark):
+    long = "http://bad.net/" + "/".join(f"w{k}" for k in range(20_000))
+    labelled = spark.createDataFrame([("http://bad.net/a", True)] * 60 + [("http://good.net/a", False)] * 60 + [("http://good.net/a", None), (None, True)], "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, long, "x"), (1, long, "x"), (2, "http://good.net/b", None)], "page_id long, url string, tokens string")
+    got = sorted((r["page_id"], r["verdict"], r["mined"]) for r in urls.judge(pages, labelled).collect())
+    assert got == [(1, "block", "h:bad"), (1, "block", "h:bad"), (2, "allow", None)]
 
 
 def test_tokens_and_rows_have_no_cap(spark):
@@ -73,7 +101,7 @@ def test_tokens_and_rows_have_no_cap(spark):
         "CASE WHEN id % 3 = 0 THEN transform(sequence(1, 40), i -> concat('p:x', i)) ELSE array(concat('h:', id % 400), 's:http') END AS tokens",
         "id % 3 > 0 AND id % 400 < 300 AS blocked",
     )
-    got = {r[0]: r[1] for r in urls.mine(rows).rules}
+    got = {r[0]: r[1] for r in urls.mine(rows, min_z=0.0).rules}
     assert {k for k, c in got.items() if c == 1.0} == {(f"h:{i}",) for i in range(300)}
     assert set(got) - {(f"h:{i}",) for i in range(300)} == {("s:http",)}
 
@@ -81,6 +109,6 @@ def test_tokens_and_rows_have_no_cap(spark):
 def test_long_urls_keep_all_tokens(spark):
     """The token that decides is the 30th of its URL."""
     rows = [([f"p:{i}" for i in range(30)] + (["p:bad"] if k % 2 else ["p:good"]), k % 2 == 1) for k in range(40)] + [(["p:bad"], False)] * 10
-    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.01, 0.6)
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.01, 0.6, 1, 0.0)
     assert {len(r[0]) for r in got.rules} == {1, 2} and (("p:bad",), 20 / 30, 0.4) in got.rules
     assert (("p:0", "p:bad"), 1.0, 0.4) in got.rules and len(got.rules) == 31
