@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -64,6 +65,40 @@ def test_many_notices_in_one_file(spark):
     assert not got[3]["templates"]
 
 
+def brute_templates(texts, least=0.75):
+    """All labels and scores by the definition, every placement of every template held against every word."""
+    vocabulary = set(licenses.licence_words(licenses.PHRASES, licenses.TEMPLATES))
+    out = []
+    for text in texts:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        spaced, labels, score = f" {' '.join(w)} ", set(filter(None, brute(text)[4].split(","))), 1.0 if brute(text)[1] else 0.0
+        for t in licenses.TEMPLATES:
+            own = [(k, x) for k, x in enumerate(t.text.split()) if x in vocabulary]
+            got = max((sum(0 <= d + k < len(w) and w[d + k] == x for k, x in own) for d in range(-len(t.text.split()), len(w))), default=0)
+            if got >= 1 and got >= least * len(own) and all(f" {p} " in spaced for p in t.key_phrases):
+                labels.add(t.label)
+                score = max(score, min(1.0, got / max(1, sum(x in w for _, x in own))))
+        out.append((",".join(sorted(labels)), round(score, 9)))
+    return out
+
+
+def test_all_labels_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = list(TEXTS[:11]) + list(TEXTS[14:])
+    for _ in range(40):
+        parts = []
+        for t in rng.sample(licenses.TEMPLATES, rng.randrange(1, 5)):
+            words = t.text.split()
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                words[rng.randrange(len(words))] = rng.choice(["filler", "license", "the", "software"])
+            if rng.random() < 0.2:
+                del words[rng.randrange(len(words))]
+            parts.append(" ".join(words))
+        texts.append((" " + rng.choice(["and ", "x y z ", ""])).join(parts))
+    got = rows_of(spark, texts)
+    assert [(got[i]["labels"], round(got[i]["score"], 9)) for i in range(len(texts))] == brute_templates(texts)
+
+
 def test_empty_table(spark):
     assert not rows_of(spark, [])
 
