@@ -62,3 +62,15 @@ def repetition(text: Column) -> Column:
     """Distinct over all words; 1 for an empty text."""
     w = F.regexp_extract_all(F.lower(text), F.lit(r"\S+"), F.lit(0))
     return F.when(F.size(w) == 0, 1.0).otherwise(F.size(F.array_distinct(w)) / F.size(w))
+
+
+def sentences_after_marks(text: Column, least: int = 20) -> Column:
+    """Pieces between white space that follows . ! or ?, marks kept, of at least ``least`` characters."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) >= least)
+
+
+def with_context(text: Column, mention: Column, window: int = 50) -> Column:
+    """The first place of a mention with ``window`` characters on either side; null where it is absent."""
+    at = F.instr(text, mention)
+    start = F.greatest(at - window, F.lit(1))
+    return F.when(at > 0, F.substring(text, start, at + F.length(mention) + window - start))

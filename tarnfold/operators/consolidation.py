@@ -231,23 +231,28 @@ def fuzzy_pairs(docs: DataFrame, threshold: float = 0.85, key: str = "doc_id", t
     return near.unionByName(ratio_pairs(rows, threshold)).dropDuplicates(["a", "b"])
 
 
+def greedy_rounds(pairs: DataFrame) -> DataFrame:
+    """(b, l) of pairs (a, b), a < b: the first leader that b follows. A row without an earlier undecided one leads, and
+    those that it pairs with later follow; rounds go on until no undecided pair is left."""
+    left, follows = pairs, pairs.select(F.col("b").alias("f")).limit(0)
+    while not left.isEmpty():
+        leads = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        new = left.join(leads, "a").select(F.col("b").alias("f")).distinct()
+        follows = cut(follows.unionByName(new))
+        left = cut(left.join(leads, "a", "left_anti").join(follows.select(F.col("f").alias("a")), "a", "left_anti").join(follows.select(F.col("f").alias("b")), "b", "left_anti").select("a", "b"))
+    return pairs.join(follows.select(F.col("f").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("l"))
+
+
 def greedy_leaders(docs: DataFrame, threshold: float = 0.85, least: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, leader) of leader_groups with the whole table as one block, for unique keys, without one task for all.
 
-    Equal texts have one leader, so one row stands for them. Of the pairs of enough ratio, a text that has no earlier
-    undecided one leads, and those that it pairs with later follow; rounds go on until no undecided pair is left.
+    Equal texts have one leader, so one row stands for them (see greedy_rounds for the rest).
     """
     texts = cut(normalised(docs, key, text))
     long = texts.where(F.length("t") >= least)
     rows = long.groupBy("t").agg(F.min(key).alias("id"))
     pairs = cut(ratio_pairs(rows, threshold).select("a", "b"))
-    left, follows = pairs, pairs.select(F.col("b").alias("f")).limit(0)
-    while not left.isEmpty():
-        leads = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        new = left.join(leads, "a").select(F.col("b").alias("f")).distinct()
-        follows = cut(follows.unionByName(new))
-        left = cut(left.join(leads, "a", "left_anti").join(follows.select(F.col("f").alias("a")), "a", "left_anti").join(follows.select(F.col("f").alias("b")), "b", "left_anti").select("a", "b"))
-    led = pairs.join(follows.select(F.col("f").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("l"))
+    led = greedy_rounds(pairs)
     by_text = rows.join(led, rows["id"] == led["b"], "left").select("t", F.coalesce("l", "id").alias("leader"))
     return long.join(by_text, "t").select(key, "leader").unionByName(texts.where(F.length("t") < least).select(key, F.col(key).alias("leader")))
 
@@ -262,7 +267,10 @@ def merged(rows: DataFrame, group: str, strategy: str, key: str = "doc_id", cont
 
 
 # A negative form and the positive form that it denies.
-NEGATIONS = (("is not", "is"), ("isn't", "is"), ("are not", "are"), ("aren't", "are"), ("was not", "was"), ("wasn't", "was"), ("were not", "were"))
+NEGATIONS = (
+    ("is not", "is"), ("isn't", "is"), ("are not", "are"), ("aren't", "are"), ("was not", "was"), ("wasn't", "was"), ("were not", "were"),
+    ("weren't", "were"), ("does not", "does"), ("doesn't", "does"), ("do not", "do"), ("don't", "do"), ("cannot", "can"), ("can't", "can"), ("never", "always"), ("no longer", "still"),
+)
 
 
 def contradicts(a: Column, b: Column, pairs=NEGATIONS) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,3 +76,38 @@ def jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None
     if partition_column and bounds:
         reader = reader.option("partitionColumn", partition_column).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
     return reader.load()
+
+
+def write_store(memories: DataFrame, commits: DataFrame, path: str) -> None:
+    """A whole store, deleted rows and commits included, as JSON lines {"kind": ..., "row": {...}}."""
+    one = lambda df, kind: df.select(F.to_json(F.struct(F.lit(kind).alias("kind"), F.struct(*df.columns).alias("row"))).alias("value"))
+    one(memories, "memory").unionByName(one(commits, "commit")).write.mode("overwrite").text(path)
+
+
+def read_store(spark: SparkSession, path: str, schema: T.StructType, kind: str = "memory") -> DataFrame:
+    """Rows of one kind; lines that are no JSON or of another kind are left out."""
+    line = T.StructType([T.StructField("kind", T.StringType()), T.StructField("row", schema)])
+    return spark.read.text(path).select(F.from_json("value", line).alias("x")).where(F.col("x.kind") == kind).select("x.row.*")
+
+
+def import_store(base: DataFrame, incoming: DataFrame, merge: bool, branch: str, key: str = "id") -> DataFrame:
+    """Rows after an import: incoming ones replace known keys; without ``merge`` the branch is cleared first."""
+    kept = base if merge else base.where(F.col("branch") != branch)
+    return kept.join(incoming.select(key), key, "left_anti").unionByName(incoming)
+
+
+def pack_float32(vector: str) -> Column:
+    """Little-endian float32 bytes of an array column, and ``unpack_float32`` back, in Arrow batches."""
+    @F.pandas_udf("binary")
+    def pack(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return pack(F.col(vector))
+
+
+def unpack_float32(blob: str) -> Column:
+    @F.pandas_udf("array<float>")
+    def unpack(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+
+    return unpack(F.col(blob))
