@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -156,6 +155,7 @@ def top_degrees(edges: DataFrame, k: int = 10) -> DataFrame:
 
 def augmented(scored: DataFrame, hits: DataFrame, key: str, boost: float = 0.3, k: int = 10) -> DataFrame:
     """Search scores plus boost * (graph score / largest graph score), best k."""
-    most = F.max("graph").over(Window.partitionBy())
-    both = scored.join(hits.select(key, "graph"), key, "left")
-    return both.select(key, (F.col("score") + F.coalesce(boost * F.col("graph") / F.when(most > 0, most), F.lit(0.0))).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    most = hits.join(scored.select(key), key, "left_semi").agg(F.max("graph").alias("_m"))  # one row
+    both = scored.join(hits.select(key, "graph"), key, "left").crossJoin(F.broadcast(most))
+    share = F.when(F.col("_m") > 0, F.col("graph") / F.col("_m"))
+    return both.select(key, (F.col("score") + F.coalesce(boost * share, F.lit(0.0))).alias("score")).orderBy(F.desc("score"), key).limit(k)

@@ -80,8 +80,14 @@ def find_similar(vectors: DataFrame, query_id: int, exclude: list[int], k: int =
     return top_k(vector_scores_by_id(vectors, query_id, metric, key).where(~F.col(key).isin(exclude)), k, key)
 
 
+MOST_QUERIES = 10_000
+
+
 def max_sim(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Late interaction: (q_id, q) by (doc_id, d) vectors; sum over query vectors of the best cosine in each document."""
+    """Late interaction: (q_id, q) by (doc_id, d) vectors; sum over query vectors of the best cosine in each document. The
+    vectors of one query text are broadcast; more than MOST_QUERIES of them are refused."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"one query has at most {MOST_QUERIES} vectors")
     pairs = docs.crossJoin(F.broadcast(queries)).select("doc_id", "q_id", vx.cosine(F.col("q"), F.col("d")).alias("s"))
     return pairs.groupBy("doc_id", "q_id").agg(F.max("s").alias("s")).groupBy("doc_id").agg(F.sum("s").alias("score"))
 

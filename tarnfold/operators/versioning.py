@@ -71,10 +71,18 @@ def resolve(a: Column, b: Column, policy: str) -> Column:
 
 def effective_permission(agents: DataFrame, rules: DataFrame) -> DataFrame:
     """(agent, namespace, permission) of agents' rows by their most specific rule: the agent's own before '*', then the
-    namespace's own before '*'; none without one. The rules are few and named by administrators, yet joined by key."""
-    own = agents.join(rules, (F.col("r_agent").isin("*") | (F.col("r_agent") == F.col("agent"))) & (F.col("r_namespace").isin("*") | (F.col("r_namespace") == F.col("namespace"))), "left")
-    rank = F.struct((F.col("r_agent") != "*").cast("int"), (F.col("r_namespace") != "*").cast("int"))
-    return own.groupBy("agent", "namespace").agg(F.coalesce(F.max_by("permission", rank), F.lit("none")).alias("permission"))
+    namespace's own before '*'; none without one. Four equi-joins by kind of rule, as a '*' matches no key."""
+    keys = agents.select("agent", "namespace").distinct()
+    parts = []
+    for rank, (own_agent, own_namespace) in enumerate(((True, True), (True, False), (False, True), (False, False))):
+        side = rules.where(((F.col("r_agent") != "*") == F.lit(own_agent)) & ((F.col("r_namespace") != "*") == F.lit(own_namespace)))
+        side = side.groupBy("r_agent", "r_namespace").agg(F.min("permission").alias("permission"))
+        on = [keys["agent"] == side["r_agent"]] * own_agent + [keys["namespace"] == side["r_namespace"]] * own_namespace
+        met = keys.join(side, on) if on else keys.crossJoin(F.broadcast(side))  # the rule for all: one row
+        parts.append(met.select("agent", "namespace", F.lit(rank).alias("rank"), "permission"))
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    best = found.groupBy("agent", "namespace").agg(F.min_by("permission", "rank").alias("permission"))
+    return keys.join(best, ["agent", "namespace"], "left").select("agent", "namespace", F.coalesce("permission", F.lit("none")).alias("permission"))
 
 
 def merge_clocks(a: Column, b: Column) -> Column:

@@ -46,31 +46,23 @@ def near_dups_jaccard(spark, d):
     return co.near_pairs(_docs(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-_CL = f"""WITH RECURSIVE {_PAIRS}, e AS (SELECT a, b FROM s UNION SELECT b, a FROM s), c(id, m) AS (SELECT a, a FROM e UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.id),
-k AS (SELECT id, min(m) AS cluster FROM c GROUP BY id)"""
+_CL = f"""WITH RECURSIVE {_PAIRS.replace('s AS (SELECT a, b', 's AS MATERIALIZED (SELECT a, b')}, e AS MATERIALIZED (SELECT a, b FROM s UNION SELECT b, a FROM s),
+c(id, m) AS (SELECT a, a FROM e UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.id AND c.m < e.b), k AS (SELECT id, min(m) AS cluster FROM c GROUP BY id)"""
 
 
-#: SQL of the cluster queries: all pairs, so too slow for whole tables; tests run it on the smallest ones.
-SMALL_SQL = {
-    "dup_clusters": f"{_CL} SELECT id, cluster FROM k",
-    "cluster_stats": f"{_CL} SELECT cluster, count(*) AS pairs, round(avg(similarity), 6) AS avg_similarity, round(min(similarity), 6) AS min_similarity, round(max(similarity), 6) AS max_similarity FROM s JOIN k ON k.id = a GROUP BY cluster",
-    "cluster_centroids": f"{_CL}, m AS (SELECT id, avg(similarity) AS v FROM (SELECT a AS id, similarity FROM s UNION ALL SELECT b, similarity FROM s) GROUP BY id) SELECT cluster, arg_max(m.id, (round(v, 9), -m.id)) AS centroid FROM m JOIN k USING (id) GROUP BY cluster",
-}
-
-
-@query()
+@query(f"{_CL} SELECT id, cluster FROM k")
 def dup_clusters(spark, d):
     return co.clusters(co.near_pairs(_docs(spark, d)))
 
 
-@query()
+@query(f"{_CL} SELECT cluster, count(*) AS pairs, round(avg(similarity), 6) AS avg_similarity, round(min(similarity), 6) AS min_similarity, round(max(similarity), 6) AS max_similarity FROM s JOIN k ON k.id = a GROUP BY cluster")
 def cluster_stats(spark, d):
     pairs = co.near_pairs(_docs(spark, d))
     got = co.cluster_stats(pairs, co.clusters(pairs))
     return got.withColumns({c: F.round(c, 6) for c in ("avg_similarity", "min_similarity", "max_similarity")})
 
 
-@query()
+@query(f"{_CL}, m AS (SELECT id, avg(similarity) AS v FROM (SELECT a AS id, similarity FROM s UNION ALL SELECT b, similarity FROM s) GROUP BY id) SELECT cluster, arg_max(m.id, (round(v, 9), -m.id)) AS centroid FROM m JOIN k USING (id) GROUP BY cluster")
 def cluster_centroids(spark, d):
     pairs = co.near_pairs(_docs(spark, d))
     return co.centroids(pairs, co.clusters(pairs))
@@ -87,27 +79,16 @@ def greedy_groups(spark, d):
 
 
 def _merge(strategy: str, text: str):
-    @query(f"WITH {MEMORIES}, g AS (SELECT *, doc_id % 100 AS grp, substr(content, 1, 12) AS c FROM m) SELECT grp, {text} AS content, round(least(1, avg(confidence) + 0.1 * count(*)), 6) AS confidence, count(*) AS members FROM g GROUP BY grp", name=f"merge_{strategy}")
-    def run(spark, d):
-        rows = memories(spark, d).select("doc_id", (F.col("doc_id") % 100).alias("grp"), F.substring("content", 1, 12).alias("content"), "confidence")
-        return co.merged(rows, "grp", strategy).withColumn("confidence", F.round("confidence", 6))
+    """Whole contents, compared by md5."""
 
-
-_merge("keep_best", "arg_max(c, (length(c), confidence, -doc_id))")
-_merge("concat", "array_to_string(list_distinct_ordered, '; ')".replace("list_distinct_ordered", "list_reduce(list_prepend([]::VARCHAR[], list_transform(list(c ORDER BY doc_id), lambda x: [x])), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x) END)"))
-
-
-def _merge_whole(strategy: str, text: str):
-    """Whole contents, compared by md5; merge_* above are on the first 12 characters, as their SQL has it."""
-
-    @query(f"WITH {MEMORIES}, g AS (SELECT *, doc_id % 100 AS grp, content AS c FROM m) SELECT grp, md5({text}) AS content_md5, round(least(1, avg(confidence) + 0.1 * count(*)), 6) AS confidence, count(*) AS members FROM g GROUP BY grp", name=f"merge_{strategy}_whole")
+    @query(f"WITH {MEMORIES}, g AS (SELECT *, doc_id % 100 AS grp, content AS c FROM m) SELECT grp, md5({text}) AS content_md5, round(least(1, avg(confidence) + 0.1 * count(*)), 6) AS confidence, count(*) AS members FROM g GROUP BY grp", name=f"merge_{strategy}")
     def run(spark, d):
         rows = memories(spark, d).select("doc_id", (F.col("doc_id") % 100).alias("grp"), "content", "confidence")
         return co.merged(rows, "grp", strategy).select("grp", F.md5("content").alias("content_md5"), F.round("confidence", 6).alias("confidence"), "members")
 
 
-_merge_whole("keep_best", "arg_max(c, (length(c), confidence, -doc_id))")
-_merge_whole("concat", "array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(list(c ORDER BY doc_id), lambda x: [x])), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x) END), '; ')")
+_merge("keep_best", "arg_max(c, (length(c), confidence, -doc_id))")
+_merge("concat", "array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(list(c ORDER BY doc_id), lambda x: [x])), lambda acc, x: CASE WHEN list_contains(acc, x[1]) THEN acc ELSE list_concat(acc, x) END), '; ')")
 
 _NEG = " OR ".join(f"(contains(lower(a), '{n.replace(chr(39), chr(39) * 2)}') AND contains(lower(b), '{p}') AND NOT contains(lower(b), '{n.replace(chr(39), chr(39) * 2)}')) OR (contains(lower(b), '{n.replace(chr(39), chr(39) * 2)}') AND contains(lower(a), '{p}') AND NOT contains(lower(a), '{n.replace(chr(39), chr(39) * 2)}'))" for n, p in co.NEGATIONS)
 _AB = "ab AS (SELECT c_custkey AS id, 'the plan of ' || c_mktsegment || CASE c_custkey % 3 WHEN 0 THEN ' is not ready' WHEN 1 THEN ' is ready' ELSE ' was fine' END AS a, 'the plan of ' || c_mktsegment || CASE c_custkey % 5 WHEN 0 THEN ' isn''t late' WHEN 1 THEN ' is late' ELSE ' is ready' END AS b, (c_custkey % 10) / 10 AS s FROM customer)"

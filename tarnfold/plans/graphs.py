@@ -76,7 +76,8 @@ def infer_transitive(spark, d):
     return gr.infer_transitive(edges(spark, d), "LOCATED_IN", "PART_OF", "LOCATED_IN", 0.95, 0.6).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(f"WITH {_E}, x AS (SELECT src, dst, confidence FROM e WHERE type = 'SUPPLIES' UNION ALL SELECT dst, src, confidence FROM e WHERE type = 'SUPPLIES' AND src IN ('s1', 's2')) SELECT x.dst AS src, x.src AS dst, 'SUPPLIES' AS type, round(x.confidence * 0.95, 6) AS confidence FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.src = x.dst AND y.dst = x.src)")
+@query(f"""WITH {_E}, x AS MATERIALIZED (SELECT src, dst, confidence FROM e WHERE type = 'SUPPLIES' UNION ALL SELECT dst, src, confidence FROM e WHERE type = 'SUPPLIES' AND src IN ('s1', 's2')),
+k AS MATERIALIZED (SELECT DISTINCT src, dst FROM x) SELECT x.dst AS src, x.src AS dst, 'SUPPLIES' AS type, round(x.confidence * 0.95, 6) AS confidence FROM x LEFT JOIN k ON k.src = x.dst AND k.dst = x.src WHERE k.src IS NULL""")
 def infer_symmetric(spark, d):
     e = edges(spark, d).where("type = 'SUPPLIES'").select("src", "dst", "type", "confidence")
     e = e.unionByName(e.where(F.col("src").isin("s1", "s2")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type", "confidence"))
@@ -89,13 +90,13 @@ def causal_chains(spark, d):
     return got.select(F.array_join("path", ">").alias("path"), F.round("confidence", 6).alias("confidence"))
 
 
-_S = "s AS (SELECT DISTINCT 's' || l_suppkey AS id, p_brand || p_size % 7 AS feature FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 30)"
+_S = "s AS (SELECT DISTINCT 's' || l_suppkey AS id, p_brand || p_size % 7 AS feature FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
 @query(f"""WITH {_S}, o AS (SELECT feature FROM s WHERE id = 's1') SELECT id, round(count(*) FILTER (feature IN (SELECT feature FROM o)) / (count(*) + (SELECT count(*) FROM o) - count(*) FILTER (feature IN (SELECT feature FROM o))), 6) AS similarity
 FROM s WHERE id <> 's1' GROUP BY id HAVING count(*) FILTER (feature IN (SELECT feature FROM o)) > 0 ORDER BY count(*) FILTER (feature IN (SELECT feature FROM o)) / (count(*) + (SELECT count(*) FROM o) - count(*) FILTER (feature IN (SELECT feature FROM o))) DESC, id LIMIT 10""")
 def analogies(spark, d):
-    s = table(spark, d, "lineitem").where("l_quantity > 30").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    s = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     s = s.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"), F.concat("p_brand", (F.col("p_size") % 7).cast("string")).alias("feature"))
     return gr.analogies(s, "s1").withColumn("similarity", F.round("similarity", 6))
 

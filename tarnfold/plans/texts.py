@@ -147,19 +147,10 @@ def extractive_summary(spark, d):
     return cv.extractive_summary(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("SELECT conv_id, floor((rn - 1) / 3)::BIGINT AS chunk, string_agg(substr(text, 1, 20), ' | ' ORDER BY turn) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY ALL")
+@query(r"""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 5 AS chunk, trim(string_split(regexp_replace(coalesce(text, ''), '[.!?]\s+', chr(1), 'g'), chr(1))[1], ' ' || chr(9) || chr(10) || chr(13)) AS s FROM conversations)
+SELECT conv_id, chunk::BIGINT AS chunk, coalesce(nullif(array_to_string((list(coalesce(role, 'user') || ': ' || substr(s, 1, 100) || '...' ORDER BY turn) FILTER (length(s) > 20))[1:3], chr(10)), ''), '[' || count(*) || ' messages exchanged]') AS summary FROM r GROUP BY ALL""")
 def summarize_chunks(spark, d):
-    from pyspark.sql.window import Window
-
-    rows = _convs(spark, d).withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
-    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("s")))), lambda x: x["s"]), " | ")
-    return rows.groupBy("conv_id", F.floor((F.col("rn") - 1) / 3).alias("chunk")).agg(part.alias("summary"))
-
-
-@query()
-def summarize_sentences(spark, d):
-    """X26: the first three first sentences of over 20 characters, cut at 100, of chunks of 5 messages. summarize_chunks
-    is on the first 20 characters of 3, as its SQL has it."""
+    """The first three first sentences of over 20 characters, cut at 100, of chunks of 5 messages."""
     from pyspark.sql.window import Window
 
     rows = _convs(spark, d).withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1) / 5))

@@ -37,14 +37,23 @@ def with_package(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where none is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where none is set and the master is
+    local, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if not found and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="tarnfold-checkpoint-"))
     return found or str(jsc.getCheckpointDir().get())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours that nothing reads any more, in whatever store it is; an absent one is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared checkpoint folder: lineage ends there and survives lost executors."""
     checkpoint_dir(df.sparkSession)

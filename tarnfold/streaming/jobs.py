@@ -7,16 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnfold.session import remove
+
 
 def stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
 def run(df: DataFrame, out: str, checkpoint: str, mode: str = "complete") -> None:
-    """Each batch replaces ``out`` (complete) or is added to it (append)."""
-    save = "overwrite" if mode == "complete" else "append"
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: batch.write.mode(save).parquet(out)).start()
-    query.awaitTermination()
+    """Each batch replaces ``out`` (complete), or a folder of its own number in it (append; ``appended`` reads them), so a
+    repeated batch changes nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def appended(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).drop("batch")
 
 
 def windowed_counts(events: DataFrame, ts: str, size: str, late: str, by: list[str]) -> DataFrame:
@@ -31,14 +40,15 @@ def session_counts(events: DataFrame, ts: str, gap: str, late: str, by: list[str
 
 
 def upsert_batches(incoming: DataFrame, target: str, key: str, version: str, checkpoint: str) -> None:
-    """Keeps the highest version of each key in ``target``: each batch is merged with what is there and swapped in by
-    batch number, so a repeated batch changes nothing."""
+    """Keeps the highest version of each key in ``target``: each batch is merged with what is there and written under its
+    number, so a repeated batch changes nothing; of older tables the last one stays."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch if number == 0 else batch.unionByName(spark.read.parquet(f"{target}/{number - 1}"))
         order = Window.partitionBy(key).orderBy(F.desc(version))
         rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{target}/{number}")
+        remove(spark, f"{target}/{number - 2}")
 
     incoming.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start().awaitTermination()
 

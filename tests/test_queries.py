@@ -4,11 +4,11 @@ import os
 
 import pytest
 
-from tarnfold.plans import catalog, consolidate
+from tarnfold.plans import catalog
 from tests import oracle
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, SQL = catalog.queries(), {**catalog.oracle_sql(), **consolidate.SMALL_SQL}
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

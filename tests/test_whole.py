@@ -1,4 +1,4 @@
-"""Queries over whole texts and whole tables, beside those whose SQL takes a part of them."""
+"""Queries take whole texts and whole tables."""
 
 import re
 from collections import defaultdict
@@ -13,7 +13,7 @@ def test_merges_take_whole_contents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null")
     longest = {r["g"]: r["n"] for r in docs.groupBy((F.col("doc_id") % 100).alias("g")).agg(F.max(F.length("text")).alias("n")).collect()}
     by_md5 = {r["h"]: r["n"] for r in docs.select(F.md5("text").alias("h"), F.length("text").alias("n")).collect()}
-    for r in catalog.queries()["merge_keep_best_whole"](spark, SF).collect():
+    for r in catalog.queries()["merge_keep_best"](spark, SF).collect():
         assert by_md5[r["content_md5"]] == longest[r["grp"]]
 
 
@@ -28,12 +28,12 @@ def test_summaries_of_five_messages_by_first_sentences(spark):
         firsts = [(m["role"], re.split(r"[.!?]\s+", m["text"] or "")[0].strip()) for m in messages]
         said = [f"{role}: {s[:100]}..." for role, s in firsts if len(s) > 20]
         want[k] = "\n".join(said[:3]) or f"[{len(messages)} messages exchanged]"
-    assert {(r["conv_id"], r["chunk"]): r["summary"] for r in catalog.queries()["summarize_sentences"](spark, SF).collect()} == want
+    assert {(r["conv_id"], r["chunk"]): r["summary"] for r in catalog.queries()["summarize_chunks"](spark, SF).collect()} == want
 
 
 def test_rerank_and_metrics_leave_no_ids_out(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000).write.parquet(f"{tmp_path}/documents.parquet")
-    assert catalog.queries()["rerank_all"](spark, str(tmp_path)).count() == 10
-    ids = {r["query_id"] for r in catalog.queries()["ranking_metrics_every_50th"](spark, SF).collect()}
+    assert catalog.queries()["rerank"](spark, str(tmp_path)).count() == 10
+    ids = {r["query_id"] for r in catalog.queries()["ranking_metrics"](spark, SF).collect()}
     n = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").count()
     assert len(ids) == n and max(ids) >= 5
