@@ -69,24 +69,30 @@ def sessions(rows: DataFrame, by: list[str], ts: str, tie: str, gap_seconds: flo
 
 def episodes(rows: DataFrame, key: str, ts: str, item: str, gap_seconds: float = 1800, longest_seconds: float = 14400, least_items: int = 2) -> DataFrame:
     """(key, episode, first_at, last_at, items): a new episode after a gap, or once it would span more than the longest.
-    Where an episode starts depends on where the last one did: a state machine over one key's ordered rows, in Arrow batches."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, item])
+    A gap starts one whatever came before, so runs without a gap are independent, and a run that isn't too long is an episode:
+    an aggregate. Only in longer ones does a start depend on the last one; such a run is what one task folds."""
+
+    def fold(run: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, begin, last, n = [], None, None, 0
-        for t in pdf[ts]:
-            if begin is None or (t - last).total_seconds() > gap_seconds or (t - begin).total_seconds() > longest_seconds:
+        for t in pdf[ts].sort_values():
+            if begin is None or (t - begin).total_seconds() > longest_seconds:
                 if n:
                     out.append((begin, last, n))
                 begin, n = t, 0
             last, n = t, n + 1
-        if n:
-            out.append((begin, last, n))
+        out.append((begin, last, n))
         kept = [e for e in out if e[2] >= least_items]
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(kept), "episode": range(1, len(kept) + 1), "first_at": pd.to_datetime([e[0] for e in kept]), "last_at": pd.to_datetime([e[1] for e in kept]), "items": [e[2] for e in kept]})
+        return pd.DataFrame({key: [run[0]] * len(kept), "first_at": pd.to_datetime([e[0] for e in kept]), "last_at": pd.to_datetime([e[1] for e in kept]), "items": [e[2] for e in kept]})
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, ts, item).groupBy(key).applyInPandas(fold, f"{key} {kind}, episode int, first_at timestamp, last_at timestamp, items int")
+    runs = sessions(rows.select(key, ts, item), [key], ts, item, gap_seconds).select(key, "session", ts)
+    spans = runs.groupBy(key, "session").agg(F.min(ts).cast("timestamp").alias("first_at"), F.max(ts).cast("timestamp").alias("last_at"), F.count("*").cast("int").alias("items"))
+    long = (_micros(F.col("last_at")) - _micros(F.col("first_at"))) / 1e6 > longest_seconds
+    whole = spans.where(~long & (F.col("items") >= least_items)).drop("session")
+    cut_up = runs.join(spans.where(long).select(key, "session"), [key, "session"], "left_semi").groupBy(key, "session")
+    found = whole.unionByName(cut_up.applyInPandas(fold, f"{key} {kind}, first_at timestamp, last_at timestamp, items int"))
+    return found.select(key, F.row_number().over(Window.partitionBy(key).orderBy("first_at")).alias("episode"), "first_at", "last_at", "items")
 
 
 def attention(rows: DataFrame, by: list[str], activation: Column, priority: Column, focused: Column) -> DataFrame:
@@ -104,7 +110,8 @@ def displaced(rows: DataFrame, by: list[str], capacity: int, tie: str, activatio
 
 
 def rate_limited(rows: DataFrame, key: str, ts: str, item: str, limit: int, window_seconds: float) -> DataFrame:
-    """(key, item, allowed): a client's window starts anew at its first request after the last one ended."""
+    """(key, item, allowed): a client's window starts anew at its first request after the last one ended. A pause of a whole
+    window starts one whatever came before, so a task folds only what lies between two pauses."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([ts, item])
@@ -117,7 +124,8 @@ def rate_limited(rows: DataFrame, key: str, ts: str, item: str, limit: int, wind
         return pd.DataFrame({key: pdf[key], item: pdf[item], "allowed": out})
 
     kinds = dict(rows.dtypes)
-    return rows.select(key, ts, item).groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {item} {kinds[item]}, allowed boolean")
+    runs = sessions(rows.select(key, ts, item), [key], ts, item, window_seconds - 5e-7)
+    return runs.groupBy(key, "session").applyInPandas(fold, f"{key} {kinds[key]}, {item} {kinds[item]}, allowed boolean")
 
 
 def episode_importance(value: Column) -> Column:

@@ -104,7 +104,12 @@ def confidence_score(spark, d):
     return said(spark, d).select("id", F.round(sf.adjusted_for_source(F.lit(0.8), trust), 6).alias("adjusted"), F.round(sf.confidence(F.col("text"), trust, F.col("id") % 100, F.col("id") % 5), 6).alias("confidence"))
 
 
-@query()
+_COUNT = {k: f"len(regexp_extract_all(text, {_q('(?i)' + p)}))" for p, k, *_ in rl.UNCERTAINTY}
+
+
+@query(f"""WITH {_T}, x AS (SELECT id, ({_TOTAL})::DOUBLE AS total, ({_MOST})::DOUBLE AS most, greatest(0, 1 - ({_PEN})::DOUBLE) AS certainty, {_COUNT['explicit_uncertainty']} AS explicit, {_COUNT['speculative']} AS speculative, (id % 11) / 10 AS trust, 0.8::DOUBLE AS base FROM t)
+SELECT id, CASE WHEN least(1.0, most + 0.1 * (total - most)) >= 0.5 THEN 'poison' WHEN least(1, CASE WHEN trust >= 0.9 THEN base * (1 + 0.2 * (trust - 0.9)) ELSE base * trust END) < 0.4 THEN 'confidence' WHEN trust < 0.3 THEN 'source' ELSE 'accepted' END AS outcome,
+certainty < 0.4 OR explicit > 0 OR (speculative > 0 AND certainty < 0.6) AS defer FROM x""")
 def guard_decision(spark, d):
     trust = (F.col("id") % 11) / 10
     return said(spark, d).select("id", sf.guard(F.col("text"), F.lit(0.8), trust).alias("outcome"), sf.should_defer(F.col("text")).alias("defer"))
