@@ -84,6 +84,10 @@ def n_tokens(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+#: Sources up to which their table is broadcast.
+MOST_SOURCES = 500_000
+
+
 def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None = 0.95, max_repeats: float | None = 4.0, seed: int = 17, key: str = "doc_id", source: str = "source", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Every document with the copies it gets: (key, source, tokens, weight, exponent, block, start, copies, *keep).
 
@@ -108,16 +112,18 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     made = plan_mix(blocks.groupBy("source").agg(F.sum("n").alias("tokens")), budget, target_entropy=target_entropy, max_repeats=max_repeats)
     table = [(s, made.weights[s], made.budgets[s] // n if n else 0, made.budgets[s] % n if n else 0) for s, n in made.tokens.items()]
     per = spark.createDataFrame(table, "source string, weight double, passes long, rest long")
+    # a row a source: broadcast up to a checked number of sources, else Spark joins by shuffle
+    spread = F.broadcast if len(table) <= MOST_SOURCES else lambda df: df
     before = Window.partitionBy("source").rowsBetween(Window.unboundedPreceding, -1)
     ahead = lambda order: F.coalesce(F.sum("n").over(before.orderBy(order)), F.lit(0))
     # which block of each source holds the end of its budget; blocks before it are in
-    edges = blocks.withColumn("b0", ahead("block")).join(F.broadcast(per), "source").where("b0 < rest").groupBy("source").agg(F.max(F.struct("block", "b0")).alias("e"))
+    edges = blocks.withColumn("b0", ahead("block")).join(spread(per), "source").where("b0 < rest").groupBy("source").agg(F.max(F.struct("block", "b0")).alias("e"))
     edges = edges.select("source", F.col("e.block").alias("e_block"), F.col("e.b0").alias("e_b0"))
     per = per.join(edges, "source", "left")
-    subs = rows.join(F.broadcast(per), "source").where("block = e_block").groupBy("source", "_sub").agg(F.sum("tokens").alias("n"), F.max("e_b0").alias("e_b0"), F.max("rest").alias("rest"))
+    subs = rows.join(spread(per), "source").where("block = e_block").groupBy("source", "_sub").agg(F.sum("tokens").alias("n"), F.max("e_b0").alias("e_b0"), F.max("rest").alias("rest"))
     subs = subs.withColumn("s0", F.col("e_b0") + ahead("_sub")).where("s0 < rest").groupBy("source").agg(F.max(F.struct("_sub", "s0")).alias("s"))
     per = per.join(subs.select("source", F.col("s._sub").alias("e_sub"), F.col("s.s0").alias("e_s0")), "source", "left")
-    rows = rows.join(F.broadcast(per), "source")
+    rows = rows.join(spread(per), "source")
     last = (F.col("block") == F.col("e_block")) & (F.col("_sub") == F.col("e_sub"))
     inside = Window.partitionBy("source", "_cell").orderBy("_h", "_t").rowsBetween(Window.unboundedPreceding, -1)
     # rows of the last sub-block share a cell; the others are spread, and need no order
@@ -134,7 +140,9 @@ def op4_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def realise(docs: DataFrame, seed: int = 17, **target) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix asks (see ``mix``); columns and their values as they were."""
-    packed = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct("*").alias("_row"))
+    """The rows of ``docs``, each as often as the mix asks (see ``mix``); columns and their values as they were, whatever
+    their names. A null source counts as one of its own name, ''; rows of null or blank text weigh nothing and pass as their
+    place says; repeated rows take a place each; an empty table gives no rows."""
+    packed = docs.select(F.col("doc_id"), F.col("source"), F.col("text"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
     mixed = mix(packed, seed=seed, keep=("_row",), **target).where("copies > 0")
     return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
