@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tarnfold.functions import text as tx
 from tarnfold.functions import vector as vx
+from tarnfold.session import cut
 
 # ---------------------------------------------------------------- BM25
 
@@ -23,24 +24,28 @@ def bm25_idf(docs: DataFrame, text: str = "text") -> DataFrame:
     return terms.crossJoin(F.broadcast(n)).select("term", "df", F.greatest(F.lit(0.25), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("idf"))
 
 
-def bm25_scores(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(key, score) of every document; repeated query terms count each time. Corpus statistics are one aggregate row; no
-    postings are shuffled for a query."""
+def term_counts(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, dl, tf0, tf1, ...): words of each document, and how many of them are each term. Texts are read once: what is
+    written down is a few numbers a document. A text that doesn't hold a term at all is not searched for it."""
+    low, edge = F.lower(text), r"[\p{L}\p{N}_]"
+    tf = lambda t: F.when(F.contains(low, F.lit(t)), F.regexp_count(low, F.lit(rf"(?<!{edge})\Q{t}\E(?!{edge})"))).otherwise(0)
+    return cut(docs.select(key, F.coalesce(F.regexp_count(low, F.lit(tx.WORDS)), F.lit(0)).alias("dl"), *[F.coalesce(tf(t), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)]))
+
+
+def bm25_scores(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, every: bool = False) -> DataFrame:
+    """(key, score) of every document, or with ``every`` of those that have all terms; repeated query terms count each time.
+    Corpus statistics are one aggregate row; no postings are shuffled for a query."""
     terms = sorted(set(query))
-    w = docs.select(key, tx.tokens(F.col(text)).alias("w"))
-    rows = w.select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    rows = term_counts(docs, terms, key, text)
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    score = F.lit(0.0)
+    score, all_ = F.lit(0.0), F.lit(True)
     for i, t in enumerate(terms):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.greatest(F.lit(0.25), F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1))
         part = F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).otherwise(0.0)
-        score = score + query.count(t) * part
-    return rows.crossJoin(F.broadcast(stats)).select(key, score.alias("score"))
-
-
-def _equals(t: str):
-    return lambda x: x == t
+        score, all_ = score + query.count(t) * part, all_ & (tf > 0)
+    scored = rows.crossJoin(F.broadcast(stats))
+    return (scored.where(all_) if every else scored).select(key, score.alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, key: str, score: str = "score", offset: int = 0) -> DataFrame:
@@ -54,8 +59,7 @@ def bm25_top_k(docs: DataFrame, query: list[str], k: int = 10, key: str = "doc_i
 
 def fts_search(docs: DataFrame, query: list[str], k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All terms must occur (implicit AND); BM25 with k1 = 1.2."""
-    have = docs.where(F.size(F.array_intersect(tx.tokens(F.col(text)), F.array(*[F.lit(t) for t in set(query)]))) == len(set(query))).select(key)
-    return top_k(bm25_scores(docs, query, key, text, k1=1.2).join(have, key, "left_semi"), k, key)
+    return top_k(bm25_scores(docs, query, key, text, k1=1.2, every=True), k, key)
 
 
 def substring_search(docs: DataFrame, needle: str, k: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
