@@ -34,7 +34,7 @@ def byte_alphabet() -> dict[int, str]:
 
 def newer(text: str) -> bool:
     """Whether a character is unassigned in Python's Unicode tables: libraries of other versions may class it."""
-    return any(unicodedata.category(c) == "Cn" for c in text)
+    return any(unicodedata.category(c) == "Cn" for c in set(text))
 
 
 def merge(ids: list[int], ranks: dict[int, int], made: list[int]) -> list[int]:

@@ -1,21 +1,15 @@
-"""Byte-level BPE ids of whole texts, equal to the tokenizers library's for the same file, by tiktoken and a cache.
-
-With a single space between two other characters a new token always begins at that space, so a text without double
-spaces is the concatenation of its space-led runs, and each run is looked up or encoded once.
-"""
+"""Byte-level BPE ids of whole texts, equal to the tokenizers library's for the same file, by tiktoken."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-from array import array
 
 import numpy as np
 import tiktoken
 
 from tarnfold.llm.bpe import byte_alphabet, newer
 
-CACHE = 800_000
 # Fixed value: the split pattern of the file's byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -39,32 +33,17 @@ class ByteBPE:
         self.ids = np.array([vocab[s] for s in ranked] + list(added.values()), np.uint16)
         self.same = bool((self.ids == np.arange(len(self.ids))).all())
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.cache: dict[str, bytes] = {}
         self.source, self.library = source, None
 
-    def _all(self, text: str) -> bytes:
+    def packed(self, text: str) -> bytes:
         if not text.isascii() and newer(text):  # characters that only the library's Unicode tables may know
             if self.library is None:
                 from tokenizers import Tokenizer
 
                 self.library = Tokenizer.from_str(self.source)
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-        found = self.encoding.encode(text, allowed_special="all") if "<" in text else self.encoding.encode_ordinary(text)
-        return array("H", found if self.same else self.ids[found].tolist()).tobytes()
-
-    def packed(self, text: str) -> bytes:
-        if "  " in text:
-            return self._all(text)
-        first, *rest = text.split(" ")
-        cache, get, out = self.cache, self.cache.get, [self._all(first)]
-        for run in rest:
-            found = get(run)
-            if found is None:
-                found = self._all(" " + run)
-                if len(cache) < CACHE:
-                    cache[run] = found
-            out.append(found)
-        return b"".join(out)
+        found = self.encoding.encode_to_numpy(text, allowed_special="all" if "<" in text else set(), disallowed_special=())
+        return (found.astype(np.uint16) if self.same else self.ids[found]).tobytes()
 
 
 _loaded: dict[str, ByteBPE] = {}
