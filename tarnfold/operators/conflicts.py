@@ -161,3 +161,21 @@ def batch_duplicates(memories: DataFrame, position: str, size: int = 100, conten
     rows = memories.select(F.floor(F.col(position) / size).alias("batch"), tx.content_hash(F.col(content)).alias("h"))
     per = rows.groupBy("batch", "h").agg(F.count("*").alias("n"))
     return per.groupBy("batch").agg(F.sum("n").alias("memories"), (F.sum("n") - F.count("*")).alias("duplicates"))
+
+
+def estimate(memories: DataFrame, key: str = "id", content: str = "content", sample: int = 100, threshold: float = 0.95, seed: int = 7) -> DataFrame:
+    """One row (memories, exact, groups, sampled, fuzzy, total, percent): equal contents counted over all rows; pairs of at
+    least the word similarity counted in a sample, the ``sample`` keys of the least hash (none of under 10), and carried
+    over to all pairs."""
+    counts = memories.groupBy(tx.content_hash(F.col(content)).alias("h")).agg(F.count("*").alias("n"))
+    exact = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("memories"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact"), F.count_if(F.col("n") > 1).alias("groups"))
+    few = cut(memories.select(F.col(key).alias("id"), F.col(content).alias("content")).orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample))
+    words = few.select("id", tx.word_set(F.col("content")).alias("w"))
+    a, b = words.select(F.col("id").alias("a"), F.col("w").alias("wa")), words.select(F.col("id").alias("b"), F.col("w").alias("wb"))
+    # at most ``sample`` rows a side
+    hits = a.join(F.broadcast(b), F.col("a") < F.col("b")).where(tx.jaccard(F.col("wa"), F.col("wb")) >= threshold - 1e-12).agg(F.count("*").alias("hits"))
+    both = exact.crossJoin(F.broadcast(words.agg(F.count("*").alias("sampled")))).crossJoin(F.broadcast(hits))
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    fuzzy = F.when(F.col("sampled") < 10, F.lit(0)).otherwise(F.floor(F.col("hits") / pairs("sampled") * pairs("memories")))
+    both = both.withColumn("fuzzy", fuzzy.cast("long")).withColumn("total", F.col("exact") + F.col("fuzzy"))
+    return both.select("memories", "exact", "groups", "sampled", "fuzzy", "total", (F.col("total") / F.greatest("memories", F.lit(1)) * 100).alias("percent"))

@@ -84,6 +84,17 @@ def find_similar(vectors: DataFrame, query_id: int, exclude: list[int], k: int =
     return top_k(vector_scores_by_id(vectors, query_id, metric, key).where(~F.col(key).isin(exclude)), k, key)
 
 
+def expanded_search(vectors: DataFrame, query: list[float], expansions: list[list[float]], k: int = 10, weight: float = 0.3, least: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Cosine with the query plus ``weight`` times the mean cosine with its expansions, best k; ``least`` holds for the sum."""
+    lit = lambda q: F.array(*[F.lit(float(x)) for x in q])
+    v = F.col(vector)
+    score = vx.cosine(v, lit(query))
+    if expansions:
+        score = score + weight * sum((vx.cosine(v, lit(q)) for q in expansions), F.lit(0.0)) / len(expansions)
+    rows = vectors.where(v.isNotNull()).select(key, score.alias("score"))
+    return top_k(rows if least is None else rows.where(F.col("score") >= least), k, key)
+
+
 MOST_QUERIES = 10_000
 
 

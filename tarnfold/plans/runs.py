@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tarnfold.operators import conflicts as cf
 from tarnfold.operators import lifecycle as lc
+from tarnfold.operators import retrieval as rt
 from tarnfold.operators import similarity as sm
 from tarnfold.operators import summaries as su
 from tarnfold.plans.analysis import MEMORIES, memories
@@ -214,3 +215,29 @@ SELECT domain, key, value, source, round(confidence, 6) AS confidence FROM w QUA
 def weighted_merge(spark, d):
     weights = spark.createDataFrame([("src0", 0.9), ("src1", 1.7), ("src2", 0.2)], "source string, weight double")
     return lc.weighted_merge(_facts(spark, d), weights).withColumn("confidence", F.round("confidence", 6))
+
+
+@query()
+def weighted_summaries(spark, d):
+    return su.weighted_summary(table(spark, d, "documents"), ["source"], "text", "doc_id", (F.col("doc_id") % 100) / 100)
+
+
+@query(f"""WITH p AS ({_PLANS}), c AS (SELECT content, count(*) AS n FROM p GROUP BY 1) SELECT sum(n)::BIGINT AS memories, sum(n - 1)::BIGINT AS exact, count(*) FILTER (n > 1) AS groups FROM c""")
+def duplicate_estimate_exact(spark, d):
+    return cf.estimate(_plan_memories(spark, d)).select("memories", "exact", "groups")
+
+
+@query()
+def duplicate_estimate(spark, d):
+    return cf.estimate(_plan_memories(spark, d))
+
+
+_QS = "q AS (SELECT list(embedding::DOUBLE[] ORDER BY vec_id) AS q FROM embeddings WHERE vec_id IN (0, 7, 11, 13))"
+
+
+@query(f"""WITH {_QS}, s AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], q[1]) + 0.3 * (list_cosine_similarity(embedding::DOUBLE[], q[2]) + list_cosine_similarity(embedding::DOUBLE[], q[3]) + list_cosine_similarity(embedding::DOUBLE[], q[4])) / 3 AS score FROM embeddings, q)
+SELECT vec_id, round(score, 6) AS score FROM s WHERE score >= 0.1 ORDER BY s.score DESC, vec_id LIMIT 20""")
+def expanded_search(spark, d):
+    e = table(spark, d, "embeddings")
+    q = {r["vec_id"]: list(r["embedding"]) for r in e.where("vec_id IN (0, 7, 11, 13)").collect()}  # four vectors of one question
+    return rt.expanded_search(e, q[0], [q[7], q[11], q[13]], 20, least=0.1).withColumn("score", F.round("score", 6))

@@ -199,3 +199,26 @@ def test_branches(spark):
     assert {r["branch"] for r in lc.without_branch(df, "a", force=True).collect()} == {"main", "b"}
     with pytest.raises(ValueError):
         lc.without_branch(df, "main")
+
+
+def test_weighted_summaries(spark):
+    per = {}
+    for r in sorted(rows(spark, "documents"), key=lambda r: r["doc_id"]):
+        parts = [s for s in (re.sub(r"^\s+|\s+$", "", x) for x in re.split(r"(?<=[.!?])\s+", r["text"])) if len(s) >= 20]
+        for i, s in enumerate(parts):
+            at, score = i / len(parts), 1.0
+            score += 0.5 if at < 0.2 else 0.3 if at > 0.8 else 0.0
+            for p, w in su.MATTERS:
+                score *= w if re.search(p, s, re.IGNORECASE) else 1.0
+            score *= (0.8 if len(s.split()) > 50 else 1.0) * (0.5 + r["doc_id"] % 100 / 100)
+            per.setdefault(r["source"], []).append((-round(score, 9), r["doc_id"], i, s))
+    want = {(source, k + 1): x[3] for source, found in per.items() for k, x in enumerate(sorted(found)[:5])}
+    assert {(r["source"], r["rank"]): r["sentence"] for r in Q["weighted_summaries"](spark, SF).collect()} == want
+
+
+def test_duplicate_estimate(spark):
+    df = spark.createDataFrame([(k, f"a b c d e f g h i j k l m n o p q r s t u{k % 2}") for k in range(30)] + [(100, "something else")], "id int, content string")
+    r = cf.estimate(df, sample=1000, threshold=0.9).first()
+    same = 15 * 14 // 2 * 2 + 15 * 15
+    assert (r["memories"], r["exact"], r["groups"], r["sampled"], r["fuzzy"]) == (31, 28, 2, 31, same) and r["total"] == 28 + same
+    assert cf.estimate(df.limit(5)).first()["fuzzy"] == 0 and cf.estimate(df.limit(0)).first()["percent"] == 0
