@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfold.llm.text import each, tidy
+
 #: White space as Unicode has it; str.split() also splits at 0x1C-0x1F.
 _CHUNK = re.compile(r"[^\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile(r"[\x1c-\x1f]")
@@ -190,9 +192,10 @@ def _mapped(df: DataFrame, path: str, keep: tuple[str, ...], column: str, made:
         tokenizer = load(shared.value)
         tokenizer.limit = cache
         for batch in batches:
-            got = [run(tokenizer, v) for v in batch.column("__value").to_pylist()]
+            got = [run(tokenizer, v) for v in each(batch.column("__value"))]
             new = [pa.array([g[i] for g in got], types[f.dataType]) for i, f in enumerate(made)]
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + new, names=[*keep, *[f.name for f in made]])
+        tidy()
 
     return rows.mapInArrow(work, schema)
 

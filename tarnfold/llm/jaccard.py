@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfold.operators.components import connected_components
-from tarnfold.llm.text import mix, shingles
+from tarnfold.llm.text import each, mix, shingles, tidy
 from tarnfold.session import cut
 
 BUCKET_BYTES = 4_500_000
@@ -213,7 +213,7 @@ def _blobs(size: int, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(live, pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
-            for d, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
+            for d, text in zip(each(batch.column("uid")), each(batch.column("text"))):
                 if d not in chunk:  # one node has one text
                     chunk[d] = s = shingles(text, size)
                     held += len(s)
@@ -222,6 +222,8 @@ def _blobs(size: int, buckets: int):
                     chunk, held = {}, 0
         if chunk:
             yield flush()
+        chunk = {}
+        tidy()
 
     return work
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -31,3 +34,14 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     for i in range(n):
         out = mix(out * _A + h[i : len(h) - n + 1 + i])
     return np.unique(out)
+
+
+def each(column: pa.Array, rows: int = 256) -> Iterator:
+    """A column's values as Python objects, a few rows at a time: a batch of texts isn't held twice."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).to_pylist()
+
+
+def tidy() -> None:
+    """Gives back what Arrow's pool keeps: workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnfold.llm.text import each, tidy
 from tarnfold.session import cut
 
 WORD = re.compile(r"\w+")
@@ -152,7 +153,7 @@ def examples(found: DataFrame, chain: tuple[str, ...], n_features: int = FEATURE
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [[number[x] for x in row if x in number] for row in batch.column("found").to_pylist()]
+            ids = [[number[x] for x in row if x in number] for row in each(batch.column("found"))]
             yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(ids, pa.list_(pa.int32())), *[batch.column(c) for c in chain]], names=["_k", "ids", *chain])
 
     kind = dict(found.dtypes)["_k"]
@@ -180,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, key:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = pa.array([sorted(features(t)) for t in batch.column("_t").to_pylist()], pa.list_(pa.string()))
+            got = pa.array([sorted(features(t)) for t in each(batch.column("_t"))], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("_k"), got, *[batch.column(c) for c in chain]], names=["_k", "found", *chain])
 
     kind = dict(chosen.dtypes)["_k"]
@@ -188,9 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...] = CHAIN, key:
     return fit_chain(examples(found, chain, n_features, least), chain, folds)
 
 
-def probabilities(links: list[Link], texts: list[str | None]) -> np.ndarray:
-    """rows x categories, in chain order."""
-    keys, out = [link.weights.keys() for link in links], np.zeros((len(texts), len(links)))
+def probabilities(links: list[Link], texts: Iterable[str | None], n: int | None = None) -> np.ndarray:
+    """rows x categories, in chain order; ``n`` rows, where the texts' number isn't theirs to tell."""
+    keys, out = [link.weights.keys() for link in links], np.zeros((len(texts) if n is None else n, len(links)))
     for i, text in enumerate(texts):
         found = features(text)
         for k, link in enumerate(links):
@@ -208,7 +209,7 @@ def score(docs: DataFrame, links: list[Link], keep: tuple[str, ...] = ("doc_id",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = probabilities(links, batch.column("__text").to_pylist())
+            p = probabilities(links, each(batch.column("__text")), len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(p[:, k]) for k in range(p.shape[1])], names=schema.names)
 
     return rows.mapInArrow(work, schema)
@@ -226,7 +227,8 @@ def keep_clean(docs: DataFrame, links: list[Link], category: str = "toxic", thre
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(probabilities(links, batch.column(text).to_pylist())[:, which] < threshold))
+            yield batch.filter(pa.array(probabilities(links, each(batch.column(text)), len(batch))[:, which] < threshold))
+        tidy()
 
     return docs.mapInArrow(work, docs.schema)
 
