@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.llm import bpe, cover_tree, hilbert, jaccard, licenses, mixing, sharding, toxicity, urls, wavelet
+from tarnfold.llm import bpe, cover_tree, cuckoo, hilbert, jaccard, licenses, mixing, screening, sharding, toxicity, urls, wavelet, whitening
 
-OPERATORS = (licenses.op1_license_scan, toxicity.op2_classifier_chain, cover_tree.op3_cover_tree_top_k, mixing.op4_temperature, bpe.op5_word_bpe, wavelet.op6_wavelet_shards, urls.op7_url_rules, hilbert.op8_hilbert_neighbours, jaccard.op9_jaccard_components, sharding.op10_virtual_slots)
+OPERATORS = (licenses.op1_license_scan, toxicity.op2_classifier_chain, cover_tree.op3_cover_tree_top_k, mixing.op4_temperature, bpe.op5_word_bpe, wavelet.op6_wavelet_shards, urls.op7_url_rules, hilbert.op8_hilbert_neighbours, jaccard.op9_jaccard_components, sharding.op10_virtual_slots, cuckoo.op11_cuckoo_dedup, screening.op12_screened_clusters, whitening.op13_tsqr_whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,7 +31,10 @@ c(id, m) AS (SELECT a, a FROM e UNION SELECT e.b, c.m FROM c JOIN e ON e.a = c.i
 m AS (SELECT id, min(m) AS m FROM c GROUP BY id)
 SELECT d.doc_id, len(s)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id FROM d LEFT JOIN m ON m.id = d.doc_id"""
 
+DEDUP = r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM t WINDOW w AS (PARTITION BY t)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Fitted, approximate, tokenising and hashing operators are beyond SQL; their tests hold them against brute force."""
-    return {"op3_cover_tree_top_k": TOP_K, "op9_jaccard_components": JACCARD}
+    return {"op3_cover_tree_top_k": TOP_K, "op9_jaccard_components": JACCARD, "op11_cuckoo_dedup": DEDUP, "op12_screened_clusters": screening.oracle()}
