@@ -29,6 +29,8 @@ from tarnfold.session import cut, remove
 PUSHED_TERMS, BROADCAST_ROWS = 5_000, 500_000
 #: Classes of document lengths for a doubling of the length.
 CLASSES = 4
+#: Scores of many queries are sums in any order, rounded to 9 digits so that ties are ties; bounds give way by more.
+SLACK = 1e-8
 
 
 # ---------------------------------------------------------------- words
@@ -425,7 +427,7 @@ def batch_top_k(spark: SparkSession, index: Index, terms: DataFrame, k: int = 10
         """Adds up ``of`` (query_id, term, idf) weights of (query_id, key, cls, part)."""
         pairs = candidates.join(_small(of), ["query_id"] + [c for c in ("cls",) if c in of.columns]).select("query_id", "key", "cls", "term", "idf")
         got = listed.join(_small(pairs), ["term", "cls", "key"]).select("query_id", "key", "cls", (F.col("idf") * F.col("w")).alias("part"))
-        return candidates.select("query_id", "key", "cls", "part").unionByName(got).groupBy("query_id", "key", "cls").agg(F.sum("part").alias("score"))
+        return candidates.select("query_id", "key", "cls", "part").unionByName(got).groupBy("query_id", "key", "cls").agg(F.round(F.sum("part"), 9).alias("score"))
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
@@ -440,10 +442,34 @@ def batch_top_k(spark: SparkSession, index: Index, terms: DataFrame, k: int = 10
     kth = best(full).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
     bounds = mine.join(per.select("query_id", "term", "idf"), ["query_id", "term"]).join(kth, "query_id", "left").withColumn("most", F.col("idf") * F.col("top"))
     rising = Window.partitionBy("query_id", "cls").orderBy("most", "term")
-    bounds = bounds.withColumn("upto", F.sum("most").over(rising)).withColumn("weak", F.coalesce(F.col("upto") < F.col("kth") * (1 - 1e-9), F.lit(False)))
+    bounds = bounds.withColumn("upto", F.sum("most").over(rising)).withColumn("weak", F.coalesce(F.col("upto") < F.col("kth") - SLACK, F.lit(False)))
     bounds = cut(bounds.select("query_id", "cls", "term", "idf", "most", "weak", "kth"))
     rest = bounds.groupBy("query_id", "cls").agg(F.sum(F.when(F.col("weak"), F.col("most")).otherwise(0.0)).alias("rest"), F.first("kth").alias("kth"))
     met = listed.join(_small(bounds.where("not weak").select("query_id", "cls", "term", "idf")), ["term", "cls"])
     met = met.groupBy("query_id", "key", "cls").agg(F.sum(F.col("idf") * F.col("w")).alias("part"))
-    met = cut(met.join(_small(rest), ["query_id", "cls"]).where("kth is null or (part + rest) * (1 + 1e-9) >= kth").select("query_id", "key", "cls", "part"))
+    met = cut(met.join(_small(rest), ["query_id", "cls"]).where(F.col("kth").isNull() | (F.col("part") + F.col("rest") >= F.col("kth") - SLACK)).select("query_id", "key", "cls", "part"))
     return best(scored(met, bounds.where("weak").select("query_id", "cls", "term", "idf"))).select("query_id", "key", "score", "rank")
+
+
+def batch_phrases(spark: SparkSession, index: Index, queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
+    """(query_id, key, times): documents that hold each query's words one behind the other, and how often.
+
+    Postings of a query's rarest word nominate where the phrase could start; each other word is then looked up in these
+    documents alone, by (term, key), so frequent words cost what the rare one left. Queries without a word match nothing.
+    """
+    analyzer = index.analyzer
+    if analyzer.porter:
+        raise ValueError("a table of queries is analysed in the JVM: index without stemming for it")
+    words = cut(queries.select(F.col(query).alias("query_id"), F.posexplode(analyzer.words(F.col(text))).alias("at", "term")))
+    df = index.blocks(spark).join(_small(words.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.sum("docs").alias("df"))
+    known = words.join(_small(df), "term", "left")
+    rarest = known.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "at")).alias("r"), F.count("*").alias("n"))
+    rarest = rarest.where("r.df > 0").select("query_id", F.col("r.term").alias("term"), F.col("r.at").alias("at"), "n")
+    rows = index.postings(spark).select("term", "key", "col", "positions")
+    starts = rows.join(_small(rarest), "term").select("query_id", "key", "col", "n", F.explode("positions").alias("p"), "at").withColumn("start", F.col("p") - F.col("at")).where("start >= 0")
+    starts = cut(starts.groupBy("query_id", "key", "col", "n").agg(F.collect_set("start").alias("starts")))  # within one document
+    pairs = starts.select("query_id", "key", "col").join(_small(words.groupBy("query_id", "term").agg(F.collect_list("at").alias("ats"))), "query_id")
+    found = rows.join(_small(pairs), ["term", "key", "col"]).select("query_id", "key", "col", F.explode("ats").alias("at"), "positions")
+    held = found.join(starts, ["query_id", "key", "col"]).select("query_id", "key", "col", "n", F.explode(F.filter("starts", lambda s: F.array_contains("positions", s + F.col("at")))).alias("start"))
+    whole = held.groupBy("query_id", "key", "col", "start").agg(F.count("*").alias("met"), F.first("n").alias("n")).where("met = n")
+    return whole.groupBy("query_id", "key").agg(F.count("*").alias("times"))

@@ -110,9 +110,10 @@ def max_sim(queries: DataFrame, docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- normalisation and fusion
 
 
-def normalized(ranked: DataFrame, method: str = "minmax", key: str = "doc_id", score: str = "score") -> Column:
-    """A Column over a result set (bounded by its k): minmax, zscore (through a sigmoid) or percentile. Equal scores: 0.5."""
-    every, s = Window.partitionBy(), F.col(score)
+def normalized(ranked: DataFrame, method: str = "minmax", key: str = "doc_id", score: str = "score", by: tuple[str, ...] = ()) -> Column:
+    """A Column over a result set (bounded by its k), or over each query's with ``by``: minmax, zscore (through a sigmoid) or
+    percentile. Equal scores: 0.5."""
+    every, s = Window.partitionBy(*by), F.col(score)
     if method == "minmax":
         low, high = F.min(s).over(every), F.max(s).over(every)
         return F.when(high > low, (s - low) / (high - low)).otherwise(0.5)
@@ -125,16 +126,17 @@ def normalized(ranked: DataFrame, method: str = "minmax", key: str = "doc_id", s
     raise ValueError(f"unknown method {method!r}")
 
 
-def with_ranks(ranked: DataFrame, key: str = "doc_id", score: str = "score") -> DataFrame:
-    """rank0 from 0, of a bounded result set."""
-    return ranked.withColumn("rank0", F.row_number().over(Window.orderBy(F.desc(score), key)) - 1)
+def with_ranks(ranked: DataFrame, key: str = "doc_id", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
+    """rank0 from 0, of a bounded result set, or of each query's with ``by``."""
+    return ranked.withColumn("rank0", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), key)) - 1)
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, strategy: str = "rrf", lexical_weight: float = 0.5, semantic_weight: float = 0.5, k: int = 60, method: str = "minmax", key: str = "doc_id") -> DataFrame:
-    """(key, score, source) of two bounded (key, score) lists: rrf, linear, distribution, max or store."""
+def fuse(lexical: DataFrame, semantic: DataFrame, strategy: str = "rrf", lexical_weight: float = 0.5, semantic_weight: float = 0.5, k: int = 60, method: str = "minmax", key: str = "doc_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, score, source) of two bounded (key, score) lists: rrf, linear, distribution, max or store. With ``by`` the lists
+    hold those of many queries, and each query's are fused on their own."""
     how = "percentile" if strategy == "distribution" else method
-    prepared = [with_ranks(x, key).withColumn("norm", normalized(x, how, key)).select(F.col(key), F.col("rank0").alias(f"r{t}"), F.col("norm").alias(f"n{t}")) for t, x in (("l", lexical), ("s", semantic))]
-    both = prepared[0].join(prepared[1], key, "full_outer")
+    prepared = [with_ranks(x, key, by=by).withColumn("norm", normalized(x, how, key, by=by)).select(*by, F.col(key), F.col("rank0").alias(f"r{t}"), F.col("norm").alias(f"n{t}")) for t, x in (("l", lexical), ("s", semantic))]
+    both = prepared[0].join(prepared[1], [*by, key], "full_outer")
     nl, ns, rl, rs = (F.col(c) for c in ("nl", "ns", "rl", "rs"))
     z = lambda c: F.coalesce(c, F.lit(0.0))
     rr = lambda r: F.coalesce(1 / (k + r + 1), F.lit(0.0))
@@ -147,7 +149,7 @@ def fuse(lexical: DataFrame, semantic: DataFrame, strategy: str = "rrf", lexical
         "store": lexical_weight * (rr(rl) + z(nl)) + semantic_weight * (rr(rs) + z(ns)),
     }[strategy]
     source = F.when(rl.isNotNull() & rs.isNotNull(), "hybrid").when(rl.isNotNull(), "lexical").otherwise("semantic")
-    return both.select(key, score.alias("score"), source.alias("source"))
+    return both.select(*by, key, score.alias("score"), source.alias("source"))
 
 
 def fuse_rankings(rankings: list[DataFrame], weights: list[float] | None = None, k: int = 60, key: str = "doc_id") -> DataFrame:
@@ -192,22 +194,33 @@ def mmr(candidates: DataFrame, k: int = 10, lam: float = 0.7, query: str = "quer
 # ---------------------------------------------------------------- metrics
 
 
-def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10, query: str = "query_id", key: str = "doc_id") -> DataFrame:
-    """(query, ndcg, mrr, precision, recall, average_precision) of (query, key, rank from 1) against (query, key) pairs."""
-    hits = ranked.join(relevant.select(query, key).distinct().withColumn("rel", F.lit(1)), [query, key], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    hits = hits.withColumn("found", F.sum("rel").over(Window.partitionBy(query).orderBy("rank")))
+def _gain(n: Column) -> Column:
+    """Sum of 1 / log2(i + 1) over ranks 1 to n, n bounded by k."""
+    n = F.coalesce(n, F.lit(0)).cast("int")
+    return F.when(n < 1, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0)))
+
+
+def metrics(hits: DataFrame, wanted: DataFrame, k: int = 10, query: str = "query_id") -> DataFrame:
+    """(query, ndcg, mrr, precision, recall, average_precision) of (query, rank from 1, rel grade, 0 for none) against
+    (query, grade, n): how many items of each grade there are. Gains are 2^grade - 1; the ideal list is as long as the given
+    one. Queries without a relevant item have no row."""
+    rel = F.col("rel") > 0
+    hits = hits.withColumn("found", F.sum(rel.cast("int")).over(Window.partitionBy(query).orderBy("rank")))
     per = hits.groupBy(query).agg(
-        F.sum(F.when(F.col("rank") <= k, F.col("rel") / F.log2(F.col("rank") + 1.0))).alias("dcg"),
-        F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"),
-        F.sum(F.when(F.col("rank") <= k, F.col("rel"))).alias("at_k"),
-        F.sum(F.when(F.col("rel") == 1, F.col("found") / F.col("rank"))).alias("ap"),
+        F.sum(F.when(F.col("rank") <= k, (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col("rank") + 1.0))).alias("dcg"),
+        F.min(F.when(rel, F.col("rank"))).alias("first"),
+        F.count_if(rel & (F.col("rank") <= k)).alias("at_k"),
+        F.sum(F.when(rel, F.col("found") / F.col("rank"))).alias("ap"),
         F.count("*").alias("listed"),
     )
-    wanted = relevant.groupBy(query).agg(F.countDistinct(key).alias("n_rel"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.col("n_rel"), F.col("listed"), F.lit(k)).cast("int"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
-    return per.join(wanted, query).select(
+    down = Window.partitionBy(query).orderBy(F.desc("grade"))  # a row a query and grade
+    grades = wanted.where("grade > 0 and n > 0").withColumn("upto", F.sum("n").over(down)).join(per.select(query, "listed"), query)
+    cap = F.least(F.col("listed"), F.lit(k))
+    ideal = (F.pow(F.lit(2.0), F.col("grade")) - 1) * (_gain(F.least("upto", cap)) - _gain(F.least(F.col("upto") - F.col("n"), cap)))
+    ideals = grades.groupBy(query).agg(F.sum(ideal).alias("ideal"), F.sum("n").alias("n_rel"))
+    return per.join(ideals, query).select(
         query,
-        (F.col("dcg") / ideal).alias("ndcg"),
+        (F.col("dcg") / F.col("ideal")).alias("ndcg"),
         F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"),
         (F.col("at_k") / k).alias("precision"),
         (F.col("at_k") / F.col("n_rel")).alias("recall"),
@@ -215,6 +228,14 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10, query:
     )
 
 
+def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10, query: str = "query_id", key: str = "doc_id") -> DataFrame:
+    """``metrics`` of (query, key, rank from 1) against (query, key) pairs, or (query, key, grade) where grades differ."""
+    grade = F.col("grade") if "grade" in relevant.columns else F.lit(1)
+    pairs = relevant.groupBy(query, key).agg(F.max(grade).alias("rel"))
+    hits = ranked.join(pairs, [query, key], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    return metrics(hits, pairs.groupBy(query, F.col("rel").alias("grade")).agg(F.count("*").alias("n")), k, query)
+
+
 def platt(score: Column, a: float, b: float) -> Column:
     return 1 / (1 + F.exp(-a * score - b))
 

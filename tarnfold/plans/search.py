@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tarnfold.functions import vector as vx
+from tarnfold.operators import dense
 from tarnfold.operators import retrieval as rt
 from tarnfold.plans.registry import query, table
 
@@ -137,14 +136,40 @@ SELECT query_id, round(dcg / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, least(
 FROM p JOIN w USING (query_id)"""
 
 
+def _nearest(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(query_id, doc_id, rank, label, ql) of the 20 nearest, and the queries: ids divisible by 50, against all rows."""
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), "embedding")
+    ranked = dense.batch_top_k(e, q, 20, apart=True).join(e.select("vec_id", "label"), "vec_id").join(q.select("query_id", "ql"), "query_id")
+    return ranked.select("query_id", F.col("vec_id").alias("doc_id"), "rank", "label", "ql"), q.select("query_id", "ql")
+
+
 @query(f"WITH {_METRICS}")
 def ranking_metrics(spark, d):
-    """Queries are the ids divisible by 50, against all rows."""
-    e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"), F.col("embedding").alias("q"))
-    pairs = e.crossJoin(q).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"), (F.col("label") == F.col("ql")).alias("same"), vx.cosine(F.col("embedding"), F.col("q")).alias("s"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "doc_id"))).where("rank <= 20").select("query_id", "doc_id", "rank")
-    return _rounded(rt.ranking_metrics(ranked, pairs.where("same").select("query_id", "doc_id")), "ndcg", "mrr", "precision", "recall", "average_precision")
+    """Rows of the query's label are relevant: as many as the label has, less the query."""
+    ranked, q = _nearest(spark, d)
+    labels = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    wanted = q.join(labels, F.col("ql") == F.col("label")).select("query_id", F.lit(1).alias("grade"), (F.col("n") - 1).alias("n"))
+    hits = ranked.select("query_id", "rank", (F.col("label") == F.col("ql")).cast("int").alias("rel"))
+    return _rounded(rt.metrics(hits, wanted), "ndcg", "mrr", "precision", "recall", "average_precision")
+
+
+_GRADE = "CASE WHEN e.label = q.label THEN 2 WHEN abs(e.label - q.label) = 1 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+r AS (SELECT q.vec_id AS query_id, {_GRADE} AS rel, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(e.v, q.v) / (e.n * q.n) DESC, e.vec_id) AS rank,
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY {_GRADE} DESC) AS ideal FROM e q, e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id)
+SELECT query_id, round(sum(CASE WHEN rank <= 10 THEN (pow(2, rel) - 1) / log2(rank + 1.0) END) / sum(CASE WHEN ideal <= 10 THEN (pow(2, rel) - 1) / log2(ideal + 1.0) END), 6) AS ndcg
+FROM r GROUP BY query_id""")
+def ndcg_graded(spark, d):
+    """Rows of the query's label have grade 2, those of the next labels grade 1."""
+    ranked, q = _nearest(spark, d)
+    labels = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    near = q.select("query_id", "ql", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step")).withColumn("label", F.col("ql") + F.col("step"))
+    wanted = near.join(labels, "label").groupBy("query_id", F.when(F.col("step") == 0, 2).otherwise(1).alias("grade")).agg(F.sum(F.col("n") - (F.col("step") == 0).cast("int")).alias("n"))
+    hits = ranked.select("query_id", "rank", F.when(F.col("label") == F.col("ql"), 2).when(F.abs(F.col("label") - F.col("ql")) == 1, 1).otherwise(0).alias("rel"))
+    return _rounded(rt.metrics(hits, wanted).select("query_id", "ndcg"), "ndcg")
 
 
 @query()
