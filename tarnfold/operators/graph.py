@@ -1,7 +1,7 @@
 """Property-graph operators over edges (src, dst, type, weight, confidence) and vertices (id, type, ...).
 
 Traversals are level-by-level joins of a frontier with the edges; the number of levels is a parameter, and each level
-keeps one row a reached vertex, so plans stay bounded and no visited set leaves the executors.
+keeps one row a reached vertex and is cut, so plans stay bounded and no visited set leaves the executors.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnfold.operators.graph_query import split_hubs, stepped
+from tarnfold.session import cut
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge and its reverse; a self-loop twice."""
@@ -22,25 +25,25 @@ def k_hop(edges: DataFrame, starts: DataFrame, depth: int, undirected: bool = Fa
         edges = edges.where(F.col("type").isin(types))
     if min_weight is not None:
         edges = edges.where(F.col("weight") >= min_weight)
-    step = (both_ways(edges) if undirected else edges).select("src", "dst").distinct()
+    step, hubs = split_hubs(cut((both_ways(edges) if undirected else edges).select("src", "dst").distinct()))
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0))
     seen = frontier
     for level in range(1, depth + 1):
-        found = frontier.join(step, frontier["node"] == step["src"]).select("start", F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(level))
+        found = stepped(frontier, step, hubs).select("start", F.col("dst").alias("node")).distinct()
+        frontier = cut(found.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 
 
 def shortest_paths(edges: DataFrame, starts: DataFrame, max_depth: int, undirected: bool = True) -> DataFrame:
     """(start, node, path): a shortest path to each vertex within reach, the first in order among equally short ones."""
-    step = (both_ways(edges) if undirected else edges).select("src", "dst").distinct()
+    step, hubs = split_hubs(cut((both_ways(edges) if undirected else edges).select("src", "dst").distinct()))
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path"))
     seen = frontier
     for _ in range(max_depth):
-        found = frontier.join(step, frontier["node"] == step["src"]).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        found = stepped(frontier, step, hubs).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         best = found.groupBy("start", "node").agg(F.min("path").alias("path"))
-        frontier = best.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        frontier = cut(best.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         seen = seen.unionByName(frontier)
     return seen
 

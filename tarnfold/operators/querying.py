@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,55 +63,6 @@ def truncated(text: Column, most: int, marker: str = "...") -> Column:
     return F.when(F.size(w) > most, F.concat(F.array_join(F.slice(w, 1, most), " "), F.lit(marker))).otherwise(text)
 
 
-@dataclass
-class ParsedQuery:
-    """type:, importance:>x, from:, traverse:a,b, depth:, limit: and other key:value terms; the rest is text."""
-
-    types: list[str] = field(default_factory=list)
-    importance: tuple[str, float] | None = None
-    start: str | None = None
-    traverse: list[str] = field(default_factory=list)
-    depth: int = 1
-    limit: int = 0
-    properties: dict[str, str] = field(default_factory=dict)
-    text: str = ""
-
-    @classmethod
-    def parse(cls, query: str) -> ParsedQuery:
-        out, rest = cls(), []
-        for word in query.split():
-            name, colon, value = word.partition(":")
-            if not colon or not value:
-                rest.append(word)
-            elif name == "type":
-                out.types += value.split(",")
-            elif name == "importance" and value.lstrip("<>=").replace(".", "", 1).isdigit():
-                out.importance = (value[: len(value) - len(value.lstrip("<>="))] or "=", float(value.lstrip("<>=")))
-            elif name == "from":
-                out.start = value
-            elif name == "traverse":
-                out.traverse += value.split(",")
-            elif name in ("depth", "limit") and value.isdigit():
-                setattr(out, name, int(value))
-            else:
-                out.properties[name] = value
-        out.text = " ".join(rest)
-        return out
-
-    def filter(self, name: str = "name") -> Column:
-        """Over vertex columns type, importance and ``name``."""
-        out = F.lit(True)
-        if self.types:
-            out = out & F.col("type").isin(self.types)
-        if self.importance:
-            op, x = self.importance
-            c = F.col("importance")
-            out = out & {">": c > x, ">=": c >= x, "<": c < x, "<=": c <= x, "=": c == x}[op]
-        if self.text:
-            out = out & F.contains(F.lower(name), F.lit(self.text.lower()))
-        return out
-
-
 def ring(spark: SparkSession, nodes: list[str], points: int = 150) -> DataFrame:
     """(low, high, node): arcs of a consistent-hash ring by the first 15 hex digits of md5; a key goes to the node of the
     first point above its hash, the last arc wraps to the first point."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfold.operators import graph as gr
+from tarnfold.session import cut
 
 # Inverse types, categories of types (others are associative), words of relation patterns, inference rules.
 INVERSES = {
@@ -97,6 +98,7 @@ def explain(edges: DataFrame, asked: DataFrame, depth: int = 4) -> DataFrame:
     path (of equally short ones the surest, then the first in order of its text), confidences multiplied; pairs without
     one don't come back. A breadth-first frontier of the asked sources, one row a source and vertex."""
     step = edges.groupBy("src", "dst").agg(F.max(F.struct("confidence", "type")).alias("e")).select(F.col("src").alias("s"), F.col("dst").alias("t"), "e.*")
+    step = cut(step)
     frontier = asked.select("src").distinct().select("src", F.col("src").alias("node"), F.lit(1.0).alias("c"), F.lit("").alias("chain"))
     seen = frontier.select("src", "node", F.lit(0).alias("hops"), "c", "chain")
     for hop in range(1, depth + 1):
@@ -104,7 +106,7 @@ def explain(edges: DataFrame, asked: DataFrame, depth: int = 4) -> DataFrame:
         text = F.concat(F.col("chain"), F.when(F.col("chain") == "", "").otherwise("; "), F.concat_ws(" ", "s", "type", "t"))
         found = on.select("src", F.col("t").alias("node"), (F.col("c") * F.col("confidence")).alias("c"), text.alias("chain"))
         best = found.groupBy("src", "node").agg(F.min(F.struct((-F.round("c", 12)).alias("r"), "chain", "c")).alias("b"))
-        frontier = best.select("src", "node", "b.c", "b.chain").join(seen.select("src", "node"), ["src", "node"], "left_anti")
+        frontier = cut(best.select("src", "node", "b.c", "b.chain").join(seen.select("src", "node"), ["src", "node"], "left_anti"))
         seen = seen.unionByName(frontier.select("src", "node", F.lit(hop).alias("hops"), "c", "chain"))
     got = asked.join(seen.where("hops > 0").withColumnRenamed("node", "dst"), ["src", "dst"])
     return got.select("src", "dst", "hops", F.col("c").alias("confidence"), "chain")

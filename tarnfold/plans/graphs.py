@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnfold.operators import graph as gr
+from tarnfold.operators.graph_query import GraphQuery
 from tarnfold.plans.registry import query, table
 
 _E = """e AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'PART_OF' AS type, 1.0 AS weight, 0.9 AS confidence FROM nation
@@ -147,3 +148,60 @@ def two_hop_counts(spark, d):
     e = edges(spark, d)
     first = gr.both_ways(e).select("src", "dst").where("src LIKE 'c%'").distinct()
     return first.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").groupBy(F.col("src").alias("id")).agg(F.countDistinct("far").alias("two_hop"))
+
+
+# ---------------------------------------------------------------- compiled queries with score
+
+_V = """v AS (SELECT 'r' || r_regionkey AS id, 'region' AS type, r_name AS name, (r_regionkey % 10 + 1) / 10 AS importance FROM region
+UNION ALL SELECT 'n' || n_nationkey, 'nation', n_name, (n_nationkey % 10 + 1) / 10 FROM nation UNION ALL SELECT 'c' || c_custkey, 'customer', c_name, (c_custkey % 10 + 1) / 10 FROM customer
+UNION ALL SELECT 's' || s_suppkey, 'supplier', s_name, (s_suppkey % 10 + 1) / 10 FROM supplier UNION ALL SELECT 'p' || p_partkey, 'part', p_name, (p_partkey % 10 + 1) / 10 FROM part)"""
+
+
+def _weighed(spark, d):
+    return vertices(spark, d).withColumn("importance", (F.regexp_extract("id", r"\d+", 0).cast("long") % 10 + 1) / 10)
+
+
+def _levels(start: str, fit: str, edge: str, depth: int, direction: str = "out") -> str:
+    """Common tables l0 (starts) to l<depth>: a level is the best edge to each vertex that its start hasn't seen."""
+    walk = {"out": "SELECT src, dst, weight FROM e", "in": "SELECT dst AS src, src AS dst, weight FROM e"}
+    ways = f"{walk['out']} WHERE {edge} UNION ALL {walk['in']} WHERE {edge}" if direction == "both" else f"{walk[direction]} WHERE {edge}"
+    out = [f"g AS MATERIALIZED (SELECT src, dst, max(weight) AS weight, any_value(importance) AS importance FROM ({ways}) JOIN v ON v.id = dst WHERE {fit} GROUP BY src, dst)", f"l0 AS MATERIALIZED (SELECT id AS start, id AS node FROM v WHERE {start} AND {fit})"]
+    for i in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT start, node FROM l{j}" for j in range(i))
+        out.append(f"l{i} AS MATERIALIZED (SELECT start, dst AS node, {i} AS depth, max(weight) * any_value(importance) / {i} AS score FROM l{i - 1} JOIN g ON src = node WHERE (start, dst) NOT IN (SELECT (start, node) FROM ({seen})) GROUP BY start, dst)")
+    return ", ".join([*out, "m AS (" + " UNION ALL ".join(f"SELECT start, node AS id, depth, score FROM l{i}" for i in range(1, depth + 1)) + ")"])
+
+
+def _scored() -> GraphQuery:
+    return GraphQuery().start_type("supplier").where(F.col("importance") >= 0.4).where_edges(F.col("weight") >= 0.2).traverse("SUPPLIES", depth=3, direction="both")
+
+
+_SCORED_SQL = f"WITH {_E}, {_V}, {_levels("type = 'supplier'", 'importance >= 0.4', "type = 'SUPPLIES' AND weight >= 0.2", 3, 'both')}"
+
+
+@query(f"{_SCORED_SQL} SELECT start, id, depth, round(score, 6) AS score FROM m")
+def graph_query_scored(spark, d):
+    """Suppliers over shared parts, three steps, the unimportant pruned on the way."""
+    return _scored().matches(_weighed(spark, d), edges(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"{_SCORED_SQL} SELECT count(score) AS count_score, round(sum(score), 4) AS sum_score, round(avg(depth), 6) AS avg_depth, max(importance) AS max_importance, min(m.score) AS min_score FROM m JOIN v USING (id)")
+def graph_query_aggregates(spark, d):
+    v = _weighed(spark, d)
+    found = _scored().aggregates(_scored().matches(v, edges(spark, d)), v, ("count", "score"), ("sum", "score"), ("avg", "depth"), ("max", "importance"), ("min", "score"))
+    return found.withColumns({"sum_score": F.round("sum_score", 4), "avg_depth": F.round("avg_depth", 6)})
+
+
+@query(f"""WITH {_E}, {_V}, {_levels("id = 'r1'", "importance >= 0.2", "type IN ('PART_OF', 'LOCATED_IN')", 2, 'in')}
+SELECT start, id, depth, round(score, 6) AS score, name, type, (SELECT count(*) FROM m) AS total, (SELECT count(*) FROM m) > 40 AS truncated FROM m JOIN v USING (id) ORDER BY m.score DESC, start, id LIMIT 40""")
+def graph_query_text(spark, d):
+    """One query string in, one plan out."""
+    asked = GraphQuery.parse("from:r1 traverse:PART_OF,LOCATED_IN depth:2 importance:>0.2 limit:40").sort("score", descending=True)
+    asked = asked.traverse(*asked.over, depth=asked.depth, direction="in")
+    return asked.run(_weighed(spark, d), edges(spark, d)).select("start", "id", "depth", F.round("score", 6).alias("score"), "name", "type", "total", "truncated")
+
+
+@query(f"WITH {_E}, {_V} SELECT id, round(importance, 6) AS score FROM v WHERE type = 'part' AND importance >= 0.5 AND contains(lower(name), 'a')")
+def graph_query_nodes(spark, d):
+    """No traversal: the start set is the result."""
+    return GraphQuery.parse("type:part importance:>0.5 A").matches(_weighed(spark, d), edges(spark, d)).select("id", F.round("score", 6).alias("score"))
