@@ -22,6 +22,8 @@ from tarnfold.session import cut
 #: Digests that one shard is meant to hold, and that a map task holds before it hands them on.
 SHARD_ROWS, LOCAL_ROWS = 500_000, 200_000
 SLOTS, KICKS, FULL = 4, 500, 0.9
+#: Fewer rows a task are not worth a file of their own.
+FILE_ROWS = 50_000
 #: Copies of one row that come back from one row at a time.
 COPIES = 10_000
 NONE = np.iinfo(np.int64).max
@@ -193,6 +195,11 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return rows.groupBy("id", "digest").agg(F.count("*").alias("copies"))
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """Cut to few files where ``rows`` are few: every file costs the executor a child process."""
+    return cut(df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))))
+
+
 def _shard(digest: str, shards: int) -> Column:
     return F.pmod(F.xxhash64(digest), F.lit(shards)).cast("int")
 
@@ -286,5 +293,7 @@ def op11_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     only where no row has one; of rows that agree in id and text one stays; an empty table gives no rows; other columns are
     ignored.
     """
-    rows = cut(members(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return decided(rows, cut(build(rows)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = docs.count()
+    rows = _few(members(docs), n)
+    return decided(rows, _few(build(rows), n))
