@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.plans import analysis, consolidate, fulltext, graphs, misc, runs, search, states, texts, time, versions  # noqa: F401
+from tarnfold.plans import analysis, consolidate, fulltext, graphs, misc, runs, search, states, streams, texts, time, versions  # noqa: F401
 from tarnfold.plans.registry import QUERIES, SQL
 
 
