@@ -1,16 +1,21 @@
-"""URL filters: host and path rules, then association rules mined by pattern growth from labelled URLs."""
+"""URL filters: host and path rules, then association rules that Spark's FP-growth mines from labelled URLs."""
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
-import pandas as pd
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from tarnfold.session import cut
+
+#: The item that marks a blocked row: no token, as those begin with a letter and a colon. Rules that are broadcast.
+BLOCKED = "blocked"
+BROADCAST_RULES = 200_000
 
 # The given rules.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -49,129 +54,103 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 @dataclass(frozen=True)
 class MinedRules:
-    """Antecedents that mean block, each with confidence and support; none contains another of at least its confidence."""
-
-    rules: tuple[tuple[tuple[str, ...], float, float], ...]
+    """Antecedents that mean block: a table (items array<array<string>>, size, confidence, support, anchor), None where
+    there is none. An item is a class of tokens that stood in the same labelled rows; any of them fulfils it."""
 
-    def index(self) -> dict[str, list[int]]:
-        found: dict[str, list[int]] = {}
-        for i, (items, _, _) in enumerate(self.rules):
-            for x in items:
-                found.setdefault(x, []).append(i)
-        return found
+    table: DataFrame | None
 
+    @property
+    def rules(self) -> tuple[tuple[tuple[str, ...], float, float], ...]:
+        """Every antecedent written out, token by token, for looking at a few rules; matching works on the table."""
+        found = [] if self.table is None else self.table.select("items", "confidence", "support").collect()
+        return tuple((tuple(sorted(items)), r["confidence"], r["support"]) for r in found for items in product(*r["items"]))
 
-def _grown(item: int, base: list[tuple[tuple[int, ...], int, int]], least: int, min_confidence: float) -> Iterator[tuple[list[int], int, int]]:
-    """(items, n, bad) of the sets with ``item`` that may be chosen, from its conditional base of (smaller items, n, bad).
 
-    A set whose rows are those of a subset has the subset's confidence, and so have all that contain it; after
-    confidence 1 there is no higher one. Such sets are neither given nor grown. Subsets come before what contains them.
-    """
-    seen: dict[frozenset[int], tuple[int, float]] = {}
-
-    def visit(items: tuple[int, ...], rows: list[tuple[tuple[int, ...], int, int]]) -> Iterator[tuple[list[int], int, int]]:
-        n, bad, top, key = sum(r[1] for r in rows), sum(r[2] for r in rows), 0.0, frozenset(items)
-        for x in items[1:]:
-            part = seen.get(key - {x})
-            if part is None or part[0] == n:
-                return
-            top = max(top, part[1])
-        share = bad / n
-        if share >= min_confidence and share > top:
-            yield sorted(items), n, bad
-        if bad == n:
-            return
-        seen[key] = n, max(top, share)
-        blocked: dict[int, int] = defaultdict(int)
-        for prefix, _, y in rows:
-            if y:
-                for x in prefix:
-                    blocked[x] += y
-        for x in sorted(x for x, y in blocked.items() if y >= least):
-            yield from visit((*items, x), [(p[: p.index(x)], k, y) for p, k, y in rows if x in p])
-
-    if sum(r[2] for r in base) >= least:
-        yield from visit((item,), base)
-
-
-def significance(n: int, bad: int, base: float) -> float:
+def significance(n: Column, bad: Column, base: float) -> Column:
     """How many standard deviations ``bad`` of ``n`` blocked rows are over what the base rate gives."""
-    return (bad - n * base) / math.sqrt(n * base * (1 - base)) if 0 < base < 1 else 0.0
+    return (bad - n * base) / F.sqrt(n * base * (1 - base)) if 0 < base < 1 else F.lit(0.0)
+
+
+def _classes(rows: DataFrame, least: int) -> DataFrame:
+    """(token, item): tokens of at least ``least`` blocked rows, by the first token of those that stand in the very same rows
+    (told apart by two 64-bit hash sums and the count). Without this, n tokens that always come together would be 2^n
+    frequent sets of one meaning."""
+    each = rows.select("row", F.col("blocked").cast("int").alias("y"), F.explode(F.array_distinct("tokens")).alias("token"))
+    hashed = lambda salt: F.sum(F.xxhash64(F.lit(salt), "row").cast("decimal(38,0)"))
+    per = cut(each.groupBy("token").agg(F.sum("y").alias("bad"), F.count("*").alias("n"), hashed(1).alias("a"), hashed(2).alias("b")).where(F.col("bad") >= least))
+    same = ["n", "bad", "a", "b"]
+    return per.join(per.groupBy(same).agg(F.min("token").alias("item")), same).select("token", "item", "n")
 
 
 def mine(labelled: DataFrame, min_support: float = 0.001, min_confidence: float = 0.6, min_rows: int = 20, min_z: float = 4.0) -> MinedRules:
-    """From all (tokens, blocked) rows, by pattern growth in a conditional base a token. Null tokens make no rules.
+    """From all (tokens, blocked) rows, by Spark's FP-growth. Null tokens make no rules.
 
-    Support (share of all rows that have the antecedent and are blocked, and ``min_rows`` such rows at least) and confidence
-    bound tokens and rules: at most (tokens a row) / min_support tokens are frequent, whatever the number of rows. A rule
-    also has to be ``min_z`` standard deviations over the base rate of blocked rows, so that on a table of any size chance
-    makes none. A token's base holds its rows' more frequent tokens, equal ones summed before the shuffle.
+    Rows become transactions of their frequent items, with one more item where they are blocked; a frequent set with
+    that item and the same set without it give a rule's support and confidence. A rule is kept where no part of it has
+    at least its confidence: level by level, each set looks at its parts of one item less. ``min_rows`` and ``min_z``
+    (standard deviations over the base rate) are further bounds for callers who want them; 1 and 0 leave support and
+    confidence alone. Sets are joined and pruned as tables; the driver sees counts, and FP-growth's list of frequent items.
     """
-    n, bad = labelled.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("int")), F.lit(0))).first()
+    rows = cut(labelled.select("tokens", F.coalesce("blocked", F.lit(False)).alias("blocked")).withColumn("row", F.monotonically_increasing_id()))
+    n, bad = rows.agg(F.count("*"), F.count_if("blocked")).first()
     if not n or not bad:
-        return MinedRules(())
-    least, base_rate = max(1, min_rows, math.ceil(min_support * n)), bad / n
-    counts = labelled.select(F.explode(F.array_distinct("tokens")).alias("x"), F.col("blocked").cast("int").alias("y")).groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
-    names = [r["x"] for r in counts.where(F.col("bad") >= least).orderBy(F.desc("n"), "x").collect()]
-    if not names:
-        return MinedRules(())
-    order = {x: i for i, x in enumerate(names)}
-
-    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = [sorted({order[x] for x in found if x in order}) if found is not None else [] for found in pdf["tokens"]]
-            yield pd.DataFrame({"ids": ids, "y": pdf["y"]})
-
-    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        base = [(tuple(p), int(k), int(y)) for p, k, y in zip(pdf["prefix"], pdf["n"], pdf["bad"])]
-        return pd.DataFrame(list(_grown(int(key[0]), base, least, min_confidence)), columns=["items", "n", "bad"])
-
-    rows = labelled.select("tokens", F.col("blocked").cast("int").alias("y")).mapInPandas(numbered, "ids array<int>, y int")
-    sets = rows.groupBy("ids").agg(F.count("*").alias("n"), F.sum("y").alias("bad")).where(F.size("ids") > 0)
-    each = sets.select(F.posexplode("ids").alias("at", "item"), "ids", "n", "bad").select("item", F.slice("ids", F.lit(1), F.col("at")).alias("prefix"), "n", "bad")
-    bases = each.groupBy("item", "prefix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    found = bases.groupBy("item").applyInPandas(grow, "items array<int>, n long, bad long").collect()
-    found = [r for r in found if significance(r["n"], r["bad"], base_rate) >= min_z]
-    chosen: list[tuple[tuple[str, ...], float, float]] = []
-    at: dict[str, list[int]] = defaultdict(list)
-    for items, share, support in sorted(((tuple(sorted(names[i] for i in r["items"])), r["bad"] / r["n"], r["bad"] / n) for r in found), key=lambda r: (len(r[0]), -r[1], r[0])):
-        hits: dict[int, int] = defaultdict(int)
-        for x in items:
-            for i in at[x]:
-                hits[i] += 1
-        if not any(k == len(chosen[i][0]) and chosen[i][1] >= share for i, k in hits.items()):
-            for x in items:
-                at[x].append(len(chosen))
-            chosen.append((items, float(share), float(support)))
-    return MinedRules(tuple(chosen))
+        return MinedRules(None)
+    least = max(1, min_rows, math.ceil(min_support * n))
+    classes = cut(_classes(rows, least))
+    if classes.isEmpty():
+        return MinedRules(None)
+    items = rows.select("row", "blocked", F.explode(F.array_distinct("tokens")).alias("token")).join(classes, "token").groupBy("row", "blocked").agg(F.collect_set("item").alias("items"))
+    baskets = cut(items.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(F.col("items")).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / baskets.count())).fit(baskets)
+    sets = cut(model.freqItemsets)
+    sign = F.array_contains("items", BLOCKED)
+    both = sets.where(sign & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCKED)).alias("items"), F.col("freq").alias("bad"))
+    found = cut(both.join(sets.where(~sign).select(F.array_sort("items").alias("items"), F.col("freq").alias("n")), "items").withColumn("confidence", F.col("bad") / F.col("n")).withColumn("size", F.size("items")))
+    longest = found.agg(F.max("size")).first()[0] or 0
+    levels, below = [], None
+    for size in range(1, longest + 1):
+        level = found.where(F.col("size") == size)
+        if below is None:
+            level = level.withColumn("top", F.lit(0.0))
+        else:
+            parts = level.select("items", F.explode("items").alias("x")).select("items", F.array_remove("items", F.col("x")).alias("part"))
+            tops = parts.join(below, "part").groupBy("items").agg(F.max("best").alias("top"))
+            level = level.join(tops, "items")
+        level = cut(level)
+        below = level.select(F.col("items").alias("part"), F.greatest("confidence", "top").alias("best"))
+        levels.append(level)
+    chosen = reduce(DataFrame.unionByName, levels).where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("top")))
+    if min_z > 0:
+        chosen = chosen.where(significance(F.col("n"), F.col("bad"), bad / n) >= min_z)
+    # items by the tokens they stand for; the rarest item is the anchor under which a rule is found
+    chosen = chosen.select(F.monotonically_increasing_id().alias("rule"), "items", "size", "confidence", (F.col("bad") / n).alias("support"))
+    chosen = cut(chosen)
+    if chosen.isEmpty():
+        return MinedRules(None)
+    told = classes.groupBy("item").agg(F.array_sort(F.collect_list("token")).alias("of"), F.first("n").alias("n"))  # in one class: tokens of one row
+    each = chosen.select("rule", F.explode("items").alias("item")).join(told, "item").groupBy("rule").agg(F.array_sort(F.collect_list("of")).alias("items"), F.min(F.struct("n", "of")).alias("rare"))
+    return MinedRules(cut(each.join(chosen.drop("items"), "rule").select("items", "size", "confidence", "support", F.col("rare.of").alias("anchor"))))
 
 
 def match(rows: DataFrame, mined: MinedRules, column: str = "tokens", into: str = "mined") -> DataFrame:
-    """``into``: the antecedent of the most confident rule whose tokens a row has all of, joined by '+', else null.
+    """``into``: the antecedent of the most confident rule whose items a row has all of, joined by '+' (an item by its first
+    token that the row has), else null.
 
-    An inverted index of the rules counts a row's hits rule by rule; rows stay where they are.
+    The inverted index lists a rule under the tokens of its rarest item; a row's tokens look it up by a join, and what they
+    find is verified against the whole row. The index is broadcast up to a checked number of entries.
     """
-    if not mined.rules:
+    if mined.table is None:
         return rows.withColumn(into, F.lit(None).cast("string")).drop(column)
-    rules, index = mined.rules, mined.index()
-    names = [f.name for f in rows.schema.fields if f.name != column]
-    schema = T.StructType([f for f in rows.schema.fields if f.name != column] + [T.StructField(into, T.StringType())])
-
-    def best(found) -> str | None:
-        hits: dict[int, int] = {}
-        for x in found if found is not None else ():
-            for i in index.get(x, ()):
-                hits[i] = hits.get(i, 0) + 1
-        full = [i for i, k in hits.items() if k == len(rules[i][0])]
-        return "+".join(rules[min(full, key=lambda i: (-rules[i][1], rules[i][0]))][0]) if full else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[names].copy()
-            out[into] = pd.Series([best(x) for x in pdf[column]], index=pdf.index, dtype=object)
-            yield out
-
-    return rows.mapInPandas(run, schema)
+    index = mined.table.select(F.explode("anchor").alias("_token"), "items", "confidence")
+    index = F.broadcast(index) if index.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else index
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    # a long row's tokens aren't copied once a token: they come back for what was found
+    met = rows.select("_row", F.explode(F.array_distinct(column)).alias("_token")).join(index, "_token").select("_row", "items", "confidence").distinct()
+    met = met.join(rows.select("_row", F.col(column).alias("_has")), "_row")
+    shown = F.transform("items", lambda item: F.get(F.array_intersect(item, F.col("_has")), F.lit(0)))
+    met = met.select("_row", "confidence", shown.alias("shown")).where(F.forall("shown", lambda x: x.isNotNull()))
+    best = met.groupBy("_row").agg(F.min(F.struct((-F.col("confidence")).alias("c"), F.array_sort("shown").alias("shown"))).alias("m"))
+    return rows.drop(column).join(best.select("_row", F.array_join("m.shown", "+").alias(into)), "_row", "left").drop("_row")
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, key: str = "page_id", url: str = "url", **bounds) -> DataFrame:
@@ -181,7 +160,7 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, key:
     without ``://`` has an empty host and path, no tokens but its scheme's, and is allowed; repeated rows come back
     each; an empty table gives no rows; other columns are ignored.
     """
-    mined = MinedRules(())
+    mined = MinedRules(None)
     if labelled is not None:
         h, p = host_path(F.col("url"))
         mined = mine(labelled.where("url is not null and blocked is not null").select(tokens(F.col("url"), h, p).alias("tokens"), "blocked"), **bounds)
@@ -195,7 +174,8 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, key:
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages; labels (quality 0 means block) belong to the page of the same number."""
+    """All pages; labels (quality 0 means block) belong to the page of the same number. Rules are pruned by support (1 % of
+    the labelled rows) and confidence (60 %) alone, on a table of any size."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("page_id"), (F.col("quality") == 0).alias("blocked"))
-    return judge(pages, pages.join(labels, "page_id").select("url", "blocked"))
+    return judge(pages, pages.join(labels, "page_id").select("url", "blocked"), min_support=0.01, min_rows=1, min_z=0.0)
