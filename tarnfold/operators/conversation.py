@@ -60,13 +60,17 @@ def truncate(messages: DataFrame, budget: int, recent: int = 2, conv: str = "con
     return out.select(conv, F.explode("s.kept").alias(turn), F.col("s.used").alias("tokens"))
 
 
-def extractive_summary(rows: DataFrame, key: str, text: str, n: int = 2) -> DataFrame:
-    """(key, rank, sentence): sentences by word count within 4 to 50 and early position, best first."""
-    s = rows.select(key, F.posexplode(tx.sentences(F.col(text))).alias("pos", "sentence"))
+def extractive_summary(rows: DataFrame, key: str, text: str, n: int = 2, group: str | None = None) -> DataFrame:
+    """(key, rank, sentence), or with ``group`` (group, rank, key, sentence): the best n sentences of each text, or of all
+    texts of a group, by word count within 4 to 50 and early position in their own text; ties by key, then position. Only n
+    rows a task and group are shuffled."""
+    by = key if group is None else group
+    s = rows.select(*([group] if group else []), key, tx.sentences(F.col(text)).alias("s"))
+    s = s.select(*([group] if group else []), key, F.size("s").alias("count"), F.posexplode("s").alias("pos", "sentence"))
     words = F.regexp_count("sentence", F.lit(r"\S+"))
-    count = F.count("*").over(Window.partitionBy(key))
-    s = s.withColumn("score", (1 - 0.5 * F.col("pos") / count) * F.when(words > 50, 0.8).when(words < 4, 0.5).otherwise(1.0))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "pos"))).where(F.col("rank") <= n).select(key, "rank", "sentence")
+    s = s.withColumn("score", F.round((1 - 0.5 * F.col("pos") / F.col("count")) * F.when(words > 50, 0.8).when(words < 4, 0.5).otherwise(1.0), 12))
+    best = s.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key, "pos"))).where(F.col("rank") <= n)
+    return best.select(key, "rank", "sentence") if group is None else best.select(group, "rank", key, "sentence")
 
 
 def key_facts(messages: DataFrame, most: int = 3, conv: str = "conv_id", turn: str = "turn", text: str = "text", rules=rl.KEY_FACTS) -> DataFrame:

@@ -16,10 +16,10 @@ def topics(rows: DataFrame, by: list[str], category: str = "category", tags: str
     return each.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("t")), 1, most).alias("topics"))
 
 
-def by_category(rows: DataFrame, category: str, text: str, n: int = 2) -> DataFrame:
-    """(category, rank, sentence): an extractive summary a category; null is 'uncategorized'. It is also what stands for an
-    abstractive summary where no model is at hand."""
-    return cv.extractive_summary(rows.select(F.coalesce(category, F.lit("uncategorized")).alias("category"), text), "category", text, n)
+def by_category(rows: DataFrame, category: str, text: str, n: int = 2, key: str = "doc_id") -> DataFrame:
+    """(category, rank, key, sentence): an extractive summary a category; null is 'uncategorized'. It is also what stands for
+    an abstractive summary where no model is at hand."""
+    return cv.extractive_summary(rows.select(F.coalesce(category, F.lit("uncategorized")).alias("category"), key, text), key, text, n, "category")
 
 
 def running_summary(existing: DataFrame, new: DataFrame, key: str, order: str, text: str, n: int = 3) -> DataFrame:

@@ -16,6 +16,7 @@ from tarnfold.operators import summaries as su
 from tarnfold.plans.analysis import MEMORIES, memories
 from tarnfold.plans.consolidate import _HASH
 from tarnfold.plans.registry import query, table
+from tarnfold.plans.texts import SENTENCES
 from tarnfold.session import checkpoint_dir
 from tarnfold.sources import io
 
@@ -188,7 +189,7 @@ def topics(spark, d):
     return su.topics(rows, ["lang"])
 
 
-@query()
+@query(f"""WITH {SENTENCES} SELECT coalesce(source, 'uncategorized') AS category, row_number() OVER (PARTITION BY coalesce(source, 'uncategorized') ORDER BY score DESC, doc_id, pos)::INT AS rank, doc_id, sentence FROM s QUALIFY rank <= 2""")
 def category_summaries(spark, d):
     return su.by_category(table(spark, d, "documents"), "source", "text")
 

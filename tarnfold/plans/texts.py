@@ -147,7 +147,12 @@ def truncate_greedy(spark, d):
     return cv.truncate(_convs(spark, d), 120)
 
 
-@query()
+SENTENCES = r"""p AS (SELECT doc_id, source, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ss FROM documents),
+e AS (SELECT doc_id, source, len(ss) AS n, unnest(ss) AS sentence, unnest(range(len(ss))) AS pos FROM p), w AS (SELECT *, len(regexp_extract_all(sentence, '\S+')) AS words FROM e),
+s AS (SELECT *, round((1 - 0.5 * pos / n) * CASE WHEN words > 50 THEN 0.8 WHEN words < 4 THEN 0.5 ELSE 1.0 END, 12) AS score FROM w)"""
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos)::INT AS rank, sentence FROM s QUALIFY rank <= 2")
 def extractive_summary(spark, d):
     return cv.extractive_summary(table(spark, d, "documents"), "doc_id", "text")
 
@@ -201,6 +206,8 @@ def tiered_compression(spark, d):
     return cv.tiered(_convs(spark, d), 2, 3)
 
 
-@query()
+@query(f"""WITH {SENTENCES.split(',\ne AS')[0]}, f AS (SELECT source, doc_id, coalesce(substr(list_filter(ss, lambda x: length(x) > 20)[1], 1, 100), substr(text, 1, 100)) AS first, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 5 AS chunk FROM p JOIN documents USING (doc_id, source)),
+l AS (SELECT source, chunk, string_agg(first, ' ' ORDER BY doc_id) AS summary FROM f GROUP BY source, chunk)
+SELECT source, chunk, 1 AS level, summary FROM l UNION ALL SELECT source, -1, 0, string_agg(substr(summary, 1, 100), ' ' ORDER BY chunk) FROM l GROUP BY source""")
 def hierarchical_summary(spark, d):
     return cv.hierarchy(table(spark, d, "documents"), "source", "doc_id", "text")

@@ -82,7 +82,11 @@ def sessions_gap(spark, d):
     return got.groupBy("user_id", "session").agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, ts, t, n, n AS first FROM r WHERE n = 1
+UNION ALL SELECT r.user_id, r.ts, r.t, r.n, CASE WHEN r.t - f.t > 1800000000 OR r.t - (SELECT b.t FROM r b WHERE b.user_id = f.user_id AND b.n = f.first) > 14400000000 THEN r.n ELSE f.first END FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1),
+g AS (SELECT user_id, first, min(ts) AS first_at, max(ts) AS last_at, count(*)::INT AS items FROM f GROUP BY user_id, first HAVING count(*) >= 2)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first_at)::INT AS episode, first_at, last_at, items FROM g""")
 def episodes_maxdur(spark, d):
     return tm.episodes(_events(spark, d), "user_id", "ts", "event_id")
 
@@ -107,7 +111,10 @@ def displacement_order(spark, d):
     return got.select("event_id", "user_id", F.round("strength", 6).alias("strength"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, t AS began, 1 AS k FROM r WHERE n = 1
+UNION ALL SELECT r.user_id, r.event_id, r.n, CASE WHEN r.t - f.began >= 86400000000 THEN r.t ELSE f.began END, CASE WHEN r.t - f.began >= 86400000000 THEN 1 ELSE f.k + 1 END FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+SELECT user_id, event_id, k <= 5 AS allowed FROM f""")
 def rate_limiter(spark, d):
     return tm.rate_limited(_events(spark, d), "user_id", "ts", "event_id", 5, 86400)
 
