@@ -114,3 +114,40 @@ def hierarchy(rows: DataFrame, group: str, order: str, text: str, size: int = 5)
     top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", F.substring("summary", 1, 100).alias("s")))), lambda x: x["s"]), " ")
     root = leaf.groupBy(group).agg(top.alias("summary")).select(group, F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("level"), "summary")
     return leaf.select(group, "chunk", F.lit(1).alias("level"), "summary").unionByName(root)
+
+
+def tiered_budget(messages: DataFrame, budget: int, recent: int = 4, medium: int = 8, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, turn, tier, content, tokens): a conversation within ``budget`` tokens, never above.
+
+    One that fits as it is stays whole (tier 'whole'). Else, step by step: system messages from the first on; recent ones
+    from the last back, in what that leaves; of old messages their key facts, from the first on, in a quarter of the budget
+    at most; of medium ones their first sentence, in a third and what the old ones left of their quarter at most. Each step
+    takes messages until one does not fit what is left for it: the final cut is the prefix sums' own. All in windows over a
+    conversation, which Spark sorts and spills; no list of messages is made.
+    """
+    w = Window.partitionBy(conv)
+    sized = tiers(messages.withColumn("_n", n_tokens(F.col(text))), recent, medium, conv, turn, role).withColumn("_all", F.sum("_n").over(w))
+    fits = sized.where(F.col("_all") <= budget).select(conv, turn, F.lit("whole").alias("tier"), F.col(text).alias("content"), F.col("_n").alias("tokens"))
+    over = sized.where(F.col("_all") > budget).select(conv, turn, role, text, "tier")
+    whole = over.where(F.col("tier").isin("system", "recent")).select(conv, turn, "tier", F.col(text).alias("content"))
+    short = over.where("tier = 'medium'").select(conv, turn, "tier", first_sentence(F.col(text)).alias("content"))
+    facts = key_facts(over.where("tier = 'old'"), conv=conv, turn=turn, text=text).groupBy(conv, turn).agg(F.array_join(F.array_sort(F.collect_list("fact")), "; ").alias("content"))  # three a message
+    rows = whole.unionByName(short).unionByName(facts.select(conv, turn, F.lit("old").alias("tier"), "content")).where("content is not null").withColumn("tokens", n_tokens(F.col("content")))
+    place = F.when(F.col("tier") == "recent", -F.col(turn)).otherwise(F.col(turn))
+    mine = Window.partitionBy(conv, "tier").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_p", place).withColumn("_upto", F.sum("tokens").over(mine))
+
+    def used(tier: str, share: Column) -> Column:
+        """Tokens that a tier takes of its share: the last prefix sum within it."""
+        return F.coalesce(F.max(F.when((F.col("tier") == tier) & (F.col("_upto") <= share), F.col("_upto"))).over(w), F.lit(0))
+
+    left = F.lit(budget)
+    for tier, share in (("system", None), ("recent", None), ("old", budget // 4), ("medium", budget // 3)):
+        if tier == "medium":
+            room = F.least(F.col("_left"), F.lit(share) + F.lit(budget // 4) - F.col("_used_old"))
+        else:
+            room = left if share is None and tier == "system" else F.col("_left") if share is None else F.least(F.col("_left"), F.lit(share))
+        rows = rows.withColumn(f"_room_{tier}", room).withColumn(f"_used_{tier}", used(tier, F.col(f"_room_{tier}")))
+        rows = rows.withColumn("_left", (left if tier == "system" else F.col("_left")) - F.col(f"_used_{tier}"))
+    kept = F.coalesce(*[F.when(F.col("tier") == t, F.col("_upto") <= F.col(f"_room_{t}")) for t in ("system", "recent", "old", "medium")])
+    return fits.unionByName(rows.where(kept).select(conv, turn, "tier", "content", "tokens"))
