@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnfold.plans import analysis, consolidate, fitted, fulltext, graphs, misc, runs, search, states, stores, streams, synced, texts, time, versions  # noqa: F401
+from tarnfold.plans import analysis, consolidate, fitted, fulltext, graphs, merged, misc, runs, search, states, stores, streams, synced, texts, time, versions  # noqa: F401
 from tarnfold.plans.registry import QUERIES, SQL
 
 
