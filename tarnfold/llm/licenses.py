@@ -2,8 +2,8 @@
 
 A file's licence words are looked up. Each template's highest-IDF words are its anchors: so many that a placement without
 any of them has too few of the template's words to be accepted. An anchor in a file nominates placements of its
-templates (file position minus template position), and a nominated placement is held against all licence words of its
-template. A template with enough words in place is accepted once its mandatory key phrases are verified in the file.
+templates (file position minus template position). A nominated placement's mandatory key phrases, version numbers among
+them, are verified word by word where the template has them, and it is held against all licence words of its template.
 Exact phrases are templates whose every word is mandatory, found from their rarest word.
 """
 
@@ -87,6 +87,16 @@ def _phrase_at(w: Column, start: Column, phrase: list[str]) -> Column:
     return test
 
 
+def key_words(template: Template) -> list[tuple[int, str]]:
+    """(place, word) of the template's key phrases: all of them have to stand where the template has them, digits too."""
+    own, found = template.text.split(), set()
+    for phrase in template.key_phrases:
+        p = phrase.split()
+        start = next(i for i in range(len(own)) if own[i : i + len(p)] == p)
+        found |= {(start + k, x) for k, x in enumerate(p)}
+    return sorted(found)
+
+
 def _is(t: int):
     return lambda b: b["t"] == t
 
@@ -143,23 +153,21 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
             )
         )
     )
-    every = F.array(*[F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x")) for k, x in ws]) for ws in own])
+    listed = lambda ws: F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x")) for k, x in ws])
+    every, musts = F.array(*[listed(ws) for ws in own]), F.array(*[listed(key_words(template)) for template in templates])
     zero = F.lit(0)
     # a place before the text's first word has none
     stands = lambda p, o: F.when(p["d"] + o["k"] >= 0, F.get(w, p["d"] + o["k"]) == o["x"])
-    placed = F.transform(points, lambda p: F.struct(p["t"].alias("t"), F.size(F.filter(F.get(every, p["t"]), lambda o: F.coalesce(stands(p, o), F.lit(False)))).alias("best")))
+    keyed = F.filter(points, lambda p: F.forall(F.get(musts, p["t"]), lambda o: F.coalesce(stands(p, o), F.lit(False))))
+    placed = F.transform(keyed, lambda p: F.struct(p["t"].alias("t"), F.size(F.filter(F.get(every, p["t"]), lambda o: F.coalesce(stands(p, o), F.lit(False)))).alias("best")))
     rows = rows.withColumn("_best", F.when(F.size(at) > 0, placed).otherwise(F.array().cast("array<struct<t:int,best:int>>")))
     rows = rows.withColumn("_held", F.when(F.size("_best") > 0, F.array_intersect(w, _strings(vocabulary))))
 
-    spaced = F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     accepted = []
     for t, template in enumerate(templates):
         of = sum((F.array_contains(F.col("_held"), x).cast("int") for _, x in own[t]), zero)
         got = F.coalesce(F.array_max(F.transform(F.filter("_best", _is(t)), lambda b: b["best"])), zero)
-        keys = [F.contains(spaced, F.lit(f" {k} ")) for k in template.key_phrases]
         ok = (got >= 1) & (got >= least * len(own[t]))
-        for k in keys:
-            ok = ok & k
         accepted.append(F.when(ok, F.struct(F.lit(template.label).alias("label"), got.alias("placed"), of.alias("of"))))
     found = F.when(F.size("_best") > 0, F.array_compact(F.array(*accepted))).otherwise(F.array().cast("array<struct<label:string,placed:int,of:int>>"))
     rows = rows.withColumn("templates", found)

@@ -53,6 +53,12 @@ def test_templates(spark):
     assert got[17]["labels"] == "" and got[17]["score"] == 0
 
 
+def test_versions_belong_to_their_notice(spark):
+    """The digit that counts is the one in its place, whatever other versions the file names."""
+    got = rows_of(spark, ["Licensed under the GNU General Public License version 3. It needs Python version 2.", "This work is licensed under the GNU General Public License, version 2. Needs version 3 of make.", "licensed under the GNU General Public License, version 4; versions 2 and 3 do not apply: version 2, version 3"])
+    assert [got[i]["labels"] for i in range(3)] == ["gpl,gpl-3.0", "gpl,gpl-2.0", "gpl"]
+
+
 def test_many_notices_in_one_file(spark):
     """More distinct licence words than any fixed count of anchors: every notice that stands verbatim keeps its label."""
     notices = [t for t in licenses.TEMPLATES if t.label in ("gpl-3.0", "apache-2.0", "mit", "bsd")]
@@ -71,11 +77,14 @@ def brute_templates(texts, least=0.75):
     out = []
     for text in texts:
         w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-        spaced, labels, score = f" {' '.join(w)} ", set(filter(None, brute(text)[4].split(","))), 1.0 if brute(text)[1] else 0.0
+        labels, score = set(filter(None, brute(text)[4].split(","))), 1.0 if brute(text)[1] else 0.0
         for t in licenses.TEMPLATES:
             own = [(k, x) for k, x in enumerate(t.text.split()) if x in vocabulary]
-            got = max((sum(0 <= d + k < len(w) and w[d + k] == x for k, x in own) for d in range(-len(t.text.split()), len(w))), default=0)
-            if got >= 1 and got >= least * len(own) and all(f" {p} " in spaced for p in t.key_phrases):
+            there = lambda d, k, x: 0 <= d + k < len(w) and w[d + k] == x
+            starts = [(t.text.split().index(p.split()[0], 0 if p.split()[0] != "version" else t.text.split().index("version")), p.split()) for p in t.key_phrases]
+            keyed = [d for d in range(-len(t.text.split()), len(w)) if all(there(d, s + k, x) for s, p in starts for k, x in enumerate(p))]
+            got = max((sum(there(d, k, x) for k, x in own) for d in keyed), default=0)
+            if got >= 1 and got >= least * len(own):
                 labels.add(t.label)
                 score = max(score, min(1.0, got / max(1, sum(x in w for _, x in own))))
         out.append((",".join(sorted(labels)), round(score, 9)))
