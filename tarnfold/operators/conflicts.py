@@ -10,13 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnfold.functions import rules as rl
 from tarnfold.functions import text as tx
 from tarnfold.operators import consolidation as co
 from tarnfold.session import cut
 
-# Fixed values: "key states value" patterns, date patterns, and words that are no context.
+# Fixed values: "key states value" patterns, and words that are no context.
 VALUES = (r"(\w+(?:\s+\w+)?)\s+(?:is|are|was|were|=|:)\s+(.+)", r"(?:the\s+)?(\w+(?:\s+\w+)?)\s+(?:equals?|is\s+set\s+to)\s+(.+)")
-DATES = (r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{1,2}/\d{1,2}/\d{2,4}\b", r"\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* \d{1,2},? \d{4}\b")
 NO_CONTEXT = ("the", "a", "an", "is", "are", "was", "were", "in", "on", "at")
 
 
@@ -34,14 +34,14 @@ def _stated(a: Column, b: Column) -> Column:
 
 def dates(text: Column) -> Column:
     """Distinct date strings."""
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)) for p in DATES]))))
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)) for p in rl.DATES]))))
 
 
 def same_context(a: Column, b: Column) -> Column:
     """Without dates and NO_CONTEXT words, over half of the shorter text's distinct words are the other's too."""
 
     def left(t: Column) -> Column:
-        for p in DATES:
+        for p in rl.DATES:
             t = F.regexp_replace(t, p, "")
         return F.array_except(tx.word_set(t), F.array(*[F.lit(w) for w in NO_CONTEXT]))
 

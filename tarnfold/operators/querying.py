@@ -125,10 +125,3 @@ def events_since(log: DataFrame, clock: Column, seen: dict[str, int], limit: int
     known = F.create_map(*[F.lit(x) for kv in seen.items() for x in kv]) if seen else F.create_map().cast("map<string,bigint>")
     new = F.exists(F.map_entries(clock), lambda e: e["value"] > F.coalesce(F.try_element_at(known, e["key"]), F.lit(0)))
     return log.where(new).orderBy(order).limit(limit)
-
-
-def estimated_duplicates(docs: DataFrame, group: Column, share: float = 0.1, seed: int = 7, key: str = "doc_id") -> DataFrame:
-    """(rows, sampled, repeated): exact repeats, counted in groups that a hash sample of group keys chose."""
-    rows = docs.select(group.alias("g"))
-    chosen = rows.where(F.pmod(F.xxhash64("g", F.lit(seed)), F.lit(1000)) < int(1000 * share)).groupBy("g").agg(F.count("*").alias("c"))
-    return chosen.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("sampled"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("repeated"))

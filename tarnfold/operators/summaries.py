@@ -11,9 +11,11 @@ from tarnfold.operators import conversation as cv
 
 
 def topics(rows: DataFrame, by: list[str], category: str = "category", tags: str = "tags", most: int = 10) -> DataFrame:
-    """(by, topics): the first ``most`` in order of distinct categories and tags. Sets are merged before the shuffle."""
+    """(by, topics): the first ``most`` in order of distinct categories and tags. Sets are merged before the shuffle, and no
+    more than ``most`` are ever listed."""
     each = rows.select(*by, F.explode(F.array_compact(F.concat(F.array(category), F.coalesce(tags, F.array().cast("array<string>"))))).alias("t")).distinct()
-    return each.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("t")), 1, most).alias("topics"))
+    first = each.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("t"))).where(F.col("_n") <= most)
+    return first.groupBy(*by).agg(F.array_sort(F.collect_list("t")).alias("topics"))
 
 
 def by_category(rows: DataFrame, category: str, text: str, n: int = 2, key: str = "doc_id") -> DataFrame:
