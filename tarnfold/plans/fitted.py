@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnfold.functions import rules as rl
 from tarnfold.operators import calibration as cal
 from tarnfold.operators import conversation as cv
 from tarnfold.operators import entities as en
 from tarnfold.plans.registry import query, table
+from tarnfold.plans.texts import TIERS
 
 # Scores are the first component to one digit, so a score has many rows; labels of 5 and more are positive.
 _S = "d AS (SELECT vec_id, round(embedding[1]::DOUBLE, 1) AS s, (label >= 5)::INT AS y FROM embeddings), c AS (SELECT s, count(*) AS n, sum(y) AS y FROM d GROUP BY s)"
@@ -70,21 +70,13 @@ def similar_names(spark, d):
     return en.similar_names(one, 0.985).select("a", "b")
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 _TOKENS = r"len(regexp_extract_all(X, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))"
-_FACTS = " UNION ALL ".join(f"SELECT conv_id, turn, {i} AS r, unnest(regexp_extract_all(text, {_q('(?i)' + p)}, 1)) AS fact, generate_subscripts(regexp_extract_all(text, {_q('(?i)' + p)}, 1), 1) AS j FROM o WHERE tier = 'old'" for i, (p, _) in enumerate(rl.KEY_FACTS))
 
 
 @query(rf"""WITH t AS (SELECT *, coalesce({_TOKENS.replace('X', 'text')}, 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations),
 a AS (SELECT *, sum(n) OVER (PARTITION BY conv_id) AS total, CASE WHEN role = 'system' THEN 'system' WHEN b <= 2 THEN 'recent' WHEN b <= 4 THEN 'medium' ELSE 'old' END AS tier FROM t),
 o AS (SELECT * FROM a WHERE total > 300),
-k AS (SELECT conv_id, turn, r, j, trim(fact) AS fact FROM ({_FACTS}) WHERE length(trim(fact)) > 5 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY r, j) <= 3),
-p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20) AS ss FROM o WHERE tier = 'medium'),
-m AS (SELECT conv_id, turn, tier, text AS content FROM o WHERE tier IN ('system', 'recent') UNION ALL SELECT conv_id, turn, 'medium', substr(ss[1], 1, 100) FROM p WHERE len(ss) > 0
-  UNION ALL SELECT conv_id, turn, 'old', array_to_string(list_sort(list(substr(fact, 1, 100))), '; ') FROM k GROUP BY ALL),
+{TIERS},
 s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id, tier ORDER BY CASE WHEN tier = 'recent' THEN -turn ELSE turn END) AS upto FROM (SELECT *, {_TOKENS.replace('X', 'content')} AS tokens FROM m)),
 g1 AS (SELECT *, 300 AS r1, coalesce(max(upto) FILTER (tier = 'system' AND upto <= 300) OVER w, 0) AS u1 FROM s WINDOW w AS (PARTITION BY conv_id)),
 g2 AS (SELECT *, 300 - u1 AS r2, coalesce(max(upto) FILTER (tier = 'recent' AND upto <= 300 - u1) OVER w, 0) AS u2 FROM g1 WINDOW w AS (PARTITION BY conv_id)),

@@ -172,7 +172,15 @@ def ndcg_graded(spark, d):
     return _rounded(rt.metrics(hits, wanted).select("query_id", "ndcg"), "ndcg")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_VEC.strip()},
+c AS (SELECT doc_id, dot / (n * nq) AS score FROM vs ORDER BY score DESC, doc_id LIMIT 50), l AS (SELECT min(score) AS lo, max(score) AS hi FROM c),
+x AS (SELECT doc_id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0.5 END AS rel FROM c, l),
+e AS (SELECT x.doc_id, v.embedding::DOUBLE[] AS v, sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) AS n FROM x JOIN embeddings v ON v.vec_id = x.doc_id),
+near AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, list_dot_product(a.v, b.v) / (a.n * b.n) AS s FROM e a, e b),
+f AS (SELECT 1 AS rank, [doc_id] AS picked, 0.7 * rel AS mmr FROM (SELECT doc_id, rel FROM x ORDER BY 0.7 * rel DESC, doc_id LIMIT 1)
+UNION ALL SELECT rank + 1, list_append(picked, doc_id), value FROM (SELECT f.rank, f.picked, x.doc_id, 0.7 * x.rel - 0.3 * greatest(0, (SELECT max(s) FROM near WHERE near.a = x.doc_id AND list_contains(f.picked, near.b))) AS value,
+  row_number() OVER (ORDER BY 0.7 * x.rel - 0.3 * greatest(0, (SELECT max(s) FROM near WHERE near.a = x.doc_id AND list_contains(f.picked, near.b))) DESC, x.doc_id) AS r FROM f, x WHERE rank < 10 AND NOT list_contains(f.picked, x.doc_id)) WHERE r = 1)
+SELECT 0 AS query_id, rank::INT AS rank, picked[rank] AS doc_id, round(mmr, 6) AS mmr FROM f""")
 def mmr_topk(spark, d):
     e = table(spark, d, "embeddings")
     near = rt.top_k(rt.vector_scores_by_id(e, 0), 50, "vec_id").join(e.select("vec_id", "embedding"), "vec_id")

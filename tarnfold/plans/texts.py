@@ -142,7 +142,13 @@ def conversation_stats(spark, d):
     return cv.stats(cv.importance(_convs(spark, d)), 400).withColumn("avg_importance", F.round("avg_importance", 6))
 
 
-@query()
+_TOKENS = r"len(regexp_extract_all(coalesce(X, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]'))"
+
+
+@query(rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, {_TOKENS.replace('X', 'text')} AS t, role = 'system' OR row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2 AS p, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (SELECT conv_id, 0::BIGINT AS n, NULL::BIGINT AS turn, sum(CASE WHEN p THEN t ELSE 0 END)::BIGINT AS later, 0::BIGINT AS used, false AS keep FROM t GROUP BY conv_id
+UNION ALL SELECT f.conv_id, t.n, t.turn, f.later - CASE WHEN p THEN t ELSE 0 END, f.used + CASE WHEN p OR f.used + t + f.later <= 120 THEN t ELSE 0 END, p OR f.used + t + f.later <= 120 FROM f JOIN t ON t.conv_id = f.conv_id AND t.n = f.n + 1)
+SELECT conv_id, turn, max(used) OVER (PARTITION BY conv_id) AS tokens FROM f QUALIFY keep""")
 def truncate_greedy(spark, d):
     return cv.truncate(_convs(spark, d), 120)
 
@@ -201,7 +207,16 @@ def conversation_tiers(spark, d):
     return cv.tiers(_convs(spark, d), 2, 3).select("conv_id", "turn", "tier")
 
 
-@query()
+_OLD = " UNION ALL ".join(f"SELECT conv_id, turn, {i} AS r, unnest(regexp_extract_all(text, {_q('(?i)' + p)}, 1)) AS fact, generate_subscripts(regexp_extract_all(text, {_q('(?i)' + p)}, 1), 1) AS j FROM o WHERE tier = 'old'" for i, (p, _) in enumerate(rl.KEY_FACTS))
+#: What is left of the messages of o (with tier), as common tables k, p and m.
+TIERS = rf"""k AS (SELECT conv_id, turn, r, j, trim(fact) AS fact FROM ({_OLD}) WHERE length(trim(fact)) > 5 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY r, j) <= 3),
+p AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 20) AS ss FROM o WHERE tier = 'medium'),
+m AS (SELECT conv_id, turn, tier, text AS content FROM o WHERE tier IN ('system', 'recent') UNION ALL SELECT conv_id, turn, 'medium', substr(ss[1], 1, 100) FROM p WHERE len(ss) > 0
+  UNION ALL SELECT conv_id, turn, 'old', array_to_string(list_sort(list(substr(fact, 1, 100))), '; ') FROM k GROUP BY ALL)"""
+
+
+@query(f"""WITH o AS (SELECT *, CASE WHEN role = 'system' THEN 'system' WHEN b <= 2 THEN 'recent' WHEN b <= 5 THEN 'medium' ELSE 'old' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations)), {TIERS}
+SELECT conv_id, turn, tier, content FROM m""")
 def tiered_compression(spark, d):
     return cv.tiered(_convs(spark, d), 2, 3)
 
