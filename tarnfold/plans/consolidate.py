@@ -169,12 +169,13 @@ _import("skip", "doc_id % 2 = 0")
 _import("replace", "doc_id % 2 = 0 AND doc_id % 3 <> 0")
 
 
-@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL) WHERE start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)")
 def stream_windowed_counts(spark, d):
+    """Windows that the watermark has closed, each appended once; state is that of the open ones."""
     events = jobs.stream(spark, d, "events.parquet", table(spark, d, "events").schema)
     out = _folder(spark, "stream")
-    jobs.run(jobs.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "40 days", ["event_type"]), out + "/out", out + "/progress")
-    return spark.read.parquet(out + "/out").withColumn("total", F.round("total", 4))
+    jobs.run(jobs.windowed_counts(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "1 hour", ["event_type"]), out + "/out", out + "/progress", "append")
+    return jobs.appended(spark, out + "/out").withColumn("total", F.round("total", 4))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000 THEN 1 ELSE 0 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
