@@ -10,7 +10,7 @@ from tarnfold.functions import text as tx
 from tarnfold.operators import consolidation as co
 from tarnfold.plans.analysis import MEMORIES, memories
 from tarnfold.plans.registry import query, table
-from tarnfold.session import checkpoint_dir
+from tarnfold.session import checkpoint_dir, cut
 from tarnfold.sources import io
 from tarnfold.streaming import jobs
 
@@ -57,14 +57,14 @@ def dup_clusters(spark, d):
 
 @query(f"{_CL} SELECT cluster, count(*) AS pairs, round(avg(similarity), 6) AS avg_similarity, round(min(similarity), 6) AS min_similarity, round(max(similarity), 6) AS max_similarity FROM s JOIN k ON k.id = a GROUP BY cluster")
 def cluster_stats(spark, d):
-    pairs = co.near_pairs(_docs(spark, d))
+    pairs = cut(co.near_pairs(_docs(spark, d)))
     got = co.cluster_stats(pairs, co.clusters(pairs))
     return got.withColumns({c: F.round(c, 6) for c in ("avg_similarity", "min_similarity", "max_similarity")})
 
 
 @query(f"{_CL}, m AS (SELECT id, avg(similarity) AS v FROM (SELECT a AS id, similarity FROM s UNION ALL SELECT b, similarity FROM s) GROUP BY id) SELECT cluster, arg_max(m.id, (round(v, 9), -m.id)) AS centroid FROM m JOIN k USING (id) GROUP BY cluster")
 def cluster_centroids(spark, d):
-    pairs = co.near_pairs(_docs(spark, d))
+    pairs = cut(co.near_pairs(_docs(spark, d)))
     return co.centroids(pairs, co.clusters(pairs))
 
 
