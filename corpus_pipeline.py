@@ -14,12 +14,21 @@ from tarnfold.llm import bpe, jaccard, mixing, toxicity
 from tarnfold.session import checkpoint_dir, remove
 
 
+#: Rows that a Python worker is handed at once: long texts and their copies in JVM and worker stay few.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Classifier chain fitted on the labels; documents at or over the toxic threshold go.
 
     Null and empty texts are judged by the models' base probability and stay; very long texts are read whole; repeated rows
     stay or go together; an empty table, or one without labels, loses nothing; all columns come back as they were.
     """
+    _small_batches(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, toxicity.label_table(spark, sf_dir)))
 
 
@@ -29,6 +38,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null, empty and blank texts and rows without an id are linked with nothing and stay; rows of one id stay or go together;
     very long texts are compared whole; an empty table stays empty; all columns come back as they were.
     """
+    _small_batches(spark)
     return jaccard.keep_one(docs, size=5, threshold=0.8)
 
 
@@ -50,6 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as empty: no ids; repeated rows come back each; whole texts, however long; an empty table gives no
     rows; other columns are left out.
     """
+    _small_batches(spark)
     return bpe.digests(docs, bpe.word_vocabulary(), cache=100_000)
 
 
