@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,24 +35,97 @@ def keepers(docs: DataFrame, group: Column, strategy: str, key: str = "doc_id",
     return rows.join(best, "_g").select(key, (F.col(key) == F.col("_k")).alias("keep"))
 
 
+#: Counters that words are hashed to (their order by rarity may be rough), words that similar sets must share among the first,
+#: documents of a group that a task holds against each other, documents whose words a task's group has at most or so.
+SLOTS, SHARED, TOGETHER, BUCKET = 1 << 20, 3, 512, 1000
+
+
+def _rare_first(counts: np.ndarray, threshold: float):
+    """(x, i) of each set's first words, rare ones first; words that no other row has are left out."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, h = b["h"].value_lengths().to_numpy().astype(np.int64), b["h"].flatten().to_numpy()
+            row, seen = np.repeat(np.arange(len(n)), n), counts[h & (SLOTS - 1)]
+            order = np.lexsort((h, seen, row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            most = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + SHARED
+            keep = (place < most[row]) & (seen[order] > 1)
+            at = row[keep]
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array(h[order][keep]), pa.array((place[keep] + 1).astype(np.int32))], names=["id", "n", "x", "i"])
+
+    return work
+
+
+def _set_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: see near_pairs."""
+    slots = sets.select(F.explode("h").alias("h")).groupBy(F.col("h").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.count("*").alias("c")).toArrow()
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots["slot"].to_numpy()] = slots["c"].to_numpy()
+    step = math.log(1 / threshold) * (1 + 1e-9)
+    kind = dict(sets.dtypes)["id"]
+    first = sets.mapInArrow(_rare_first(np.minimum(counts, 2**31 - 1).astype(np.int32), threshold), f"id {kind}, n int, x long, i int").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step).cast("int"))
+    a = first.select("x", F.col("id").alias("p"), F.col("n").alias("np"), F.col("i").alias("ip"), F.col("band").alias("bp"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"))
+    b = first.select("x", F.col("id").alias("q"), F.col("n").alias("nq"), F.col("i").alias("iq"), "band")
+    least = F.ceil(threshold / (1 + threshold) * (F.col("np") + F.col("nq")) - 1e-9)
+    met = a.join(b, ["x", "band"]).where((F.col("bp") < F.col("band")) | (F.col("p") < F.col("q"))).where("p <> q")
+    met = met.where((F.col("np") >= threshold * F.col("nq") - 1e-9) & (F.col("nq") >= threshold * F.col("np") - 1e-9) & (F.least(F.col("np") - F.col("ip"), F.col("nq") - F.col("iq")) + SHARED >= least))
+    met = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.least(least, F.lit(SHARED)).alias("need"))
+    return met.groupBy("a", "b", "need").agg(F.count("*").alias("met")).where("met >= need").select("a", "b")
+
+
+def _jaccards(threshold: float):
+    """Of a bucket's pairs (a, b) and its sets (id, h): those of at least the threshold."""
+
+    def work(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        pairs, sets = pairs.combine_chunks(), sets.combine_chunks()
+        words = sets["h"].combine_chunks()
+        n = words.value_lengths().to_numpy().astype(np.int64)
+        start, known = np.cumsum(n) - n, sets["id"].combine_chunks()
+        values, code = np.unique(words.flatten().to_numpy(), return_inverse=True)
+        ia, ib = (pc.index_in(pairs[c].combine_chunks(), value_set=known).to_numpy() for c in "ab")
+        order, both, mine = np.argsort(ia, kind="stable"), np.zeros(len(ia), np.int64), np.zeros(len(values), bool)
+        ends = np.flatnonzero(np.diff(ia[order], append=-1)) + 1
+        for low, high in zip(np.concatenate([[0], ends[:-1]]), ends):
+            i, them = ia[order[low]], ib[order[low:high]]
+            size = n[them]
+            at = np.cumsum(size) - size
+            mine[code[start[i] : start[i] + n[i]]] = True
+            both[order[low:high]] = np.add.reduceat(mine[code[np.repeat(start[them] - at, size) + np.arange(size.sum())]], at, dtype=np.int64)
+            mine[code[start[i] : start[i] + n[i]]] = False
+        similarity = both / (n[ia] + n[ib] - both)
+        keep = pa.array(np.flatnonzero(similarity >= threshold - 1e-12))
+        return pa.table({"a": pairs["a"].take(keep), "b": pairs["b"].take(keep), "similarity": pa.array(similarity).take(keep)})
+
+    return work
+
+
 def near_pairs(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, similarity), a < b: distinct texts whose word sets have a Jaccard similarity of at least the threshold.
+    """(a, b, similarity), a < b: distinct texts whose word sets have a Jaccard similarity of at least the threshold. Keys are
+    unique; words are told apart by 64-bit hashes. Equal texts are one row here (see exact_groups).
 
-    Prefix filter: under the order "rarest word first" similar sets share one of their first n - ceil(t n) + 1 words, so
-    only rows that meet on such a word are compared. Equal texts are one row here (see exact_groups).
+    Under any one order of words, here rough rarity, sets that share o words share SHARED (or o) of their first
+    n - o + SHARED ones, each at a place that leaves room for the rest on both sides; pairs of nearly equal length that meet
+    so often are candidates. They are checked in blocks: documents of one least candidate partner travel together, so that a
+    large group of near copies sends its words once a TOGETHER documents, not once a pair.
     """
-    rows = docs.groupBy(tx.content_hash(F.col(text)).alias("_h")).agg(F.min(key).alias("id"), F.min(text).alias("t"))
-    sets = rows.select("id", tx.word_set(F.col("t")).alias("w"))
-    words = sets.select("id", F.explode("w").alias("x"))
-    df = words.groupBy("x").agg(F.count("*").alias("df"))
-    ordered = words.join(df, "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
-    sized = ordered.select("id", F.size("o").alias("n"), F.transform("o", lambda s: s["x"]).alias("w"))
-    length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    prefix = sized.select("id", "n", F.explode(F.slice("w", F.lit(1), length)).alias("x"))
-    a, b = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "x"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "x")
-    met = a.join(b, "x").where("a < b").where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
-    both = met.join(sized.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(sized.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    return both.select("a", "b", tx.jaccard(F.col("wa"), F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    one = rows.groupBy(tx.content_hash(F.col("t")).alias("_h")).agg(F.min("id").alias("id")).select("id")
+    hashed = F.transform(tx.word_set(F.col("t")), lambda w: F.xxhash64(w))
+    sets = cut(rows.join(one.hint("shuffle_hash"), "id", "left_semi").select("id", F.array_distinct(hashed).alias("h")).where(F.size("h") > 0))
+    pairs = cut(_set_candidates(sets, threshold))
+    led = pairs.groupBy("b").agg(F.min("a").alias("g"))
+    parts = led.groupBy("g").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
+    led = cut(led.join(parts, "g").select("b", F.struct("g", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")).alias("g")))
+    side = lambda c: led.select(F.col("b").alias(c), F.col("g").alias(f"g{c}"))
+    alone = lambda c: F.coalesce(f"g{c}", F.struct(F.col(c).alias("g"), F.lit(0).cast("long").alias("part")))
+    units = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.xxhash64(alone("a"), alone("b")).alias("unit"))
+    units = cut(units)
+    ends = cut(units.select("unit", F.explode(F.array("a", "b")).alias("id")).distinct())
+    bucket = F.pmod("unit", F.lit(max(1, ends.count() // BUCKET))).alias("bucket")
+    held = ends.select(bucket, "id").distinct().join(sets, "id").select("bucket", "id", "h")
+    kind = dict(sets.dtypes)["id"]
+    return units.select(bucket, "a", "b").groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(_jaccards(threshold), f"a {kind}, b {kind}, similarity double")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
