@@ -18,6 +18,9 @@ from tarnfold.session import cut
 SCALE, PREFIX = 0.1, 4
 #: Keys a name may have, common letters that a key may hold, letters whose frequency is looked up, pairs compared at once.
 KEYS, MOST_LETTERS, RANKED, STEP = 64, 4, 100_000, 4096
+#: Names of a key that a task compares with each other, rows of keys that it takes, common letters (see needed) from which on
+#: keys go by lengths.
+LIST, BUCKET, CLOSE = 2048, 10_000, 1.8
 
 
 def jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
@@ -81,6 +84,83 @@ def _letters(text: str) -> list[tuple[str, int]]:
     return out
 
 
+def _common(c: float, n: int, m: int) -> int:
+    """Letters that similar names of n and m letters have in common at least."""
+    return math.ceil(c * n * m / (n + m) - 1e-9)
+
+
+def _by_lengths(c: float, lengths: list[int]) -> dict[int, list[tuple[int, int, int]]]:
+    """Of each length: (other length, common letters, letters a key) of those that it can be similar to."""
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for n in lengths:
+        for m in lengths:
+            o = _common(c, n, m)
+            if 0 < o <= min(n, m):
+                slack = max(n, m) - o
+                out.setdefault(n, []).append((m, o, max(k for k in range(1, o + 1) if k == 1 or math.comb(slack + k, k) <= KEYS)))
+    return out
+
+
+def _close_names(rows: DataFrame, threshold: float, rank: dict[str, int]) -> DataFrame:
+    """similar_names for high thresholds. A key holds as many letters as the two lengths allow (of equal lengths often all of
+    them), so that few names share one. Names of a key are compared in a task, long lists in parts of LIST that meet pairwise."""
+    c, jaro = needed(threshold), (threshold - PREFIX * SCALE) / (1 - PREFIX * SCALE)
+    lengths = [r[0] for r in rows.select(F.length("name")).distinct().collect() if r[0]]  # bounded by the longest name
+    plan = _by_lengths(c, lengths)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, found = [], []
+            for i, text in enumerate(b["name"].to_pylist()):
+                n = len(text)
+                letters = sorted(_letters(text), key=lambda x: (-rank.get(x[0], 1), x[0], -x[1]))
+                keys = {f"{min(n, m)},{max(n, m)}:" + "".join(f"{ch}{k}," for ch, k in part) for m, o, size in plan.get(n, ()) for part in combinations(letters[: n - o + size], size)}
+                at += [i] * len(keys)
+                found += sorted(keys)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b["id"].take(take), b["by"].take(take), b["name"].take(take), pa.array(found, pa.string())], names=["id", "by", "name", "key"])
+
+    kind = dict(rows.dtypes)["by"]
+    keys = rows.where("by is not null").mapInArrow(keyed, f"id long, by {kind}, name string, key string")
+    keys = cut(keys.select("id", "name", F.xxhash64("by", "key").alias("list"), "by"))
+    lists = keys.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").select("list", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
+    dealt = keys.join(lists, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("id", "by", "name", "part", F.xxhash64("list", F.least("part", "other"), F.greatest("part", "other")).alias("unit"))
+    buckets = max(1, keys.count() // BUCKET)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("unit")
+        unit, ids, part, names = (table[x].to_numpy() for x in ("unit", "id", "part", "name"))
+        kinds = table["by"].combine_chunks().dictionary_encode().indices.to_numpy()
+        code, size = _codes(names.tolist())
+        swaps = np.floor(3 * size * (1 - jaro) + 1e-9)
+        whole = np.array([_common(c, int(n), int(n)) == n if n else False for n in size])
+        starts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+        left, right = [], []
+        for low, high in zip(starts, np.append(starts[1:], len(unit))):
+            first = part[low:high].min() if high > low else 0
+            mixed = part[low:high].max() > first
+            for i in range(low, high):
+                if mixed and part[i] != first:
+                    continue
+                them = low + np.flatnonzero(part[low:high] != first) if mixed else np.arange(i + 1, high)
+                them = them[(kinds[them] == kinds[i]) & (ids[them] != ids[i])]
+                # of equal lengths where all letters have to match, places that differ are swaps
+                differ = (code[them] != code[i]).sum(axis=1)
+                them = them[~(whole[i] & (size[them] == size[i]) & (differ > 2 * swaps[i] + 1))]
+                left.append(np.full(len(them), i))
+                right.append(them)
+        i, j = (np.concatenate(x + [np.empty(0, int)]).astype(int) for x in (left, right))
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        score = jaro_winkler(names[i].tolist(), names[j].tolist())
+        keep = score >= threshold - 1e-12
+        return pa.table({"a": ids[i[keep]], "b": ids[j[keep]], "similarity": score[keep]})
+
+    found = met.groupBy(F.pmod("unit", F.lit(buckets))).applyInArrow(compare, "a long, b long, similarity double")
+    return found.dropDuplicates(["a", "b"])
+
+
 def similar_names(names: DataFrame, threshold: float = 0.92, by: str = "type", name: str = "name", key: str = "id") -> DataFrame:
     """(a, b, similarity): pairs of ids, a < b, of one ``by`` whose names' Jaro-Winkler is at least ``threshold`` (above 0.8),
     none left out. Names are taken as they are; ids are integers, a name each; null names take no part.
@@ -96,6 +176,8 @@ def similar_names(names: DataFrame, threshold: float = 0.92, by: str = "type", n
     spelt = F.filter(F.split("name", ""), lambda x: x != "")
     counts = rows.select(F.explode(spelt).alias("c")).groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").limit(RANKED).collect()
     rank = {r["c"]: -r["n"] for r in counts}  # letters beyond these are rarer: they come first, in their own order
+    if c >= CLOSE:
+        return _close_names(rows, threshold, rank)
     longest = rows.agg(F.max(F.length("name"))).first()[0] or 0
     common = lambda n: math.ceil((c - 1) * n - 1e-9)
     slack = max((n - common(n) for n in range(1, longest + 1)), default=0)

@@ -110,6 +110,22 @@ def test_similar_names_lose_no_pair(spark, threshold):
         en.similar_names(spark.createDataFrame(rows, "id long, type string, name string, key int"), 0.8)
 
 
+@pytest.mark.parametrize("threshold", [0.96, 0.985])
+def test_close_names_lose_no_pair(spark, monkeypatch, threshold):
+    monkeypatch.setattr(en, "LIST", 7, raising=False)
+    monkeypatch.setattr(en, "BUCKET", 50, raising=False)
+    names = spellings(70, 4) + [f"customer#{i * 37 % 1000:09d}" for i in range(250)]
+    rows = [(i, "ab"[i % 7 == 0], n) for i, n in enumerate(names)] + [(9999, "a", None), (9998, None, names[0])]
+    got = [(r["a"], r["b"]) for r in en.similar_names(spark.createDataFrame(rows, "id long, type string, name string").repartition(3), threshold).collect()]
+    want = {(i, j) for i, s, a in rows[:-2] for j, t, b in rows[:-2] if i < j and s == t and a and b and abs(len(a) - len(b)) < 9 and co.jaro_winkler(a, b) >= threshold - 1e-12}
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_keys_of_close_names_hold_all_letters_of_equal_lengths():
+    # 18 letters at 0.985: nothing less than all of them, so numbered names share a key only as anagrams
+    assert (18, 18, 18) in en._by_lengths(en.needed(0.985), [17, 18])[18]
+
+
 def test_resolving(spark):
     rows = [(5, "p", "Martha Jones"), (3, "p", "marhta jones "), (9, "p", "Martha Jones"), (4, "c", "Martha Jones"), (1, "p", None), (2, "p", None), (7, "p", "Somebody Else")] + [(100 + i, "p", "Hot Name") for i in range(300)]
     df = spark.createDataFrame(rows, "id long, type string, name string")
