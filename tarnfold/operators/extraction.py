@@ -41,8 +41,10 @@ def extract_key_values(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def extract_relations(rows: DataFrame, key: str, text: str, rules=rl.RELATIONS) -> DataFrame:
-    """Distinct (key, subject, predicate, object)."""
-    parts = [F.transform(F.arrays_zip(_all(F.col(text), p, 1).alias("s"), _all(F.col(text), p, 2).alias("o")), _triple(name)) for p, name in rules]
+    """Distinct (key, subject, predicate, object). A rule's names may begin at any word, so its verb is looked for first."""
+    none = F.array().cast("array<struct<subject:string,predicate:string,object:string>>")
+    found = lambda p, name: F.transform(F.arrays_zip(_all(F.col(text), p, 1).alias("s"), _all(F.col(text), p, 2).alias("o")), _triple(name))
+    parts = [F.coalesce(F.when(F.col(text).rlike("(?i)" + rl.between(p)), found(p, name)), none) for p, name in rules]
     return rows.select(key, F.explode(F.array_distinct(F.flatten(F.array(*parts)))).alias("t")).select(key, "t.*")
 
 
