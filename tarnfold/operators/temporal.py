@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Rows of short runs that a task folds as one group.
+FOLDED = 10_000
+
 
 def _micros(ts: Column) -> Column:
     """Of a timestamp with or without a zone (then UTC, as the session's)."""
@@ -113,19 +116,25 @@ def rate_limited(rows: DataFrame, key: str, ts: str, item: str, limit: int, wind
     """(key, item, allowed): a client's window starts anew at its first request after the last one ended. A pause of a whole
     window starts one whatever came before, so a task folds only what lies between two pauses."""
 
+    window = round(window_seconds * 1e6)
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, item])
-        begin, n, out = None, 0, []
-        for t in pdf[ts]:
-            if begin is None or (t - begin).total_seconds() >= window_seconds:
-                begin, n = t, 0
+        pdf = pdf.sort_values(["_run", "_t", item])
+        begin, n, out, last = 0, 0, [], None
+        for run, t in zip(pdf["_run"].tolist(), pdf["_t"].tolist()):
+            if run != last or t - begin >= window:
+                begin, n, last = t, 0, run
             n += 1
             out.append(n <= limit)
         return pd.DataFrame({key: pdf[key], item: pdf[item], "allowed": out})
 
     kinds = dict(rows.dtypes)
     runs = sessions(rows.select(key, ts, item), [key], ts, item, window_seconds - 5e-7)
-    return runs.groupBy(key, "session").applyInPandas(fold, f"{key} {kinds[key]}, {item} {kinds[item]}, allowed boolean")
+    # a run is no group of its own, as each group has its cost: runs share buckets of about FOLDED rows
+    runs = runs.select(key, item, _micros(F.col(ts)).alias("_t"), F.struct(key, "session").alias("_r"))
+    buckets = max(1, rows.count() // FOLDED)
+    runs = runs.withColumn("_bucket", F.pmod(F.xxhash64("_r"), F.lit(buckets))).withColumn("_run", F.xxhash64(F.lit(1), "_r")).drop("_r")
+    return runs.groupBy("_bucket").applyInPandas(fold, f"{key} {kinds[key]}, {item} {kinds[item]}, allowed boolean")
 
 
 def episode_importance(value: Column) -> Column:
