@@ -52,10 +52,14 @@ def critical_lines(text: Column) -> Column:
 
 def chunked(text: Column, size: int, overlap: int = 0) -> Column:
     """Runs of ``size`` words, each starting size - overlap after the last; the last one ends the text."""
-    w = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
     step = size - overlap
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - overlap) / step).cast("int") - 1))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i * step + 1, size), " ")))
+
+    def cut_up(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(w) - overlap) / step).cast("int") - 1))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(w, i * step + 1, size), " ")))
+
+    # bound by a lambda, so that the words are found once a text, not once a chunk
+    return F.when(text.isNotNull(), F.transform(F.array(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))), cut_up)[0])
 
 
 def truncated(text: Column, most: int, marker: str = "...") -> Column:
