@@ -25,7 +25,7 @@ from pyspark.sql import datasource as ds
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-ROWS_A_PART, BATCH = 50_000, 4096
+ROWS_A_PART, ROWS_A_FILE, BATCH = 50_000, 20_000, 4096
 ENDING = ".sqlite"
 _SIMPLE = {T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.ShortType: "INTEGER", T.ByteType: "INTEGER", T.BooleanType: "INTEGER", T.DoubleType: "REAL", T.FloatType: "REAL", T.StringType: "TEXT", T.BinaryType: "BLOB"}
 #: SQLite compares these as Spark does.
