@@ -27,6 +27,8 @@ from tarnfold.session import cut, remove
 
 #: Terms that are pushed as a list, and rows up to which a table of a query set is broadcast.
 PUSHED_TERMS, BROADCAST_ROWS = 5_000, 500_000
+#: Words that a worker turns into postings at once, postings a sorted file.
+WORDS, POSTINGS = 200_000, 500_000
 #: Classes of document lengths for a doubling of the length.
 CLASSES = 4
 #: Scores of many queries are sums in any order, rounded to 9 digits so that ties are ties; bounds give way by more.
@@ -222,9 +224,19 @@ def counted(tree: Node | Phrase, has: dict[Phrase, Column], inside: Column | Non
 # ---------------------------------------------------------------- the stored index
 
 
+def _pieces(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
+    """Rows of at most WORDS words together, or one row: what a worker holds doesn't grow with the batch."""
+    upto = np.cumsum(np.sum([batch[f"w{i}"].value_lengths().to_numpy() for i in range(n)], axis=0))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + WORDS, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _postings(analyzer: Analyzer, n: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (piece for whole in batches for piece in _pieces(whole, n)):
             lengths = [b[f"w{i}"].value_lengths().to_numpy() for i in range(n)]
             total = np.sum(lengths, axis=0).astype(np.int32)
             for i in range(n):
@@ -296,7 +308,7 @@ def build(docs: DataFrame, path: str, columns: tuple[str, ...] = ("text",), key:
     made = f"{path}/unsorted"
     rows.mapInArrow(_postings(analyzer, len(columns)), schema).withColumn("cls", _class(F.col("dl"))).write.parquet(made)
     dealt = spark.read.parquet(made)
-    dealt.repartitionByRange("term", "cls", "key").sortWithinPartitions("term", "cls", "key", "col").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+    dealt.repartitionByRange(max(1, -(-dealt.count() // POSTINGS)), "term", "cls", "key").sortWithinPartitions("term", "cls", "key", "col").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
     remove(spark, made)
     stored = spark.read.parquet(f"{path}/postings")
     n = docs.where(F.col(key).isNotNull()).count()

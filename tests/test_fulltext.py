@@ -125,3 +125,17 @@ def test_batch_equals_single_searches(spark, docs, monkeypatch, pushed, small):
         assert [m[0] for m in mine] == list(range(1, len(want) + 1))
         assert [m[2] for m in mine] == pytest.approx([-s for s, _ in want])
         assert [m[1] for m in mine] == [j for _, j in want]
+
+
+def test_workers_hold_some_words_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from tarnfold.operators import fulltext as ft
+
+    monkeypatch.setattr(ft, "WORDS", 10)
+    words = [[f"w{i}_{j % 3}" for j in range(i % 7)] for i in range(50)] + [["long"] * 40, []]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(52)), pa.array(words, pa.list_(pa.string()))], names=["key", "w0"])
+    out = list(ft._postings(ft.PLAIN, 1)(iter([batch])))
+    assert len(out) > 10 and all(sum(b["tf"].to_pylist()) <= 10 or len(set(b["key"].to_pylist())) == 1 for b in out)
+    got = {(t, k): (n, p) for b in out for t, k, n, p in zip(*(b[c].to_pylist() for c in ("term", "key", "tf", "positions")))}
+    assert got == {(t, k): (w.count(t), [i for i, x in enumerate(w) if x == t]) for k, w in enumerate(words) for t in set(w)}
