@@ -52,3 +52,27 @@ def test_a_store_has_a_file_for_so_many_rows(spark, tmp_path, monkeypatch):
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     catalog.queries()["sqlite_roundtrip"](spark, "/root/testdata/sf0.001").count()
     assert made == [-(-n // 30)] and n > 120
+
+
+def test_long_texts_are_held_apart_by_what_difflib_starts_at(spark, monkeypatch):
+    """Texts beyond AUTOJUNK in one language: all pairs, and subsequences are looked at for the alike ones alone."""
+    import difflib
+    import random
+
+    from tarnfold.operators import consolidation as co
+
+    rng, rows = random.Random(5), []
+    parts = ["tion", "er", "th", "an", "in", "wh", "ou", "re", "of", "and", "ly", "es", "the", "st"]
+    for i in range(24):
+        t = " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(rng.choice((30, 90, 120)))) + rng.choice((".", "!", " 7, 8"))
+        if i % 3 == 2:
+            t = rows[-1][1]
+            for _ in range(rng.choice((1, 9, 25))):
+                at = rng.randrange(len(t))
+                t = t[:at] + rng.choice(("", "x", "é 9")) + t[at + rng.choice((0, 1, 6)) :]
+        rows.append((i, t))
+    want = {(a, b): difflib.SequenceMatcher(None, s, t).ratio() for a, s in rows for b, t in rows if a < b}
+    got = {(r["a"], r["b"]): r["ratio"] for r in co.ratio_pairs(spark.createDataFrame(rows, "id long, t string"), 0.8, block=7).collect()}
+    assert got == {k: r for k, r in want.items() if r >= 0.8} and len(got) > 3
+    text = rows[0][1]
+    assert sum(co._unpopular(t) < len(t) // 5 for _, t in rows) > 20 and co._unpopular(text[:199]) > 10**9
