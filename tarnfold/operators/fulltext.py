@@ -12,6 +12,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 
@@ -27,8 +28,8 @@ from tarnfold.session import cut, remove
 
 #: Terms that are pushed as a list, and rows up to which a table of a query set is broadcast.
 PUSHED_TERMS, BROADCAST_ROWS = 5_000, 500_000
-#: Words that a worker turns into postings at once, postings a sorted file.
-WORDS, POSTINGS = 200_000, 500_000
+#: Words that a worker turns into postings at once, postings a sorted file, documents of a batch that a worker gets.
+WORDS, POSTINGS, BATCH = 200_000, 500_000, 500
 #: Classes of document lengths for a doubling of the length.
 CLASSES = 4
 #: Scores of many queries are sums in any order, rounded to 9 digits so that ties are ties; bounds give way by more.
@@ -52,6 +53,12 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
 
 
+@lru_cache(maxsize=1)
+def _folding() -> dict[int, str | None]:
+    old, new = _accents()
+    return {ord(a): new[i] if i < len(new) else None for i, a in enumerate(old)}
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """How text becomes terms. ``underscore`` makes it part of words; ``fold`` drops accents; ``porter`` stems."""
@@ -63,15 +70,28 @@ class Analyzer:
     def words(self, text: Column) -> Column:
         """JVM-side words before stemming; null gives none."""
         low = F.lower(text)
-        low = F.translate(low, *_accents()) if self.fold else low
+        return self.split(F.translate(low, *_accents()) if self.fold else low)
+
+    def split(self, low: Column) -> Column:
         return F.coalesce(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+" if self.underscore else r"[\p{L}\p{N}]+"), F.lit(0)), F.array().cast("array<string>"))
 
+    def raw(self, text: Column) -> Column:
+        """JVM-side words before accents are dropped, which ``term`` does once a distinct word: a letter stays one, so words end
+        where they did."""
+        low = F.lower(text)
+        low = F.regexp_replace(low, "[\\u0300-\\u036f]+", "") if self.fold else low
+        return self.split(low)
+
+    def term(self, word: str) -> str:
+        """What ``terms`` makes of one of the raw words."""
+        word = word.translate(_folding()) if self.fold else word
+        return stem(word) if self.porter else word
+
     def terms(self, text: str) -> list[str]:
         """The same of one string of a query."""
         low = text.lower()
         if self.fold:
-            old, new = _accents()
-            low = low.translate({ord(a): new[i] if i < len(new) else None for i, a in enumerate(old)})
+            low = low.translate(_folding())
         kept = "".join(c if unicodedata.category(c)[0] in "LN" or (self.underscore and c == "_") else " " for c in low)
         return [stem(w) if self.porter else w for w in kept.split()]
 
@@ -234,18 +254,36 @@ def _pieces(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
         start = end
 
 
+def _summed(made: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of one piece's columns, ``row`` replaced by ``all``: a document's count of a term in all columns, at the
+    first column that has it, 0 at the others."""
+    if len(made) < 2:
+        yield from (m.drop_columns("row").append_column("all", m["tf"]) for m in made)
+        return
+    term = pa.concat_arrays([m["term"] for m in made]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    same = np.concatenate([m["row"].to_numpy() for m in made]) * (term.max() + 1) + term
+    _, first, group = np.unique(same, return_index=True, return_inverse=True)
+    every = np.zeros(len(same), np.int32)
+    every[first] = np.bincount(group, weights=np.concatenate([m["tf"].to_numpy() for m in made]))
+    at = 0
+    for m in made:
+        yield m.drop_columns("row").append_column("all", pa.array(every[at : at + len(m)]))
+        at += len(m)
+
+
 def _postings(analyzer: Analyzer, n: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (piece for whole in batches for piece in _pieces(whole, n)):
             lengths = [b[f"w{i}"].value_lengths().to_numpy() for i in range(n)]
             total = np.sum(lengths, axis=0).astype(np.int32)
+            made = []
             for i in range(n):
                 flat = b[f"w{i}"].flatten()
                 if not len(flat):
                     continue
                 coded = flat.dictionary_encode()
                 terms = coded.dictionary.to_pylist()
-                terms, same = np.unique(np.array([stem(t) for t in terms] if analyzer.porter else terms, object), return_inverse=True)
+                terms, same = np.unique(np.array([analyzer.term(t) for t in terms], object), return_inverse=True)
                 code = same[coded.indices.to_numpy()]
                 row = np.repeat(np.arange(b.num_rows), lengths[i])
                 place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths[i]) - lengths[i], lengths[i])
@@ -254,10 +292,13 @@ def _postings(analyzer: Analyzer, n: int):
                 start = np.flatnonzero(np.concatenate([[True], whole[1:] != whole[:-1]]))
                 offsets = np.append(start, len(order)).astype(np.int32)
                 at = row[order][start]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(terms[code[order][start]], pa.string()), b["key"].take(pa.array(at)), pa.array(np.full(len(at), i, np.int32)), pa.array(total[at]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order].astype(np.int32)))],
-                    names=["term", "key", "col", "dl", "tf", "positions"],
+                made.append(
+                    pa.RecordBatch.from_arrays(
+                        [pa.array(terms[code[order][start]], pa.string()), b["key"].take(pa.array(at)), pa.array(np.full(len(at), i, np.int32)), pa.array(total[at]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(place[order].astype(np.int32)))],
+                        names=["term", "key", "col", "dl", "tf", "positions"],
+                    ).append_column("row", pa.array(at))
                 )
+            yield from _summed(made)
 
     return work
 
@@ -294,6 +335,18 @@ class Index:
         return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / F.lit(self.mean)))
 
 
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Workers get BATCH documents at a time, or a batch of long texts would fill them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(BATCH, int(before)) if int(before) > 0 else BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def build(docs: DataFrame, path: str, columns: tuple[str, ...] = ("text",), key: str = "doc_id", analyzer: Analyzer = PORTER, k1: float = 1.2, b: float = 0.75) -> Index:
     """Writes the index of ``docs`` to ``path`` and opens it.
 
@@ -302,22 +355,21 @@ def build(docs: DataFrame, path: str, columns: tuple[str, ...] = ("text",), key:
     count as documents.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *[analyzer.words(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)])
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), *[analyzer.raw(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)])
     kind = docs.schema[key].dataType
-    schema = StructType([StructField("term", StringType()), StructField("key", kind), *[StructField(c, IntegerType()) for c in ("col", "dl", "tf")], StructField("positions", ArrayType(IntegerType()))])
+    schema = StructType([StructField("term", StringType()), StructField("key", kind), *[StructField(c, IntegerType()) for c in ("col", "dl", "tf")], StructField("positions", ArrayType(IntegerType())), StructField("all", IntegerType())])
     made = f"{path}/unsorted"
-    rows.mapInArrow(_postings(analyzer, len(columns)), schema).withColumn("cls", _class(F.col("dl"))).write.parquet(made)
+    with _few_rows(spark):
+        rows.mapInArrow(_postings(analyzer, len(columns)), schema).withColumn("cls", _class(F.col("dl"))).write.parquet(made)
     dealt = spark.read.parquet(made)
-    dealt.repartitionByRange(max(1, -(-dealt.count() // POSTINGS)), "term", "cls", "key").sortWithinPartitions("term", "cls", "key", "col").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
-    remove(spark, made)
-    stored = spark.read.parquet(f"{path}/postings")
     n = docs.where(F.col(key).isNotNull()).count()
-    total = stored.agg(F.sum("tf")).first()[0] or 0
+    total = dealt.agg(F.sum("tf")).first()[0] or 0
     index = Index(path, analyzer, tuple(columns), n, total / n if n and total else 1.0, k1, b)
-    per = stored.groupBy("term", "cls", "key").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl")) if len(columns) > 1 else stored.select("term", "cls", "key", "tf", "dl")
-    blocks = per.groupBy("term", "cls").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"), F.max(index.weight(F.col("tf"), F.col("dl"))).alias("top"))
+    dealt.drop("all").repartitionByRange(max(1, -(-dealt.count() // POSTINGS)), "term", "cls", "key").sortWithinPartitions("term", "cls", "key", "col").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/postings")
+    blocks = dealt.groupBy("term", "cls").agg(F.count_if(F.col("all") > 0).alias("docs"), F.sum("tf").alias("occurrences"), F.max(index.weight(F.col("all"), F.col("dl"))).alias("top"))
     blocks.repartitionByRange("term").sortWithinPartitions("term", "cls").write.parquet(f"{path}/blocks")
     meta = [(list(columns), analyzer.underscore, analyzer.fold, analyzer.porter, n, index.mean, k1, b)]
+    remove(spark, made)
     spark.createDataFrame(meta, "columns array<string>, underscore boolean, fold boolean, porter boolean, n long, mean double, k1 double, b double").coalesce(1).write.parquet(f"{path}/meta")
     return index
 
@@ -342,12 +394,23 @@ def _range(prefix: str) -> Column:
     return (F.col("term") >= prefix) & (F.col("term") < _after(prefix))
 
 
+def _counts(spark: SparkSession, index: Index, wanted: list[Phrase]) -> DataFrame:
+    """occurrences of phrases of one word or prefix."""
+    asked = [_range(p.terms[0]) if p.prefix else F.col("term") == p.terms[0] for p in wanted]
+    here = [F.lit(True) if p.columns is None else F.col("col").isin([index.columns.index(c) for c in p.columns]) for p in wanted]
+    rows = index.postings(spark).select("term", "key", "col", "dl", "tf").where(reduce(Column.__or__, asked))
+    counts = [F.sum(F.when(a & h, F.col("tf")).otherwise(0)).alias(f"f{i}") for i, (a, h) in enumerate(zip(asked, here))]
+    return rows.groupBy("key").agg(F.max("dl").alias("dl"), *counts)
+
+
 def occurrences(spark: SparkSession, index: Index, wanted: list[Phrase]) -> DataFrame:
     """(key, dl, f0, f1, ...): how often each document holds each phrase, for documents with one of their words.
 
-    One scan by pushed term filters and one shuffle by key. A phrase is the intersection of its words' positions, each
-    shifted by its place, so no row a position is ever made.
+    One scan by pushed term filters and one shuffle by key. A single word is a sum of counts, so its positions are never
+    read. A phrase is the intersection of its words' positions, each shifted by its place, so no row a position is ever made.
     """
+    if all(len(p.terms) == 1 for p in wanted):
+        return _counts(spark, index, wanted)
     words = sorted({t for p in wanted for t in (p.terms[:-1] if p.prefix else p.terms)})
     starts = sorted({p.terms[-1] for p in wanted if p.prefix})
     asked = [F.col("term").isin(words)] if words else []

@@ -76,3 +76,19 @@ def test_long_texts_are_held_apart_by_what_difflib_starts_at(spark, monkeypatch)
     assert got == {k: r for k, r in want.items() if r >= 0.8} and len(got) > 3
     text = rows[0][1]
     assert sum(co._unpopular(t) < len(t) // 5 for _, t in rows) > 20 and co._unpopular(text[:199]) > 10**9
+
+
+def test_single_words_are_searched_without_positions(spark, tmp_path):
+    from tarnfold.operators import fulltext as ft
+
+    rows = [(1, "le the \u00c9t\u00e9 cafe\u0301", "le x"), (2, "the end", "le"), (3, None, "die die"), (4, "other", None)]
+    folded = ft.Analyzer(porter=False)
+    index = ft.build(spark.createDataFrame(rows, "doc_id long, text string, source string"), f"{tmp_path}/i", ("text", "source"), analyzer=folded)
+    assert {(r["term"], r["df"], r["cf"]) for r in index.terms(spark).collect()} >= {("le", 2, 3), ("die", 1, 2), ("ete", 1, 1), ("cafe", 1, 1)}
+    tops = {(r["term"]): r["top"] for r in index.blocks(spark).where("term = 'le' and top > 1").collect()}
+    assert abs(tops["le"] - 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 6 / index.mean))) < 1e-9  # of both columns together
+    single = ft.occurrences(spark, index, ft.phrases(ft.parse("source : le OR the OR di*", folded, ("text", "source"))))
+    assert "positions" not in single._jdf.queryExecution().optimizedPlan().toString().split("Relation")[0]
+    assert {tuple(r) for r in single.select("key", "f0", "f1", "f2").collect()} == {(1, 1, 1, 0), (2, 1, 1, 0), (3, 0, 0, 2)}
+    for word in ("\u00c9t\u00e9", "reading", "stra\u00dfe"):
+        assert [ft.PORTER.term(word.lower())] == ft.PORTER.terms(word)
