@@ -92,3 +92,33 @@ def test_single_words_are_searched_without_positions(spark, tmp_path):
     assert {tuple(r) for r in single.select("key", "f0", "f1", "f2").collect()} == {(1, 1, 1, 0), (2, 1, 1, 0), (3, 0, 0, 2)}
     for word in ("\u00c9t\u00e9", "reading", "stra\u00dfe"):
         assert [ft.PORTER.term(word.lower())] == ft.PORTER.terms(word)
+
+
+def test_blocks_of_vectors_grow_with_the_table(spark, monkeypatch):
+    import numpy as np
+
+    from tarnfold.operators import similarity as sm
+
+    rng, made = np.random.default_rng(3), []
+    keep = sm.cut
+    monkeypatch.setattr(sm, "cut", lambda df: made.append(keep(df)) or made[-1])
+    monkeypatch.setattr(sm, "BLOCKS", 2)
+    monkeypatch.setattr(sm, "STEP", 7)
+    x = rng.standard_normal((90, 3))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {(r["a"], r["b"]) for r in sm.similar_vectors(df, 0.9, block=5).collect()}
+    u = x.astype(np.float32).astype(float)
+    u /= np.sqrt((u * u).sum(1, keepdims=True))
+    assert got == {(a, b) for a in range(90) for b in range(a + 1, 90) if u[a] @ u[b] >= 0.9} and got
+    assert made[1].count() == made[1].select("dim", "band").distinct().count()  # no band beyond a block of 45
+    assert dict(made[0].dtypes)["v"] == "array<float>"
+
+
+def test_ends_are_told_apart_in_parts(spark, monkeypatch):
+    from tarnfold.operators import graph as gr
+
+    monkeypatch.setattr(gr, "ROWS", 10)
+    edges = spark.createDataFrame([(f"a{i % 7}", f"b{i % 5}") for i in range(60)] + [("a1", "a1")], "src string, dst string")
+    got = gr.degrees(edges)
+    assert {r["id"]: r["degree"] for r in got.collect()} == {**{f"a{i}": 5 + (i == 1) for i in range(7)}, **{f"b{i}": 7 for i in range(5)}}
+    assert "RepartitionByExpression [src#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "], 13" in plan
