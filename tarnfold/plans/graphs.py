@@ -18,7 +18,9 @@ def edges(spark, d):
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     made = lambda df, s, t, kind, w, c: df.select(s.alias("src"), t.alias("dst"), F.lit(kind).alias("type"), w.alias("weight"), F.lit(c).alias("confidence"))
     one = F.lit(1.0)
-    supplies = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg((F.count("*") / 10).alias("w"))
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey")
+    parts = max(1, -(-lines.count() // (4 * gr.ROWS)))  # a pair of small numbers is no text
+    supplies = lines.repartition(parts, "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg((F.count("*") / 10).alias("w"))
     out = made(table(spark, d, "nation"), tag("n", "n_nationkey"), tag("r", "n_regionkey"), "PART_OF", one, 0.9)
     out = out.unionByName(made(table(spark, d, "customer"), tag("c", "c_custkey"), tag("n", "c_nationkey"), "LOCATED_IN", one, 0.8))
     out = out.unionByName(made(table(spark, d, "supplier"), tag("s", "s_suppkey"), tag("n", "s_nationkey"), "LOCATED_IN", one, 0.7))
