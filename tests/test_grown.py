@@ -122,3 +122,14 @@ def test_ends_are_told_apart_in_parts(spark, monkeypatch):
     got = gr.degrees(edges)
     assert {r["id"]: r["degree"] for r in got.collect()} == {**{f"a{i}": 5 + (i == 1) for i in range(7)}, **{f"b{i}": 7 for i in range(5)}}
     assert "RepartitionByExpression [src#" in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "], 13" in plan
+
+
+def test_exact_facts_need_no_search_for_components(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("a search")
+
+    monkeypatch.setattr(fc, "connected_components", none)
+    rows = [(1, "d", "K", "x"), (2, "d", "k", "X"), (3, "d", "k", "y"), (4, "e", "k", "x"), (5, None, None, None), (6, None, "", "")]
+    df = spark.createDataFrame(rows, "place long, domain string, key string, value string")
+    part = lambda conflicts: {r["place"]: r["part"] for r in fc.parts(df, "exact", 0.85, conflicts).collect()}
+    assert part(False) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5} and part(True) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
