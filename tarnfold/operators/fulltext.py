@@ -18,9 +18,10 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tarnfold.functions.stemming import stem
@@ -32,8 +33,9 @@ PUSHED_TERMS, BROADCAST_ROWS = 5_000, 500_000
 WORDS, POSTINGS, BATCH = 200_000, 500_000, 500
 #: Classes of document lengths for a doubling of the length.
 CLASSES = 4
-#: Scores of many queries are sums in any order, rounded to 9 digits so that ties are ties; bounds give way by more.
-SLACK = 1e-8
+#: Queries of a block, documents of a part, and rows or terms of a tile, where a table of queries is scored. Scores are sums in
+#: any order, rounded to 9 digits so that ties are ties.
+QUERIES, DOCUMENTS, TILE = 256, 16_384, 2048
 
 
 # ---------------------------------------------------------------- words
@@ -473,57 +475,79 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def batch_top_k(spark: SparkSession, index: Index, terms: DataFrame, k: int = 10, seeds: int = 4) -> DataFrame:
+class _Matrix:
+    """A block of queries, and part after part of its documents: weights of terms by weights of queries."""
+
+    def __init__(self, asked: pa.Table):
+        ids, self.at = np.unique(asked["query_id"].to_numpy(), return_inverse=True)
+        self.ids, self.terms = pa.array(ids, asked.schema.field("query_id").type), asked["term"].combine_chunks().unique()
+        self.term, self.idf = pa.compute.index_in(asked["term"], self.terms).to_numpy(), asked["idf"].to_numpy()
+
+    def scores(self, doc: np.ndarray, term: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """Documents by queries; a tile of both matrices at a time is made whole."""
+        out = np.zeros((n, len(self.ids)))
+        for t in range(0, len(self.terms), TILE):
+            mine = (self.term >= t) & (self.term < t + TILE)
+            right = np.zeros((min(TILE, len(self.terms) - t), len(self.ids)))
+            right[self.term[mine] - t, self.at[mine]] = self.idf[mine]
+            here = np.flatnonzero((term >= t) & (term < t + TILE))
+            here = here[np.argsort(doc[here], kind="stable")]
+            upto = np.searchsorted(doc[here], np.arange(0, n + TILE, TILE))
+            for i, d in enumerate(range(0, n, TILE)):
+                at = here[upto[i] : upto[i + 1]]
+                left = np.zeros((min(TILE, n - d), len(right)))
+                left[doc[at] - d, term[at] - t] = w[at]
+                out[d : d + TILE] += left @ right
+        return out
+
+
+def _met(k: int):
+    def meet(postings: pa.Table, asked: pa.Table) -> pa.Table:
+        """The k best documents of a part for each query of a block."""
+        kind = postings.schema.field("key").type
+        if not postings.num_rows or not asked.num_rows:
+            return pa.table({"query_id": pa.array([], asked.schema.field("query_id").type), "key": pa.array([], kind), "score": pa.array([], pa.float64())})
+        block = _Matrix(asked)
+        keys, doc = np.unique(postings["key"].to_numpy(), return_inverse=True)
+        score = np.round(block.scores(doc, pa.compute.index_in(postings["term"], block.terms).to_numpy(), postings["w"].to_numpy(), len(keys)), 9)
+        least = np.partition(score, len(keys) - k, axis=0)[len(keys) - k] if len(keys) > k else np.zeros(len(block.ids))
+        row, query = np.nonzero((score > 0) & (score >= least))
+        order = np.lexsort((row, -score[row, query], query))  # keys are in order
+        row, query = row[order], query[order]
+        kept = np.arange(len(query)) - np.searchsorted(query, query) < k
+        row, query = row[kept], query[kept]
+        return pa.table({"query_id": block.ids.take(pa.array(query)), "key": pa.array(keys[row], kind), "score": score[row, query]})
+
+    return meet
+
+
+def batch_top_k(spark: SparkSession, index: Index, terms: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, key, score, rank) of a table (query_id, term, times): each query's k best documents by BM25 with
     idf = max(0.25, ln((N - df + 0.5) / (df + 0.5) + 1)), ties to the smaller key; documents without a term don't come.
 
-    Early termination by block maxima: (1) full scores of documents with a query's rarest terms, at least seeds * k of
-    them, give its kth score; (2) in each class of lengths, terms whose largest weights together stay below it can't make
-    a result alone, so candidates come from the other terms' postings only, and go where their own part and the rest's
-    maxima don't reach it; (3) what is left is scored in full. Nothing is lost: bounds hold for every document.
+    A posting of an asked term travels once a block of queries that asks it, to its document's part; there all queries of the
+    block are scored by one product of matrices, and k rows a query leave. Every document with a term is scored in full.
     """
     terms = cut(terms)
     distinct = terms.select("term").distinct()
     few = [r["term"] for r in distinct.limit(PUSHED_TERMS + 1).collect()]
-    listed = index.postings(spark, few if len(few) <= PUSHED_TERMS else None)
-    if len(few) > PUSHED_TERMS:
-        listed = listed.join(_small(distinct), "term", "left_semi")
-    if len(index.columns) > 1:
-        listed = listed.groupBy("term", "cls", "key").agg(F.first("dl").alias("dl"), F.sum("tf").alias("tf"))
-    listed = listed.select("term", "cls", "key", index.weight(F.col("tf"), F.col("dl")).alias("w"))
-    blocks = index.blocks(spark)
-    blocks = blocks.where(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else blocks
-    mine = cut(terms.join(blocks, "term").select("query_id", "term", "times", "cls", "docs", "top"))
-    per = mine.groupBy("query_id", "term").agg(F.first("times").alias("times"), F.sum("docs").alias("df"))
+    listed, blocks = index.postings(spark, few if len(few) <= PUSHED_TERMS else None), index.blocks(spark)
+    blocks = blocks.where(F.col("term").isin(few)) if len(few) <= PUSHED_TERMS else blocks.join(_small(distinct), "term", "left_semi")
+    known = cut(blocks.groupBy("term").agg(F.sum("docs").alias("df")))
     idf = F.greatest(F.lit(0.25), F.log((F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    per = cut(per.withColumn("idf", idf * F.col("times")))
-
-    def scored(candidates: DataFrame, of: DataFrame) -> DataFrame:
-        """Adds up ``of`` (query_id, term, idf) weights of (query_id, key, cls, part)."""
-        pairs = candidates.join(_small(of), ["query_id"] + [c for c in ("cls",) if c in of.columns]).select("query_id", "key", "cls", "term", "idf")
-        got = listed.join(_small(pairs), ["term", "cls", "key"]).select("query_id", "key", "cls", (F.col("idf") * F.col("w")).alias("part"))
-        return candidates.select("query_id", "key", "cls", "part").unionByName(got).groupBy("query_id", "key", "cls").agg(F.round(F.sum("part"), 9).alias("score"))
-
-    def best(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-    before = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    rare = per.withColumn("before", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("before") < seeds * k).select("query_id", "term", "idf")
-    first = listed.join(_small(rare), "term").groupBy("query_id", "key", "cls").agg(F.sum(F.col("idf") * F.col("w")).alias("score"))
+    q_blocks = max(1, -(-terms.select("query_id").distinct().count() // QUERIES))
+    per = cut(terms.join(known, "term").select(F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("q"), "query_id", "term", (idf * F.col("times")).alias("idf")))
+    d_blocks = max(1, -(-(known.agg(F.sum("df")).first()[0] or 0) // POSTINGS), -(-index.n // DOCUMENTS))
+    listed = listed.join(_small(per.select("q", "term").distinct()), "term")
+    if len(index.columns) > 1:
+        listed = listed.groupBy("q", "term", "key").agg(F.first("dl").alias("dl"), F.sum("tf").alias("tf"))
+    left = listed.select(F.col("q").alias("b"), F.pmod(F.xxhash64("key"), F.lit(d_blocks)).alias("d"), "term", "key", index.weight(F.col("tf"), F.col("dl")).alias("w"))
+    right = per.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(d_blocks - 1).cast("long"))))
+    out = StructType([terms.schema["query_id"], StructField("key", left.schema["key"].dataType), StructField("score", DoubleType())])
+    parts = left.groupBy("b", "d").cogroup(right.groupBy("q", "d")).applyInArrow(_met(k), out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    first = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= seeds * k)
-    full = scored(cut(first.select("query_id", "key", "cls", F.lit(0.0).alias("part"))), per.select("query_id", "term", "idf"))
-    kth = best(full).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
-    bounds = mine.join(per.select("query_id", "term", "idf"), ["query_id", "term"]).join(kth, "query_id", "left").withColumn("most", F.col("idf") * F.col("top"))
-    rising = Window.partitionBy("query_id", "cls").orderBy("most", "term")
-    bounds = bounds.withColumn("upto", F.sum("most").over(rising)).withColumn("weak", F.coalesce(F.col("upto") < F.col("kth") - SLACK, F.lit(False)))
-    bounds = cut(bounds.select("query_id", "cls", "term", "idf", "most", "weak", "kth"))
-    rest = bounds.groupBy("query_id", "cls").agg(F.sum(F.when(F.col("weak"), F.col("most")).otherwise(0.0)).alias("rest"), F.first("kth").alias("kth"))
-    met = listed.join(_small(bounds.where("not weak").select("query_id", "cls", "term", "idf")), ["term", "cls"])
-    met = met.groupBy("query_id", "key", "cls").agg(F.sum(F.col("idf") * F.col("w")).alias("part"))
-    met = cut(met.join(_small(rest), ["query_id", "cls"]).where(F.col("kth").isNull() | (F.col("part") + F.col("rest") >= F.col("kth") - SLACK)).select("query_id", "key", "cls", "part"))
-    return best(scored(met, bounds.where("weak").select("query_id", "cls", "term", "idf"))).select("query_id", "key", "score", "rank")
+    best = parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", "key", F.round("score", 9).alias("score"), "rank")
 
 
 def batch_phrases(spark: SparkSession, index: Index, queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:

@@ -133,3 +133,32 @@ def test_exact_facts_need_no_search_for_components(spark, monkeypatch):
     df = spark.createDataFrame(rows, "place long, domain string, key string, value string")
     part = lambda conflicts: {r["place"]: r["part"] for r in fc.parts(df, "exact", 0.85, conflicts).collect()}
     assert part(False) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5} and part(True) == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+
+
+def test_postings_meet_blocks_of_queries(spark, tmp_path, monkeypatch):
+    """Blocks, parts and tiles of any size give what plain sums give, over two columns too, and no row is made a query and document."""
+    import math
+    from collections import Counter
+
+    from tarnfold.operators import fulltext as ft
+
+    for name, value in (("QUERIES", 3), ("DOCUMENTS", 9), ("TILE", 4)):
+        monkeypatch.setattr(ft, name, value)
+    docs = [(i, " ".join(f"w{(i * j) % 11}" for j in range(i % 13)), f"w{i % 3}") for i in range(60)] + [(i, "w1 w2 w3", "w9") for i in range(60, 75)] + [(90, None, None)]
+    words = {i: Counter(f"{t or ''} {s or ''}".split()) for i, t, s in docs}
+    index = ft.build(spark.createDataFrame(docs, "doc_id long, text string, source string"), f"{tmp_path}/i", ("text", "source"), analyzer=ft.PLAIN, k1=1.5)
+    asked = [(q, f"w{t}", 1 + t % 2) for q in range(8) for t in range(q, 12, 2)] + [(9, "absent", 1)]
+    got = ft.batch_top_k(spark, index, spark.createDataFrame(asked, "query_id int, term string, times long"), 6)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    mean = sum(sum(c.values()) for c in words.values()) / len(words)
+    df = Counter(w for c in words.values() for w in c)
+    want = set()
+    for q in range(8):
+        score = {}
+        for i, c in words.items():
+            for _, w, times in [a for a in asked if a[0] == q and a[1] in c]:
+                idf = max(0.25, math.log((len(words) - df[w] + 0.5) / (df[w] + 0.5) + 1))
+                score[i] = score.get(i, 0) + times * idf * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean))
+        want |= {(q, i, r + 1) for r, (_, i) in enumerate(sorted((-round(s, 9), i) for i, s in score.items())[:6])}
+    assert {(r["query_id"], r["key"], r["rank"]) for r in got.collect()} == want
