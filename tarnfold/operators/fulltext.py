@@ -338,7 +338,7 @@ class Index:
 
 
 @contextmanager
-def _few_rows(spark: SparkSession) -> Iterator[None]:
+def few_rows(spark: SparkSession) -> Iterator[None]:
     """Workers get BATCH documents at a time, or a batch of long texts would fill them."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
@@ -361,7 +361,7 @@ def build(docs: DataFrame, path: str, columns: tuple[str, ...] = ("text",), key:
     kind = docs.schema[key].dataType
     schema = StructType([StructField("term", StringType()), StructField("key", kind), *[StructField(c, IntegerType()) for c in ("col", "dl", "tf")], StructField("positions", ArrayType(IntegerType())), StructField("all", IntegerType())])
     made = f"{path}/unsorted"
-    with _few_rows(spark):
+    with few_rows(spark):
         rows.mapInArrow(_postings(analyzer, len(columns)), schema).withColumn("cls", _class(F.col("dl"))).write.parquet(made)
     dealt = spark.read.parquet(made)
     n = docs.where(F.col(key).isNotNull()).count()

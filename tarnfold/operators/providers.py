@@ -10,17 +10,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Texts whose words are hashed together.
+TEXTS = 500
+
+
 def hash_embedding(texts: list[str], dim: int = 64) -> np.ndarray:
-    """Words hashed to signed dimensions, unit length: equal texts have equal vectors on every machine."""
+    """Words hashed to signed dimensions, unit length: equal texts have equal vectors on every machine. A word is hashed once
+    a block of texts."""
     out = np.zeros((len(texts), dim))
-    for i, text in enumerate(texts):
-        for word in (text or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-            out[i, h % dim] += 1 if h >> 63 else -1
+    for a in range(0, len(texts), TEXTS):
+        split = [(text or "").lower().split() for text in texts[a : a + TEXTS]]
+        coded = pa.array([word for words in split for word in words], pa.large_string()).dictionary_encode()
+        hashes = [int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") for word in coded.dictionary.to_pylist()]
+        place, sign = np.array([h % dim for h in hashes], np.int64), np.array([1.0 if h >> 63 else -1.0 for h in hashes])
+        code, row = coded.indices.to_numpy(), np.repeat(np.arange(len(split)), [len(words) for words in split])
+        if len(code):
+            out[a : a + TEXTS] = np.bincount(row * dim + place[code], weights=sign[code], minlength=len(split) * dim).reshape(-1, dim)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0)
 

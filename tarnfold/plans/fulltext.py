@@ -193,6 +193,7 @@ def retrieval_benchmark_methods(spark, d):
     truth = cut(_truth(spark, d))
     lexical = cut(_lexical(spark, d, 30))
     vectors = providers.embed_all(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")).select("vec_id", "embedding")
-    semantic = cut(dense.batch_top_k(vectors, providers.embed_all(_items(spark, d)), 30).withColumnRenamed("vec_id", "doc_id"))
+    with ft.few_rows(spark):
+        semantic = cut(dense.batch_top_k(vectors, providers.embed_all(_items(spark, d)), 30).withColumnRenamed("vec_id", "doc_id"))
     lists = (("bm25", lexical.where("rank <= 10")), ("vector", semantic.where("rank <= 10")), ("hybrid", hybrid(lexical, semantic)))
     return recalls(lists[0][1], truth, "bm25").unionByName(recalls(lists[1][1], truth, "vector")).unionByName(recalls(lists[2][1], truth, "hybrid"))
