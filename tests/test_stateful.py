@@ -95,3 +95,64 @@ def test_session_conf_is_put_back(spark):
     streamed(spark, [rows(5)], stateful.RateWindows(1, 60))
     assert spark.conf.get(stateful.PROVIDER, None) == before
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_rows_wait_packed(spark):
+    """A row goes over in one cell, and a batch in which nothing is due is appended without reading what waits."""
+
+    class Lists:
+        def __init__(self):
+            self.rows, self.reads = [], 0
+
+        def get(self):
+            self.reads += 1
+            return iter(self.rows)
+
+        def appendList(self, more):
+            self.rows += more
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.states = set(), []
+
+        def getListState(self, *_):
+            return self.states.append(Lists()) or self.states[-1]
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.discard(t)
+
+    class Kept(stateful.InOrder):
+        def fold(self, key, rows):
+            yield from rows
+
+    class Mark:
+        def __init__(self, mark):
+            self.getCurrentWatermarkInMs = lambda: mark
+
+    made = [(1, START, 5, "a=\x1fb", 0.1), (1, START, None, None, None), (1, START, 7, "", float("inf"))]
+    df = spark.createDataFrame(made, SCHEMA).select(stateful._one("ts", "tie", "item", "priority").alias("row"))
+    at = stateful.micros(START)
+    assert [stateful._unpacked(r["row"]) for r in df.collect()] == [(at, 5, "a=\x1fb", 0.1), (at, None, None, None), (at, 7, "", float("inf"))]
+    handle, p = Handle(), Kept()
+    p.init(handle)
+    row = lambda ms, tie: {"row": f"{ms * 1000}\x1f{tie}\x1f0.5\x1f=x"}
+    waiting = handle.states[0]
+    for n in range(20):
+        assert not list(p.handleInputRows((1,), iter([row(900 - n, n), row(950, n)]), Mark(10)))
+    assert waiting.reads == 0 and len(waiting.rows) == 20 and handle.timers == {881}
+    due = list(p.handleExpiredTimer((1,), Mark(890), None))
+    assert [r[0] // 1000 for r in due] == list(range(881, 890)) and handle.timers == {890} and len(waiting.rows) == 1
+    due = list(p.handleInputRows((1,), iter([row(895, 99)]), Mark(2000)))
+    assert len(due) == 32 and due == sorted(due, key=lambda r: r[:2]) and not waiting.rows
