@@ -162,3 +162,15 @@ def test_postings_meet_blocks_of_queries(spark, tmp_path, monkeypatch):
                 score[i] = score.get(i, 0) + times * idf * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean))
         want |= {(q, i, r + 1) for r, (_, i) in enumerate(sorted((-round(s, 9), i) for i, s in score.items())[:6])}
     assert {(r["query_id"], r["key"], r["rank"]) for r in got.collect()} == want
+
+
+def test_a_word_is_hashed_once_a_block_of_texts(monkeypatch):
+    import hashlib
+
+    from tarnfold.operators import providers
+
+    made, plain = [], hashlib.blake2b
+    monkeypatch.setattr(providers.hashlib, "blake2b", lambda b, digest_size: made.append(b) or plain(b, digest_size=digest_size))
+    got = providers.hash_embedding(["a b a", None, "", "B a"] * 50)
+    assert sorted(made) == [b"a", b"b"] and got.shape == (200, 64) and not got[1].any() and (got[4:8] == got[:4]).all()
+    assert abs(float(got[0] @ got[0]) - 1) < 1e-12
