@@ -156,3 +156,48 @@ def test_rows_wait_packed(spark):
     assert [r[0] // 1000 for r in due] == list(range(881, 890)) and handle.timers == {890} and len(waiting.rows) == 1
     due = list(p.handleInputRows((1,), iter([row(895, 99)]), Mark(2000)))
     assert len(due) == 32 and due == sorted(due, key=lambda r: r[:2]) and not waiting.rows
+
+
+def test_results_travel_as_lists():
+    """Changes of a key leave in a row of lists, and a timer that Spark says has expired is neither listed nor deleted."""
+
+    class Value:
+        kept = None
+
+        def get(self):
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    class Waiting:
+        rows = [(stateful.pickle.dumps([(k * 1000, k, f"i{k}", 0.5) for k in range(30)], 5),)]
+
+        def get(self):
+            return iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+    class Handle:
+        registered = []
+
+        def getListState(self, *_):
+            return Waiting()
+
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, t):
+            self.registered.append(t)
+
+    class Mark:
+        def getCurrentWatermarkInMs(self):
+            return 20
+
+    p = stateful.WorkingSet(3, "oldest")
+    p.init(Handle())
+    out = list(p.handleExpiredTimer((1,), Mark(), object()))
+    assert len(out) == 1 and out[0]["key"] == 1
+    assert list(zip(*out[0][1:]))[:5] == [(0, "in", "i0", "i0"), (1000, "in", "i1", "i1"), (2000, "in", "i2", "i2"), (3000, "out", "i0", "i3"), (3000, "in", "i3", "i3")]
+    assert len(out[0]["ts"]) == 20 + 17 and Handle.registered == [20]
