@@ -174,3 +174,24 @@ def test_a_word_is_hashed_once_a_block_of_texts(monkeypatch):
     got = providers.hash_embedding(["a b a", None, "", "B a"] * 50)
     assert sorted(made) == [b"a", b"b"] and got.shape == (200, 64) and not got[1].any() and (got[4:8] == got[:4]).all()
     assert abs(float(got[0] @ got[0]) - 1) < 1e-12
+
+
+def test_a_full_part_of_postings_has_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tarnfold.operators import fulltext as ft
+
+    rng = np.random.default_rng(1)
+    terms = np.array([f"w{i}" for i in range(6000)])
+    query = np.repeat(np.arange(ft.QUERIES), 40)
+    asked = pa.table({"query_id": query, "term": terms[np.arange(len(query)) % len(terms)], "idf": rng.random(len(query))})
+    postings = pa.table({"term": terms[rng.integers(0, len(terms), ft.POSTINGS)], "key": rng.integers(0, ft.DOCUMENTS, ft.POSTINGS), "w": rng.random(ft.POSTINGS)})
+    tracemalloc.start()
+    try:
+        found = ft._met(10)(postings, asked)
+        assert found.num_rows == 10 * ft.QUERIES and tracemalloc.get_traced_memory()[1] < 150 << 20
+    finally:
+        tracemalloc.stop()
